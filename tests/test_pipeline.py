@@ -1,0 +1,200 @@
+import pytest
+from pyspark.sql import functions as F
+
+from streamtables import Binding, Catalog, MessageStep, Pipeline, Query, Stream, StreamError, from_yaml
+from streamtables.plans.references import expand_windows, referenced_streams, resolve, split_insert
+from workload import queries as Q
+from workload import streams as S
+
+CATALOG = Catalog(
+    Stream.declare("a-1", sql="CREATE TABLE A (`x` BIGINT, `s` STRING)", options={"ddl.value.format": "json"}),
+    Stream.declare("b", sql="CREATE TABLE B (`y` BIGINT, `u` STRING)", options={"ddl.value.format": "json", "ddl.key.fields": "y"}),
+    Stream.declare(
+        "image",
+        sql="CREATE TABLE I (`y` BIGINT NOT NULL, `u` STRING)",
+        primary_key=["y"],
+        options={"ddl.connector": "upsert-kafka", "ddl.value.format": "json"},
+    ),
+)
+
+
+def test_references():
+    text = "SELECT * FROM [[STREAM:a-1]] JOIN [[stream:b]] ON 1=1 WHERE x IN ([[STREAM:b]],[[STREAM:a-1]])"
+    assert referenced_streams(text) == ["a-1", "b"]
+    assert resolve(text, CATALOG) == "SELECT * FROM A JOIN B ON 1=1 WHERE x IN (B,A)"
+    assert referenced_streams("[[STREAM:a-1]][[STREAM:b]]") == ["a-1", "b"], "adjacent references are separate"
+    with pytest.raises(StreamError):
+        resolve("SELECT * FROM [[STREAM:nope]]", CATALOG)
+
+
+def test_split_insert():
+    assert split_insert("INSERT INTO [[STREAM:b]] \n SELECT 1") == ("[[STREAM:b]]", "SELECT 1")
+    assert split_insert("SELECT 1") == (None, "SELECT 1")
+
+
+def test_window_functions_in_sql(spark):
+    spark.sql("SELECT TIMESTAMP '2024-01-01 00:00:10' AS at").createOrReplaceTempView("ticks")
+    tumble = "SELECT window_start, count(*) AS n FROM TABLE(TUMBLE(TABLE ticks, DESCRIPTOR(at), INTERVAL '60' SECONDS)) GROUP BY window_start"
+    assert spark.sql(expand_windows(tumble)).first().n == 1
+    hop = "SELECT window_start FROM TABLE(HOP(TABLE ticks, DESCRIPTOR(`at`), INTERVAL '30' SECONDS, INTERVAL '60' SECONDS))"
+    assert spark.sql(expand_windows(hop)).count() == 2
+
+
+@pytest.fixture
+def stored(spark, tmp_path):
+    spark.createDataFrame([(1, "p"), (2, "q"), (2, "r")], "x bigint, s string").coalesce(1).write.parquet(str(tmp_path / "a"))
+    return {
+        "a-1": Binding(path=str(tmp_path / "a")),
+        "b": Binding(path=str(tmp_path / "b"), layout="message"),
+        "image": Binding(path=str(tmp_path / "image")),
+        "loud": Binding(path=str(tmp_path / "loud")),
+    }
+
+
+def pipeline(stored, **extra):
+    return Pipeline(
+        CATALOG,
+        [
+            Query("INSERT INTO [[STREAM:b]] SELECT x, s FROM [[STREAM:a-1]] WHERE x > 0"),
+            Query("INSERT INTO [[STREAM:image]] SELECT y, upper(u) FROM [[STREAM:b]]", order=["u"]),
+        ],
+        [MessageStep("image", "uppercase", ["loud"])],
+        bindings=stored,
+        debug_query="SELECT * FROM I",
+        **extra,
+    )
+
+
+def test_batch_run_through_message_files(spark, stored):
+    steps = pipeline(stored)
+    steps.run_batch(spark)
+    keys = {r.key.decode() for r in spark.read.parquet(stored["b"].path).collect()}
+    assert keys == {'{"y":1}', '{"y":2}'}
+    debug = steps.debug(spark, stored=True)
+    assert {tuple(r) for r in debug.collect()} == {("+I", 1, "P"), ("+I", 2, "R")}
+    assert {r.value for r in spark.read.parquet(stored["loud"].path).collect()} == {'{"Y":1,"U":"P"}', '{"Y":2,"U":"R"}'}
+
+
+def test_replay_matches_batch(spark, stored, tmp_path):
+    steps = pipeline(stored)
+    steps.replay(spark, str(tmp_path / "checkpoints"))
+    assert {tuple(r) for r in steps.debug(spark, stored=True).collect()} == {("+I", 1, "P"), ("+I", 2, "R")}
+    assert {r.value for r in spark.read.parquet(stored["loud"].path).collect()} == {'{"Y":1,"U":"P"}', '{"Y":2,"U":"R"}'}
+
+
+def test_live_start(spark, stored, tmp_path):
+    steps = Pipeline(CATALOG, [pipeline(stored).queries[0]], bindings=stored)
+    started = steps.start(spark, str(tmp_path / "checkpoints"), "1 second")
+    for query in started:
+        query.processAllAvailable()
+        query.stop()
+    assert spark.read.parquet(stored["b"].path).count() == 3
+
+
+def test_transform_step_and_plain_select(spark, stored):
+    step = Query(target="b", inputs=["a-1"], transform=lambda t: t["a-1"].filter("x = 2"), closed=lambda d: d.distinct())
+    steps = Pipeline(CATALOG, [step, Query("SELECT count(*) AS n FROM [[STREAM:b]]")], bindings=stored)
+    results = steps.results(spark)
+    assert results["b"].columns == ["y", "u"] and results["query-1"].first().n == 2
+
+
+def test_check_before_run(spark, stored):
+    with pytest.raises(StreamError):
+        Pipeline(CATALOG, [Query("INSERT INTO [[STREAM:b]] SELECT * FROM [[STREAM:zzz]]")], bindings=stored).run_batch(spark)
+    with pytest.raises(StreamError):
+        Pipeline(CATALOG, messages=[MessageStep("zzz", "uppercase", ["b"])]).check()
+    with pytest.raises(ValueError):
+        Pipeline(CATALOG).debug(spark)
+
+
+def test_upsert_needs_key(spark, stored, tmp_path):
+    keyless = Stream.declare("u", sql="CREATE TABLE U (`y` BIGINT)", options={"ddl.connector": "upsert-kafka", "ddl.value.format": "json"})
+    steps = Pipeline(Catalog(keyless, *CATALOG), [Query("INSERT INTO [[STREAM:u]] SELECT x FROM [[STREAM:a-1]]")], bindings={**stored, "u": Binding(path=str(tmp_path / "u"))})
+    with pytest.raises(StreamError, match="primary key"):
+        steps.run_batch(spark)
+
+
+def test_explain_counts_tables_first(spark, sf_dir):
+    steps = Q._pipeline(sf_dir, [Query(Q.ENRICH_SQL), Query(Q.CHART_SQL)], explain_ids=[4, 5])
+    plans = steps.explain(spark)
+    assert sorted(plans) == [4, 5]
+    assert "Join" in plans[4] and "WindowGroupLimit" in plans[5]
+    assert steps.explain(spark, [0])[0].startswith("SongPlays: struct<song_id:bigint")
+
+
+def test_pushdown_reaches_the_scan(spark, sf_dir):
+    plan = Q.charts.long_plays(S.plays(spark, sf_dir), 30)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(value,30.0)" in plan
+    assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint,value:double>" in plan
+
+
+RESOURCES = """
+kind: Stream
+metadata: {name: words}
+spec:
+  protocol: kafka
+  dataSchemaContext:
+    inline:
+      type: sql
+      schema: "CREATE TABLE Words (`word` STRING NOT NULL, `n` BIGINT)"
+    options: {ddl.value.format: json}
+---
+kind: Stream
+metadata: {name: counts}
+spec:
+  protocol: kafka
+  dataSchemaContext:
+    inline:
+      type: avro
+      schema: '{"type": "record", "name": "Counts", "fields": [{"name": "word", "type": "string"}, {"name": "total", "type": ["null", "long"]}]}'
+    primaryKey: [word]
+    options: {ddl.value.format: json, ddl.connector: upsert-kafka}
+---
+kind: Stream
+metadata: {name: shout}
+spec: {protocol: rabbitmq}
+---
+kind: Processor
+metadata: {name: p}
+spec:
+  inputs:
+    query:
+      - "INSERT INTO [[STREAM:counts]] SELECT word, SUM(n) AS anything FROM [[STREAM:words]] GROUP BY word"
+    debug: {query: "SELECT * FROM Counts", explain: [2]}
+    sources: [{name: counts}]
+  outputs: [{name: shout}]
+  template:
+    spec:
+      containers:
+        - name: shouter
+          env: [{name: LEVEL, value: "11"}]
+"""
+
+
+def test_yaml_resources(spark, tmp_path):
+    pytest.importorskip("yaml")
+    (steps,) = from_yaml(RESOURCES, functions={"shouter": "uppercase"})
+    assert steps.messages == [MessageStep("counts", "uppercase", ["shout"], {"LEVEL": "11"})]
+    spark.createDataFrame([("a", 1), ("a", 2), ("b", 5)], "word string, n bigint").write.parquet(str(tmp_path / "words"))
+    steps.bindings = {n: Binding(path=str(tmp_path / n)) for n in ("words", "counts", "shout")}
+    assert {tuple(r) for r in steps.debug(spark).collect()} == {("+I", "a", 3), ("+I", "b", 5)}
+    assert "Aggregate" in steps.explain(spark)[2]
+    steps.run_batch(spark)
+    values = {r.value for r in spark.read.parquet(str(tmp_path / "shout")).collect()}
+    assert values == {'{"WORD":"A","TOTAL":3}', '{"WORD":"B","TOTAL":5}'}
+
+
+def test_channel_without_schema(spark, tmp_path):
+    rows = spark.createDataFrame([(b"k", b"hello")], "key binary, value binary")
+    rows.write.parquet(str(tmp_path / "in"))
+    bindings = {"in": Binding(path=str(tmp_path / "in")), "out": Binding(path=str(tmp_path / "out"))}
+    steps = Pipeline(Catalog(), messages=[MessageStep("in", "uppercase", ["out"])], bindings=bindings)
+    steps.replay(spark, str(tmp_path / "c"))
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("k", "HELLO")]
+
+
+def test_many_outputs(spark, tmp_path):
+    tables = {"t": spark.sql("SELECT 'k' AS key, 'v' AS value")}
+    bindings = {n: Binding(path=str(tmp_path / n)) for n in ("one", "two")}
+    Pipeline(Catalog(), messages=[MessageStep("t", "uppercase", ["one", "two"])], tables=tables, bindings=bindings).run_batch(spark)
+    assert all(spark.read.parquet(b.path).filter(F.col("value") == "V").count() == 1 for b in bindings.values())
