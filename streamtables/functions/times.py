@@ -16,6 +16,12 @@ def millis(column: Column | str) -> Column:
     return F.date_trunc("MILLISECOND", column)
 
 
+def time_slot(column: str, length_micros: int) -> Column:
+    """Start of the slot of a time, in microseconds; slots have a fixed length."""
+    micros = F.unix_micros(F.col(column).cast("timestamp"))
+    return micros - F.pmod(micros, F.lit(length_micros))
+
+
 def with_watermark(df: DataFrame, column: str, delay: str) -> DataFrame:
     """Declare event time on a stream. Batch tables pass through unchanged.
 

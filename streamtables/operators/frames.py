@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from streamtables.functions.times import time_slot
 from streamtables.operators.ordered import CHUNK, Carry, carry_over, cut_into_chunks, in_order, needs_split
 from streamtables.operators.ranking import rank_rows
 
@@ -35,10 +36,11 @@ def over_rows(
     block_rows = max(block_rows, preceding + 1)
     numbered = rank_rows(df, by, order, "_n", split=True)
     position = F.col("_n") - 1
-    block = F.floor(position / F.lit(block_rows))
+    block = position - F.pmod(position, F.lit(block_rows))
     reaches_next = F.pmod(position, F.lit(block_rows)) >= block_rows - preceding
+    both = F.array(block, block + block_rows)
     blocks = numbered.withColumn("_home", block).withColumn(
-        "_block", F.explode(F.when(reaches_next, F.array(block, block + 1)).otherwise(F.array(block)))
+        "_block", F.explode(F.when(reaches_next, both).otherwise(F.array(block)))
     )
     frame = Window.partitionBy(*by, "_block").orderBy("_n").rowsBetween(-preceding, 0)
     result = blocks.select("*", *_over(aggregates, frame))
@@ -65,8 +67,8 @@ def over_range(
     if not split:
         frame = Window.partitionBy(*by).orderBy("_t").rangeBetween(-reach, 0)
         return df.withColumn("_t", micros).select("*", *_over(aggregates, frame)).drop("_t")
-    slot = F.floor(F.col("_t") / F.lit(reach))
-    slots = df.withColumn("_t", micros).withColumn("_home", slot).withColumn("_slot", F.explode(F.array(slot, slot + 1)))
+    home = time_slot(time, reach)
+    slots = df.withColumn("_t", micros).withColumn("_home", home).withColumn("_slot", F.explode(F.array(home, home + reach)))
     frame = Window.partitionBy(*by, "_slot").orderBy("_t").rangeBetween(-reach, 0)
     result = slots.select("*", *_over(aggregates, frame))
     return result.filter(F.col("_home") == F.col("_slot")).drop("_t", "_home", "_slot")

@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from streamtables.functions.times import time_slot
+
 _SALT = "_salt"
 
 
 def _spread(left: DataFrame, right: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
     """Give every left row one of ``parts`` numbers and every right row all of them.
 
-    The number is a hash of the row, so a re-run task repeats it.
+    The number comes from the row and its input partition: a re-run task repeats it, and exact
+    copies of a row in different partitions are spread too.
     """
-    left = left.withColumn(_SALT, F.pmod(F.xxhash64(*left.columns), F.lit(parts)).cast("int"))
+    number = F.pmod(F.xxhash64(*left.columns, F.spark_partition_id()), F.lit(parts))
+    left = left.withColumn(_SALT, number.cast("int"))
     right = right.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     return left, right
 
@@ -69,9 +73,10 @@ def interval_join(
     and the next slot. A hot key is thereby split by time, and pairs outside the two slots are
     never formed. On two watermarked streams the time bounds let Spark drop old state.
     """
-    slot = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / F.lit(within_seconds * 1_000_000))
-    spread = left.withColumn("_lslot", F.explode(F.array(slot(left_time), slot(left_time) + 1)))
-    slotted = right.withColumn("_rslot", slot(right_time))
+    length = within_seconds * 1_000_000
+    own_slot = time_slot(left_time, length)
+    spread = left.withColumn("_lslot", F.explode(F.array(own_slot, own_slot + length)))
+    slotted = right.withColumn("_rslot", time_slot(right_time, length))
     condition = (
         (F.col(left_key) == F.col(right_key))
         & (F.col("_lslot") == F.col("_rslot"))

@@ -33,8 +33,10 @@ def needs_split(df: DataFrame, keys: list[str], max_group_rows: int = MAX_GROUP_
     return (largest or 0) > max_group_rows
 
 
-def sort_key(*columns: str) -> list[Column]:
-    return [F.col(c).asc() for c in columns]
+def settle(df: DataFrame) -> DataFrame:
+    """Write a costly intermediate result once to the shared folder, to be read several times."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
 
 
 def in_order(keys: list[str], order: list[Column], chunked: bool = False):

@@ -22,7 +22,7 @@ def rank_rows(
     """ROW_NUMBER of every row within its group. ``order`` must be total within a group.
 
     ``split`` None measures the largest group first; groups beyond one task's reach are ranked
-    in chunks.
+    in chunks. Pass ``settle(df)`` when ``df`` is costly, as measuring reads it once more.
     """
     if split is None:
         split = needs_split(df, by)
@@ -42,7 +42,7 @@ def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, name: str =
     than others. For a K beyond that rule, groups are first cut to K inside hash parts.
     """
     if k > GROUP_LIMIT:
-        part = F.pmod(F.xxhash64(*df.columns), F.lit(64))
+        part = F.pmod(F.xxhash64(*df.columns, F.spark_partition_id()), F.lit(64))
         parts = df.withColumn("_part", part)
         df = (
             parts.withColumn("_local", F.row_number().over(in_order([*by, "_part"], order)))

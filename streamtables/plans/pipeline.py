@@ -10,6 +10,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from streamtables.functions.messages import map_messages
@@ -20,13 +21,14 @@ from streamtables.sources.scan import (
     encode,
     read_channel,
     scan,
+    scan_image,
     sink_options,
     with_time_attributes,
 )
 from streamtables.sources.stream import Catalog, Stream, StreamError
-from streamtables.streaming.files import committed
+from streamtables.streaming.files import committed, make_folder
 from streamtables.streaming.run import BatchFolder, append_files, debug_rows, each_batch, finish, insert_by_position
-from streamtables.streaming.upsert import UpsertSink
+from streamtables.streaming.upsert import DELETED, UpsertSink
 
 Transform = Callable[[Mapping[str, DataFrame]], DataFrame]
 
@@ -114,7 +116,9 @@ class Pipeline:
         if name in self.tables:
             return self.tables[name]
         if self._is_upsert(stream) and not live:
-            return self._upsert_sink(stream, []).image(spark)
+            if self._keeps_image(stream):
+                return self._upsert_sink(stream, []).image(spark)
+            return scan_image(spark, stream, self.binding(name))
         return scan(spark, stream, self.binding(name), streaming=live and name not in self.static)
 
     def _select(self, query: Query, inputs: dict[str, DataFrame], spark: SparkSession) -> DataFrame:
@@ -131,6 +135,10 @@ class Pipeline:
     def _is_upsert(stream: Stream) -> bool:
         return stream.resolved_options()["connector"].startswith("upsert")
 
+    def _keeps_image(self, stream: Stream) -> bool:
+        """Typed upsert targets are kept as an image; message targets get key/value messages."""
+        return self._is_upsert(stream) and self.binding(stream.name).layout == "typed"
+
     def _upsert_sink(self, stream: Stream, order: list[str]) -> UpsertSink:
         if not stream.primary_key:
             raise StreamError(f"upsert stream {stream.name!r} declares no primary key")
@@ -185,7 +193,7 @@ class Pipeline:
             inputs = {n: self._input(spark, n, live=False) for n in query.input_names()}
             target = self.catalog.get(query.target_name())
             rows = insert_by_position(query.apply_closed(self._select(query, inputs, spark)), target.writable_schema)
-            if self._is_upsert(target):
+            if self._keeps_image(target):
                 sink = self._upsert_sink(target, query.order)
                 sink.write(rows, 1 + max(committed(spark, f"{sink.path}/changes"), default=-1))
             else:
@@ -200,6 +208,9 @@ class Pipeline:
     def start(self, spark: SparkSession, checkpoints: str, every: str) -> list[StreamingQuery]:
         """Start every step as its own streaming query, each with its own checkpoint."""
         self.check()
+        for name in dict.fromkeys(filter(None, (q.target_name() for q in self.queries))):
+            if self.binding(name).path:
+                make_folder(spark, self.binding(name).path)
         started = [self._start_query(spark, q, f"{checkpoints}/query-{i}", every) for i, q in enumerate(self.queries)]
         for i, step in enumerate(self.messages):
             started += self._start_messages(spark, step, f"{checkpoints}/messages-{i}", every)
@@ -218,7 +229,7 @@ class Pipeline:
         rows = self._select(query, inputs, spark)
         target = self.catalog.get(query.target_name())
         finishing = lambda batch: insert_by_position(query.apply_closed(batch), target.writable_schema)
-        if self._is_upsert(target):
+        if self._keeps_image(target):
             sink = self._upsert_sink(target, query.order)
             return each_batch(rows, lambda b, n: sink.write(finishing(b), n), checkpoint, every, query.mode)
         binding = self.binding(target.name)
@@ -244,7 +255,7 @@ class Pipeline:
     def _start_messages(self, spark: SparkSession, step: MessageStep, checkpoint: str, every: str | None):
         declared = step.source not in self.tables and step.source in self.catalog
         stream = self.catalog.get(step.source) if declared else None
-        if stream is not None and self._is_upsert(stream):
+        if stream is not None and self._keeps_image(stream):
             # A keyed image is read as its change folders; each change is one message.
             changes = self._changes(spark, stream)
             mapped = map_messages(encode(changes, stream, "_deleted"), step.function, step.params)
@@ -258,9 +269,8 @@ class Pipeline:
         return started
 
     def _changes(self, spark: SparkSession, stream: Stream) -> DataFrame:
-        path = f"{self.binding(stream.name).path}/changes"
-        schema = spark.read.parquet(f"{path}/b=*").schema
-        return spark.readStream.schema(schema).parquet(f"{path}/b=*")
+        schema = T.StructType([*stream.writable_schema.fields, T.StructField(DELETED, T.BooleanType())])
+        return spark.readStream.schema(schema).parquet(f"{self.binding(stream.name).path}/changes/b=*")
 
     # -- diagnostics ----------------------------------------------------------------------
 

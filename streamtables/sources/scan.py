@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from streamtables.functions import codec
 from streamtables.functions.times import proctime, with_watermark
+from streamtables.operators.versions import latest_image
 from streamtables.sources.stream import Stream, StreamError
 
 #: Columns of a message as brokers deliver it.
@@ -163,6 +164,25 @@ def scan(
     return with_time_attributes(typed, stream)
 
 
+def scan_image(spark: SparkSession, stream: Stream, binding: Binding) -> DataFrame:
+    """Current image of an upsert stream stored as messages: the newest message per key counts,
+    and one without a value removes its key."""
+    stored = read_stored(spark, stream, binding, streaming=False)
+    keys = T.StructType([stream.payload[k] for k in stream.key_fields])
+    marked = stored.select(
+        codec.json_key("key", keys).alias("_key"), "value", "timestamp", "partition", "offset"
+    )
+    newest = latest_image(marked, ["_key"], ["timestamp", "partition", "offset"], F.col("value").isNull())
+    body = newest.withColumn("_body", codec.json_value("value", stream.payload))
+    selected: list[Column] = []
+    for name in stream.payload.names:
+        column = F.col(f"_body.`{name}`")
+        if name in stream.key_fields:
+            column = F.coalesce(column, F.col(f"_key.`{name}`"))
+        selected.append(column.alias(name))
+    return body.select(*selected)
+
+
 def encode(df: DataFrame, stream: Stream, deleted: str | None = None) -> DataFrame:
     """Declared columns to key/value messages. A deleted row keeps its key and loses its value."""
     options = stream.resolved_options()

@@ -10,6 +10,12 @@ def _folder(spark: SparkSession, path: str):
     return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    """Create a folder, so that a stream can watch it before its first file is written."""
+    fs, target = _folder(spark, path)
+    fs.mkdirs(target)
+
+
 def committed(spark: SparkSession, path: str) -> list[int]:
     """Numbers of the sub-folders ``b=<n>`` whose write was committed, in order."""
     fs, target = _folder(spark, path)

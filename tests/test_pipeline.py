@@ -198,3 +198,29 @@ def test_many_outputs(spark, tmp_path):
     bindings = {n: Binding(path=str(tmp_path / n)) for n in ("one", "two")}
     Pipeline(Catalog(), messages=[MessageStep("t", "uppercase", ["one", "two"])], tables=tables, bindings=bindings).run_batch(spark)
     assert all(spark.read.parquet(b.path).filter(F.col("value") == "V").count() == 1 for b in bindings.values())
+
+
+def test_live_steps_started_together(spark, stored, tmp_path):
+    steps = pipeline(stored)
+    started = steps.start(spark, str(tmp_path / "checkpoints"), "1 second")
+    for _ in range(3):
+        for query in started:
+            query.processAllAvailable()
+    for query in started:
+        query.stop()
+    assert {tuple(r) for r in steps.debug(spark, stored=True).collect()} == {("+I", 1, "P"), ("+I", 2, "R")}
+    assert {r.value for r in spark.read.parquet(stored["loud"].path).collect()} >= {'{"Y":1,"U":"P"}'}
+
+
+def test_upsert_stream_stored_as_messages(spark, stored, tmp_path):
+    stored["image"] = Binding(path=str(tmp_path / "messages"), layout="message")
+    rows = [
+        (b'{"y":1}', b'{"y":1,"u":"old"}', 1),
+        (b'{"y":1}', b'{"y":1,"u":"new"}', 2),
+        (b'{"y":2}', b'{"y":2,"u":"x"}', 1),
+        (b'{"y":2}', None, 2),
+    ]
+    df = spark.createDataFrame(rows, "key binary, value binary, offset bigint")
+    df.selectExpr("key", "value", "'t' topic", "0 partition", "offset", "timestamp'2024-01-01' timestamp").write.parquet(stored["image"].path)
+    steps = Pipeline(CATALOG, [Query("INSERT INTO [[STREAM:b]] SELECT y, u FROM [[STREAM:image]]")], bindings=stored)
+    assert [tuple(r) for r in steps.results(spark)["b"].collect()] == [(1, "new")]

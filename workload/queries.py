@@ -12,6 +12,7 @@ from streamtables.functions import codec
 from streamtables.functions.times import flatten_window, millis
 from streamtables.operators import frames, joins, sets, versions, windows
 from streamtables.operators.checks import duplicate_keys, required_report, split_required
+from streamtables.operators.ordered import settle
 from streamtables.operators.ranking import rank_rows, top_k
 from streamtables.plans import charts
 from streamtables.plans.pipeline import MessageStep, Pipeline, Query
@@ -99,7 +100,7 @@ def tumble_play_count(spark, sf_dir):
 @query
 def rank_in_window(spark, sf_dir):
     counts = charts.window_counts(_enriched(spark, sf_dir), S.WINDOW)
-    return rank_rows(counts, ["window_start", "window_end", "genre"], charts.best_first())
+    return rank_rows(settle(counts), ["window_start", "window_end", "genre"], charts.best_first())
 
 
 @query
