@@ -47,31 +47,53 @@ def over_rows(
     return result.filter(F.col("_home") == F.col("_block")).drop("_n", "_home", "_block")
 
 
+# How a RANGE aggregate is taken over some rows, and how two such parts are put together.
+_TAKE = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max}
+_MERGE = {
+    "sum": lambda a, b: F.coalesce(a + b, a, b),
+    "count": lambda a, b: F.coalesce(a + b, a, b),
+    "min": F.least,
+    "max": F.greatest,
+}
+
+
 def over_range(
-    df: DataFrame,
-    by: list[str],
-    time: str,
-    range_seconds: int,
-    aggregates: dict[str, Column],
-    split: bool | None = None,
+    df: DataFrame, by: list[str], time: str, range_seconds: int, aggregates: dict[str, tuple[str, str]]
 ) -> DataFrame:
     """Aggregates over the rows of the last ``range_seconds`` up to the current row's time.
 
-    Large groups are cut into time slots as long as the range; each slot also gets the rows of
-    the slot before, which is as far back as its frames reach.
+    ``aggregates`` maps a result name to (``sum`` | ``count`` | ``min`` | ``max``, column).
+
+    Time is cut into slots as long as the range, so a frame is the end of one slot and the
+    start of the next. Aggregates from the start and to the end of each slot are running ones;
+    each row then looks up where its frame begins in the slot before. A frame is never summed
+    row by row, so dense frames cost no more than sparse ones, and a large group is split by
+    slot.
     """
-    micros = F.unix_micros(F.col(time).cast("timestamp"))
     reach = range_seconds * 1_000_000
-    if split is None:
-        split = needs_split(df, by)
-    if not split:
-        frame = Window.partitionBy(*by).orderBy("_t").rangeBetween(-reach, 0)
-        return df.withColumn("_t", micros).select("*", *_over(aggregates, frame)).drop("_t")
-    home = time_slot(time, reach)
-    slots = df.withColumn("_t", micros).withColumn("_home", home).withColumn("_slot", F.explode(F.array(home, home + reach)))
-    frame = Window.partitionBy(*by, "_slot").orderBy("_t").rangeBetween(-reach, 0)
-    result = slots.select("*", *_over(aggregates, frame))
-    return result.filter(F.col("_home") == F.col("_slot")).drop("_t", "_home", "_slot")
+    slot = [*by, "_slot"]
+    cut = df.withColumn("_t", F.unix_micros(F.col(time).cast("timestamp"))).withColumn("_slot", time_slot(time, reach))
+    from_start = Window.partitionBy(*slot).orderBy(F.col("_t").asc()).rangeBetween(Window.unboundedPreceding, 0)
+    to_end = Window.partitionBy(*slot).orderBy(F.col("_t").desc()).rangeBetween(Window.unboundedPreceding, 0)
+    parts = cut.select(
+        *by,
+        "_t",
+        "_slot",
+        F.struct(*[c for c in df.columns if c not in by]).alias("_row"),
+        F.struct(*[_TAKE[kind](c).over(from_start).alias(n) for n, (kind, c) in aggregates.items()]).alias("_head"),
+        F.struct(*[_TAKE[kind](c).over(to_end).alias(n) for n, (kind, c) in aggregates.items()]).alias("_tail"),
+    )
+    # A row of the slot before, moved on by the range, lies where the frames it opens end.
+    opening = parts.select(
+        *by, (F.col("_t") + reach).alias("_t"), (F.col("_slot") + reach).alias("_slot"), "_tail", F.lit(0).alias("_side")
+    )
+    current = parts.drop("_tail").withColumn("_side", F.lit(1))
+    line = current.unionByName(opening, allowMissingColumns=True)
+    nearest = Window.partitionBy(*slot).orderBy(F.col("_t").desc(), F.col("_side").asc())
+    framed = line.withColumn("_before", F.last("_tail", ignorenulls=True).over(nearest)).filter(F.col("_side") == 1)
+    merged = {n: _MERGE[kind](F.col(f"_head.{n}"), F.col(f"_before.{n}")) for n, (kind, _) in aggregates.items()}
+    columns = [F.col(c) if c in by else F.col(f"_row.{c}").alias(c) for c in df.columns]
+    return framed.select(*columns, *[v.alias(n) for n, v in merged.items()])
 
 
 def running_sum(

@@ -102,11 +102,17 @@ def test_rows_frame(table, rows, order, split, preceding, block):
     assert len(got) == len(rows)
 
 
-@pytest.mark.parametrize("split", [False, True])
-def test_range_frame(table, rows, split):
-    got = {r.id: r.total for r in frames.over_range(table, ["k"], "t", 300, {"total": F.sum("v")}, split).collect()}
+@pytest.mark.parametrize("seconds", [1, 50, 300, 9000])
+def test_range_frame(table, rows, seconds):
+    value = F.when(F.col("v") > 20, F.col("v"))
+    aggregates = {"total": ("sum", "w"), "n": ("count", "w"), "low": ("min", "w"), "high": ("max", "w")}
+    got = frames.over_range(table.withColumn("w", value), ["k"], "t", seconds, aggregates)
+    assert got.columns == ["k", "s", "id", "v", "t", "w", "total", "n", "low", "high"]
+    results = {r.id: (r.total, r.n, r.low, r.high) for r in got.collect()}
+    assert len(results) == len(rows)
     for r in rows:
-        assert got[r[2]] == sum(x[3] for x in rows if x[0] == r[0] and r[1] - 300 <= x[1] <= r[1])
+        frame = [x[3] for x in rows if x[0] == r[0] and r[1] - seconds <= x[1] <= r[1] and x[3] > 20]
+        assert results[r[2]] == ((sum(frame), len(frame), min(frame), max(frame)) if frame else (None, 0, None, None))
 
 
 @pytest.mark.parametrize("split", [False, True])

@@ -69,9 +69,9 @@ def _one_per_key(direction: str) -> str:
         PARTITION BY user_id, event_type ORDER BY ts {direction}, event_id {direction}) AS rn FROM events) WHERE rn = 1"""
 
 
-def _over(frame: str) -> str:
+def _over(frame: str, more: str = "") -> str:
     return f"""SELECT event_id, user_id, ts, value,
-        CAST(sum(CAST(value AS DECIMAL(18,2))) OVER w AS DOUBLE) AS total, count(*) OVER w AS frame_rows
+        CAST(sum(CAST(value AS DECIMAL(18,2))) OVER w AS DOUBLE) AS total, count(*) OVER w AS frame_rows{more}
         FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts {frame})"""
 
 
@@ -174,8 +174,10 @@ ORACLES: dict[str, str] = {
     "stream_dedup": "SELECT event_id, ts, user_id, event_type, value, props FROM events",
     "over_rows_frame": _over("ROWS BETWEEN 2 PRECEDING AND CURRENT ROW"),
     "over_rows_frame_chunked": _over("ROWS BETWEEN 2 PRECEDING AND CURRENT ROW"),
-    "over_range_frame": _over("RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW"),
-    "over_range_frame_sliced": _over("RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW"),
+    "over_range_frame": _over(
+        "RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW",
+        ", min(event_id) OVER w AS lowest, max(event_id) OVER w AS highest",
+    ),
     "running_total": _RUNNING,
     "running_total_chunked": _RUNNING,
     "union_all": _two_sides("UNION ALL"),

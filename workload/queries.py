@@ -358,8 +358,8 @@ def builtin_upper_messages(spark, sf_dir):
 def stream_message_stage(spark, sf_dir):
     """Pass-through pipeline without SQL: live messages through a function into an output stream."""
     folder = run_dir(spark, "messages")
-    reader = spark.readStream.schema(S.CONVERSATIONS).option("pathGlobFilter", "conversations.parquet")
-    messages = reader.parquet(sf_dir).select(F.col("conv_id").cast("string").alias("key"), F.col("text").alias("value"))
+    talk = S.conversations(spark, sf_dir, live=True)
+    messages = talk.select(F.col("conv_id").cast("string").alias("key"), F.col("text").alias("value"))
     pipeline = Pipeline(
         S.CATALOG,
         messages=[MessageStep("talk", "uppercase", ["loud"])],
@@ -578,19 +578,15 @@ def over_rows_frame_chunked(spark, sf_dir):
     return _over_rows(spark, sf_dir, True)
 
 
-def _over_range(spark, sf_dir, split):
-    aggregates = {"total": F.sum("value"), "frame_rows": F.count("*")}
-    return _as_double(frames.over_range(_frame_rows(spark, sf_dir), ["user_id"], "ts", DAY, aggregates, split))
-
-
 @query
 def over_range_frame(spark, sf_dir):
-    return _over_range(spark, sf_dir, None)
-
-
-@query
-def over_range_frame_sliced(spark, sf_dir):
-    return _over_range(spark, sf_dir, True)
+    aggregates = {
+        "total": ("sum", "value"),
+        "frame_rows": ("count", "value"),
+        "lowest": ("min", "event_id"),
+        "highest": ("max", "event_id"),
+    }
+    return _as_double(frames.over_range(_frame_rows(spark, sf_dir), ["user_id"], "ts", DAY, aggregates))
 
 
 def _running(spark, sf_dir, split):

@@ -91,18 +91,25 @@ def _ddl(text: str) -> T.StructType:
     return T.StructType.fromDDL(text)
 
 
+def table_path(sf_dir: str, table: str) -> str:
+    """Path pattern of a table, be it one file or a folder of files.
+
+    A live file source watches patterns and folders, so the single-file case needs a pattern.
+    """
+    return f"{sf_dir}/{table}.parque[t]"
+
+
 def plays_binding(sf_dir: str) -> Binding:
     return Binding(
-        path=sf_dir,
+        path=table_path(sf_dir, "events"),
         columns={"song_id": "user_id", "duration": "value"},
         schema=_ddl(EVENTS),
-        options={"pathGlobFilter": "events.parquet"},
     )
 
 
 def songs_binding(sf_dir: str) -> Binding:
     return Binding(
-        path=sf_dir,
+        path=table_path(sf_dir, "customer"),
         columns={
             "id": "c_custkey",
             "name": "c_name",
@@ -111,7 +118,6 @@ def songs_binding(sf_dir: str) -> Binding:
             "genre": "c_mktsegment",
         },
         schema=_ddl(CUSTOMER),
-        options={"pathGlobFilter": "customer.parquet"},
     )
 
 
@@ -126,16 +132,17 @@ def songs(spark: SparkSession, sf_dir: str, live: bool = False) -> DataFrame:
 def events(spark: SparkSession, sf_dir: str, live: bool = False, delay: str = "30 seconds") -> DataFrame:
     """The events table as stored; a live scan declares ``ts`` as event time."""
     reader = (spark.readStream if live else spark.read).schema(_ddl(EVENTS))
-    df = reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    df = reader.parquet(table_path(sf_dir, "events"))
     return df.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay) if live else df
 
 
 def customer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.schema(_ddl(CUSTOMER)).parquet(f"{sf_dir}/customer.parquet")
+    return spark.read.schema(_ddl(CUSTOMER)).parquet(table_path(sf_dir, "customer"))
 
 
-def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.schema(_ddl(CONVERSATIONS)).parquet(f"{sf_dir}/conversations.parquet")
+def conversations(spark: SparkSession, sf_dir: str, live: bool = False) -> DataFrame:
+    reader = (spark.readStream if live else spark.read).schema(_ddl(CONVERSATIONS))
+    return reader.parquet(table_path(sf_dir, "conversations"))
 
 
 def without_zone(df: DataFrame) -> DataFrame:
