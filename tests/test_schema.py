@@ -260,3 +260,31 @@ def test_inline_wins_and_registry_text():
     assert stream.table == "P" and stream.servers == {"brokers": "h:1"}
     del resource["spec"]["dataSchemaContext"]["inline"]
     assert Stream.from_dict(resource).table == "X"
+
+
+class FakeContext:
+    def __init__(self, master, folder=None):
+        self.master, self.folder = master, folder
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
+class FakeSession:
+    def __init__(self, master, conf=None, folder=None):
+        self.sparkContext = FakeContext(master, folder)
+        self.conf = {"spark.checkpoint.dir": conf} if conf else {}
+
+
+def test_shared_folder_comes_from_the_session():
+    from streamtables.session import shared_dir
+
+    assert shared_dir(FakeSession("spark://m", conf="hdfs://x/ck/")) == "hdfs://x/ck"
+    assert shared_dir(FakeSession("spark://m", folder="hdfs://x/set")) == "hdfs://x/set"
+    with pytest.raises(ValueError):
+        shared_dir(FakeSession("yarn"))
+    local = FakeSession("local[2]")
+    assert shared_dir(local) == local.sparkContext.folder == shared_dir(local)
