@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from streamtables.functions.times import time_slot
-from streamtables.operators.ordered import CHUNK, Carry, carry_over, cut_into_chunks, in_order, needs_split
+from streamtables.operators.ordered import CHUNK, Carry, carry_over, cut_into_chunks, decide_split, in_order
 from streamtables.operators.ranking import rank_rows
 
 
@@ -28,9 +28,7 @@ def over_rows(
     A group too large for one task is numbered and cut into blocks of rows. Each block also
     gets the last ``preceding`` rows of the one before, which is all its frames can reach.
     """
-    if split is None:
-        split = needs_split(df, by)
-    if not split:
+    if not decide_split(df, by, split):
         frame = in_order(by, order).rowsBetween(-preceding, 0)
         return df.select("*", *_over(aggregates, frame))
     block_rows = max(block_rows, preceding + 1)
@@ -101,12 +99,11 @@ def running_sum(
 ) -> DataFrame:
     """Sum of ``value`` over all rows of the group up to the current one; the order is total."""
     df = df.withColumn("_value", value)
-    if split is None:
-        split = needs_split(df, by)
-    if not split:
+    parts = decide_split(df, by, split)
+    if not parts:
         frame = in_order(by, order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(name, F.sum("_value").over(frame)).drop("_value")
-    chunked = cut_into_chunks(df, by, order)
+    chunked = cut_into_chunks(df, by, order, parts.chunks)
     carried = carry_over(chunked, by, [Carry("_earlier", F.sum("_value"), "sum")])
     frame = in_order(by, order, chunked=True).rowsBetween(Window.unboundedPreceding, 0)
     local, earlier = F.sum("_value").over(frame), F.col("_earlier")

@@ -14,29 +14,53 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from streamtables.session import shared_dir
+from streamtables.session import run_dir
 
 CHUNK = "_chunk"
 
-#: Groups up to this many rows are sorted by one task.
+#: Groups and chunks up to this many rows are sorted by one task.
 MAX_GROUP_ROWS = 2_000_000
 
 
-def needs_split(df: DataFrame, keys: list[str], max_group_rows: int = MAX_GROUP_ROWS) -> bool:
-    """Whether some group is larger than one task should sort.
+@dataclass(frozen=True)
+class Split:
+    """How to work on groups in order: whole, or in this many chunks."""
+
+    chunks: int = 0
+
+    def __bool__(self) -> bool:
+        return self.chunks > 0
+
+
+def _chunks_for(df: DataFrame, rows: int, per_chunk: int) -> int:
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_chunk))
 
-    Only the largest count reaches the driver; counting is combined before its shuffle.
+
+def decide_split(
+    df: DataFrame, keys: list[str], split: bool | None = None, max_group_rows: int = MAX_GROUP_ROWS
+) -> Split:
+    """Whether some group is larger than one task should sort, and into how many chunks to cut.
+
+    Only two numbers reach the driver, the largest and the total count; counting is combined
+    before its shuffle and reads the key columns only. ``split`` decides beforehand.
     """
-    if df.isStreaming:
-        return False
-    largest = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    return (largest or 0) > max_group_rows
+    if df.isStreaming or split is False:
+        return Split()
+    if split:
+        return Split(_chunks_for(df, df.count(), max_group_rows))
+    sizes = df.groupBy(*keys).count().agg(F.max("count").alias("largest"), F.sum("count").alias("total")).first()
+    too_large = (sizes.largest or 0) > max_group_rows
+    return Split(_chunks_for(df, sizes.total, max_group_rows)) if too_large else Split()
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write a costly intermediate result once to the shared folder, to be read several times."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write an intermediate result once to the shared folder and read it from there.
+
+    Later passes read only the columns they need, and lost executors do not change the rows.
+    """
+    path = run_dir(df.sparkSession, "settled")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def in_order(keys: list[str], order: list[Column], chunked: bool = False):
@@ -44,18 +68,14 @@ def in_order(keys: list[str], order: list[Column], chunked: bool = False):
     return Window.partitionBy(*([CHUNK] if chunked else []), *keys).orderBy(*order)
 
 
-def cut_into_chunks(df: DataFrame, keys: list[str], order: list[Column], chunks: int | None = None) -> DataFrame:
+def cut_into_chunks(df: DataFrame, keys: list[str], order: list[Column], chunks: int) -> DataFrame:
     """Number the range partitions of ``df`` by key and order, and keep the result.
 
     The order must be total within a key. Range bounds are sampled, so the numbered rows are
-    written once by ``checkpoint()``; every later pass then sees the same chunks, also after
-    executors were lost.
+    settled once; every later pass sees the same chunks.
     """
-    spark = df.sparkSession
-    shared_dir(spark)
-    chunks = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(chunks, *[F.col(k).asc() for k in keys], *order)
-    return ranged.withColumn(CHUNK, F.spark_partition_id()).checkpoint()
+    return settle(ranged.withColumn(CHUNK, F.spark_partition_id()))
 
 
 @dataclass(frozen=True)
@@ -74,7 +94,8 @@ def carry_over(chunked: DataFrame, keys: list[str], carries: list[Carry]) -> Dat
     """Add, to each row, what the earlier chunks hold for the row's key (null if nothing).
 
     Only the first key of a chunk can have begun in an earlier one, so the summary has one row
-    per chunk whatever the data size; it is broadcast under that bound.
+    per chunk. Its join needs the chunk number alone: Spark broadcasts the summary while it is
+    small, and otherwise shuffles once by chunk, which the windows over chunks then re-use.
     """
     key = F.struct(*keys)
     per_key = chunked.groupBy(CHUNK, *keys).agg(*[c.inside.alias(c.name) for c in carries])
@@ -93,11 +114,9 @@ def carry_over(chunked: DataFrame, keys: list[str], carries: list[Carry]) -> Dat
         edges.select(CHUNK, "_first", "_last", F.struct(*[v.alias(n) for n, v in running.items()]).alias("_run"))
         .withColumn("_before", F.lag(F.struct("_last", "_run")).over(previous))
         .filter(F.col("_before._last").eqNullSafe(F.col("_first")))
-        .select(
-            F.col(CHUNK).alias("_edge"),
-            "_first",
-            *[F.col(f"_before._run.{c.name}").alias(c.name) for c in carries],
-        )
+        .select(F.col(CHUNK).alias("_edge"), "_first", F.col("_before._run").alias("_carried"))
     )
-    starts_earlier = (F.col(CHUNK) == F.col("_edge")) & key.eqNullSafe(F.col("_first"))
-    return chunked.join(F.broadcast(edges), starts_earlier, "left").drop("_edge", "_first")
+    joined = chunked.join(edges, F.col(CHUNK) == F.col("_edge"), "left")
+    began_earlier = F.col("_edge").isNotNull() & key.eqNullSafe(F.col("_first"))
+    carried = [F.when(began_earlier, F.col(f"_carried.{c.name}")).alias(c.name) for c in carries]
+    return joined.select(*chunked.columns, *carried)

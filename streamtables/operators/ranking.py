@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from streamtables.operators.ordered import CHUNK, Carry, carry_over, cut_into_chunks, in_order, needs_split
+from streamtables.operators.ordered import CHUNK, Carry, carry_over, cut_into_chunks, decide_split, in_order
 
 #: Up to this K Spark prunes each map task to K rows per group before the shuffle
 #: (the default of spark.sql.optimizer.windowGroupLimitThreshold).
@@ -24,11 +24,10 @@ def rank_rows(
     ``split`` None measures the largest group first; groups beyond one task's reach are ranked
     in chunks. Pass ``settle(df)`` when ``df`` is costly, as measuring reads it once more.
     """
-    if split is None:
-        split = needs_split(df, by)
-    if not split:
+    parts = decide_split(df, by, split)
+    if not parts:
         return df.withColumn(name, F.row_number().over(in_order(by, order)))
-    chunked = cut_into_chunks(df, by, order)
+    chunked = cut_into_chunks(df, by, order, parts.chunks)
     carried = carry_over(chunked, by, [Carry("_earlier", F.count("*"), "sum")])
     local = F.row_number().over(in_order(by, order, chunked=True))
     rank = (local + F.coalesce(F.col("_earlier"), F.lit(0))).cast("int")

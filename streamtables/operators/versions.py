@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from streamtables.operators.ordered import CHUNK, Carry, carry_over, cut_into_chunks, in_order, needs_split
+from streamtables.operators.ordered import CHUNK, Carry, carry_over, cut_into_chunks, decide_split, in_order
 
 
 def as_of_join(
@@ -45,10 +45,9 @@ def as_of_join(
         allowMissingColumns=True,
     )
     order = [F.col(c).asc() for c in ("_t", "_side", "_version_tie", "_fact_tie")]
-    if split is None:
-        split = needs_split(line, by)
-    if split:
-        chunked = cut_into_chunks(line, by, order)
+    parts = decide_split(line, by, split)
+    if parts:
+        chunked = cut_into_chunks(line, by, order, parts.chunks)
         position = F.struct("_t", "_side", "_version_tie")
         newest = F.max_by("_version", F.when(F.col("_side") == 0, position))
         line = carry_over(chunked, by, [Carry("_carried", newest, "last")])

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streamtables.functions.times import flatten_window
-from streamtables.operators.ordered import CHUNK, Carry, carry_over, cut_into_chunks, in_order, needs_split
+from streamtables.operators.ordered import CHUNK, Carry, carry_over, cut_into_chunks, decide_split, in_order
 
 
 def tumble(df: DataFrame, time: str, size: str) -> DataFrame:
@@ -99,15 +99,14 @@ def session_count(
     The end is the last row's time plus the gap. Groups too large for one task are read in
     chunks, and a session that crosses chunks is joined up.
     """
-    if split is None:
-        split = needs_split(df, by)
-    if df.isStreaming or not split:
+    parts = decide_split(df, by, split)
+    if not parts:
         sessions = df.groupBy(F.session_window(time, f"{gap_seconds} seconds").alias("window"), *by)
         return flatten_window(sessions.agg(F.count("*").alias(name)))
     order = [F.col(time).asc()]
     # Rows with one key and one time always share a session, so they are counted first.
     instants = df.filter(F.col(time).isNotNull()).groupBy(*by, time).agg(F.count("*").alias("_rows"))
-    chunked = cut_into_chunks(instants, by, order)
+    chunked = cut_into_chunks(instants, by, order, parts.chunks)
     linked = carry_over(chunked, by, [Carry("_before", F.max(time), "last")])
     previous = F.coalesce(F.lag(time).over(in_order(by, order, chunked=True)), F.col("_before"))
     is_start = previous.isNull() | (F.col(time) > previous + F.expr(f"INTERVAL {gap_seconds} SECONDS"))

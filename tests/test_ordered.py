@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from streamtables.operators import frames, joins, sets, versions, windows
-from streamtables.operators.ordered import Carry, carry_over, cut_into_chunks, needs_split
+from streamtables.operators.ordered import Carry, Split, carry_over, cut_into_chunks, decide_split, settle
 from streamtables.operators.ranking import rank_rows, top_k
 
 START = dt.datetime(2024, 1, 1)
@@ -45,9 +45,18 @@ def order(spark):
     return [F.col("s").asc(), F.col("id").asc()]
 
 
-def test_needs_split_measures_the_largest_group(table):
-    assert needs_split(table, ["k"], 200) and not needs_split(table, ["k"], 400)
-    assert not needs_split(table.limit(0), ["k"], 1)
+def test_split_follows_the_largest_group(table):
+    assert not decide_split(table, ["k"], max_group_rows=400)
+    assert decide_split(table, ["k"], max_group_rows=100) == Split(4), "at least the shuffle partitions"
+    assert decide_split(table, ["k"], max_group_rows=10) == Split(40), "chunks stay under the limit"
+    assert decide_split(table, ["k"], True, 10) == Split(40)
+    assert not decide_split(table, ["k"], False, 10)
+    assert not decide_split(table.limit(0), ["k"], max_group_rows=1)
+
+
+def test_settle_keeps_rows_and_schema(table):
+    kept = settle(table)
+    assert kept.schema == table.schema and kept.exceptAll(table).count() == 0 and kept.count() == table.count()
 
 
 @pytest.mark.parametrize("split", [False, True, None])
