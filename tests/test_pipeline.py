@@ -224,3 +224,31 @@ def test_upsert_stream_stored_as_messages(spark, stored, tmp_path):
     df.selectExpr("key", "value", "'t' topic", "0 partition", "offset", "timestamp'2024-01-01' timestamp").write.parquet(stored["image"].path)
     steps = Pipeline(CATALOG, [Query("INSERT INTO [[STREAM:b]] SELECT y, u FROM [[STREAM:image]]")], bindings=stored)
     assert [tuple(r) for r in steps.results(spark)["b"].collect()] == [(1, "new")]
+
+
+def test_readme_example(spark, tmp_path):
+    plays = Stream.declare(
+        "plays",
+        sql="CREATE TABLE Plays (`song_id` BIGINT NOT NULL, `duration` BIGINT, `at` TIMESTAMP(3) NOT NULL)",
+        time_attributes={"at": "`at` - INTERVAL '30' SECONDS"},
+        options={"ddl.value.format": "json", "ddl.key.fields": "song_id"},
+    )
+    counts = Stream.declare(
+        "counts",
+        sql="CREATE TABLE Counts (`start` TIMESTAMP(3), `song_id` BIGINT, `n` BIGINT)",
+        primary_key=["start", "song_id"],
+        options={"ddl.value.format": "json", "ddl.connector": "upsert-kafka"},
+    )
+    text = """INSERT INTO [[STREAM:counts]]
+              SELECT window.start, song_id, COUNT(*)
+              FROM TABLE(TUMBLE(TABLE [[STREAM:plays]], DESCRIPTOR(at), INTERVAL '60' SECONDS))
+              WHERE duration >= 30000 GROUP BY window, song_id"""
+    rows = "VALUES (1L, 30000L, 5), (1L, 40000L, 50), (2L, 29999L, 6), (2L, NULL, 7), (2L, 30000L, 100), (9L, 30000L, 200)"
+    stored = spark.sql(f"SELECT col1 AS song_id, col2 AS duration, timestamp_seconds(col3) AS at FROM {rows}")
+    stored.coalesce(1).write.parquet(str(tmp_path / "plays"))
+    bindings = {n: Binding(path=str(tmp_path / n)) for n in ("plays", "counts")}
+    steps = Pipeline(Catalog(plays, counts), [Query(text)], bindings=bindings, debug_query="SELECT song_id, n FROM Counts")
+    assert {(r.song_id, r.n) for r in steps.results(spark)["counts"].collect()} == {(1, 2), (2, 1), (9, 1)}
+    steps.replay(spark, str(tmp_path / "checkpoints"))
+    # The window of the last play is still open.
+    assert {tuple(r) for r in steps.debug(spark, stored=True).collect()} == {("+I", 1, 2), ("+I", 2, 1)}
