@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from streamtables.operators.ordered import CHUNK, Carry, carry_over, cut_into_chunks, decide_split, in_order
+from streamtables.operators.ordered import Carry, carry_over, cut_into_chunks, decide_split, in_order
 
 
 def as_of_join(

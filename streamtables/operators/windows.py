@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streamtables.functions.times import flatten_window
-from streamtables.operators.ordered import CHUNK, Carry, carry_over, cut_into_chunks, decide_split, in_order
+from streamtables.operators.ordered import Carry, carry_over, cut_into_chunks, decide_split, in_order
 
 
 def tumble(df: DataFrame, time: str, size: str) -> DataFrame:

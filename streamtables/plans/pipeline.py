@@ -14,10 +14,11 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from streamtables.functions.messages import map_messages
+from streamtables.operators.checks import duplicate_keys, required_report
 from streamtables.plans.references import expand_windows, referenced_streams, resolve, split_insert
 from streamtables.sources.scan import (
     Binding,
-    broker_binding,
+    declared_binding,
     encode,
     read_channel,
     scan,
@@ -99,7 +100,7 @@ class Pipeline:
     # -- inputs ---------------------------------------------------------------------------
 
     def binding(self, name: str) -> Binding:
-        return self.bindings.get(name) or broker_binding(self.catalog.get(name))
+        return self.bindings.get(name) or declared_binding(self.catalog.get(name))
 
     def check(self) -> None:
         """Every referenced stream must exist and be ready before anything runs."""
@@ -274,6 +275,20 @@ class Pipeline:
 
     # -- diagnostics ----------------------------------------------------------------------
 
+    def audit(self, spark: SparkSession) -> dict[str, tuple[DataFrame, DataFrame | None]]:
+        """Per target: missing values of its required columns, and repeated primary keys.
+
+        Neither constraint is enforced on write, so these reports show what breaks them.
+        """
+        reports: dict[str, tuple[DataFrame, DataFrame | None]] = {}
+        for name, rows in self.results(spark).items():
+            if name in self.catalog:
+                stream = self.catalog.get(name)
+                required = [f.name for f in stream.writable_schema.fields if not f.nullable]
+                repeated = duplicate_keys(rows, list(stream.primary_key)) if stream.primary_key else None
+                reports[name] = (required_report(rows, required), repeated)
+        return reports
+
     def tables_in_use(self) -> list[Stream]:
         names = [n for q in self.queries for n in [*filter(None, [q.target_name()]), *q.input_names()]]
         return [self.catalog.get(n) for n in dict.fromkeys(names)]

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from streamtables.functions import codec
 from streamtables.functions.times import proctime, with_watermark
 from streamtables.operators.versions import latest_image
-from streamtables.sources.stream import Stream, StreamError
+from streamtables.sources.stream import OPTION_PREFIX, Stream, StreamError
 
 #: Columns of a message as brokers deliver it.
 ENVELOPE = T.StructType(
@@ -49,9 +49,19 @@ class Binding:
     options: dict[str, str] = field(default_factory=dict)
 
 
-def broker_binding(stream: Stream) -> Binding:
-    """Binding of a stream that lives on its broker, from the declared options."""
+def declared_binding(stream: Stream) -> Binding:
+    """Binding of a stream from its declared options.
+
+    Broker connectors become the Kafka source; ``filesystem`` reads files; any other connector
+    name is taken as a Spark format, which receives the declared options.
+    """
     options = stream.resolved_options()
+    connector = options["connector"]
+    if connector == "filesystem":
+        return Binding(format=options.get("format", "parquet"), path=options["path"])
+    if connector not in ("kafka", "upsert-kafka"):
+        own = {k.removeprefix(OPTION_PREFIX): v for k, v in stream.options.items() if k.startswith(OPTION_PREFIX)}
+        return Binding(format=connector, options={k: v for k, v in own.items() if k != "connector"})
     read = {"subscribe": options["topic"]}
     for key, value in options.items():
         if key.startswith("properties."):
@@ -158,7 +168,7 @@ def scan(
     streaming: bool = False,
 ) -> DataFrame:
     """A declared stream as a DataFrame: decoded, conformed, with its time attributes."""
-    binding = binding or broker_binding(stream)
+    binding = binding or declared_binding(stream)
     stored = read_stored(spark, stream, binding, streaming)
     typed = decode(stored, stream) if binding.layout == "message" else conform(stored, stream, binding.columns)
     return with_time_attributes(typed, stream)

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from streamtables.functions import codec
 from streamtables.functions.messages import map_messages, message_function, register
 from streamtables.operators.checks import duplicate_keys, required_report, split_required
-from streamtables.sources.scan import Binding, broker_binding, conform, decode, encode, scan, sink_options
+from streamtables.sources.scan import Binding, conform, declared_binding, decode, encode, scan, sink_options
 from streamtables.sources.stream import Stream, StreamError
 
 SCHEMA = T.StructType().add("a", "long").add("b", "string")
@@ -97,7 +97,7 @@ def test_broker_binding_and_passthrough():
         options={"ddl.scan.startup.mode": "earliest-offset", "ddl.properties.group.id": "g"},
         servers={"brokers": "h:9092"},
     )
-    binding = broker_binding(stream)
+    binding = declared_binding(stream)
     assert binding.format == "kafka" and binding.layout == "message"
     assert binding.options == {
         "subscribe": "songs",
@@ -108,7 +108,7 @@ def test_broker_binding_and_passthrough():
     assert sink_options(binding)["topic"] == "songs" and "subscribe" not in sink_options(binding)
     stream.options["ddl.scan.startup.mode"] = "group-offsets"
     with pytest.raises(StreamError):
-        broker_binding(stream)
+        declared_binding(stream)
 
 
 def test_unknown_value_format(spark):
@@ -151,3 +151,15 @@ def test_message_functions(spark):
     assert map_messages(rows, "lowercase", prefer_builtin=False).filter(F.col("value") == "ab").count() == 1
     with pytest.raises(KeyError):
         message_function("nobody")
+
+
+def test_other_connectors(spark, tmp_path):
+    spark.range(3).write.json(str(tmp_path / "n"))
+    files = Stream.declare(
+        "n",
+        sql="CREATE TABLE N (`id` BIGINT)",
+        options={"ddl.connector": "filesystem", "ddl.path": str(tmp_path / "n"), "ddl.format": "json"},
+    )
+    assert scan(spark, files).agg(F.sum("id")).first()[0] == 3
+    ticks = Stream.declare("t", sql="CREATE TABLE T (`value` BIGINT)", options={"ddl.connector": "rate", "ddl.rowsPerSecond": "5"})
+    assert declared_binding(ticks) == Binding(format="rate", options={"rowsPerSecond": "5"})

@@ -252,3 +252,10 @@ def test_readme_example(spark, tmp_path):
     steps.replay(spark, str(tmp_path / "checkpoints"))
     # The window of the last play is still open.
     assert {tuple(r) for r in steps.debug(spark, stored=True).collect()} == {("+I", 1, 2), ("+I", 2, 1)}
+
+
+def test_audit_reports_broken_constraints(spark, stored):
+    text = "INSERT INTO [[STREAM:image]] SELECT nullif(x, 1), s FROM [[STREAM:a-1]]"
+    required, repeated = Pipeline(CATALOG, [Query(text)], bindings=stored).audit(spark)["image"]
+    assert [tuple(r) for r in required.collect()] == [("y", 1, 3)]
+    assert [tuple(r) for r in repeated.collect()] == [(2, 2)]
