@@ -9,6 +9,7 @@ from streamtables.operators.joins import enrich
 from streamtables.operators.ranking import top_k
 from streamtables.operators.windows import tumble_count
 
+
 def best_first() -> list[Column]:
     """Chart order: most plays first; equal counts are settled by the smaller song id."""
     return [F.col("play_count").desc(), F.col("song_id").asc(), F.col("name").asc()]
@@ -35,18 +36,27 @@ def chart(enriched: DataFrame, size: str, k: int) -> DataFrame:
     return ranked.select("window_start", "window_end", "song_id", "name", "genre", "play_count")
 
 
-def chart_from_plays(plays: DataFrame, songs: DataFrame, min_duration: float, size: str, k: int) -> DataFrame:
-    """The same chart in one plan, counting before the join.
+def chart_from_counts(counts: DataFrame, songs: DataFrame, k: int) -> DataFrame:
+    """Top K songs per window and genre from play counts per window and song id.
 
-    Plays shrink to one row per window and song inside the map tasks, so neither the join nor
-    the ranking meets raw plays, and a song with a large share of all plays costs one row per
-    window. Several song rows with one id each receive the full count, as the join of single
-    plays would give. The second aggregation finds its rows already partitioned by song.
+    Several song rows with one id each receive the full count, as a join of single plays would
+    give. The sum finds its rows already partitioned by song.
     """
-    counts = tumble_count(long_plays(plays, min_duration), "event_time", size, ["song_id"], "_plays")
     joined = enrich(counts, songs.select("id", "name", "genre"), "song_id", "id")
     totals = joined.groupBy("window_start", "window_end", "song_id", "name", "genre").agg(
-        F.sum("_plays").alias("play_count")
+        F.sum("plays").alias("play_count")
     )
     ranked = top_k(totals, ["window_start", "window_end", "genre"], best_first(), k)
     return ranked.select("window_start", "window_end", "song_id", "name", "genre", "play_count")
+
+
+def chart_from_plays(plays: DataFrame, songs: DataFrame, min_duration: float, size: str, k: int) -> DataFrame:
+    """The same chart in one plan, counting before the join.
+
+    Plays shrink to one row per window and song inside the map tasks, so neither the join nor
+    the ranking meets raw plays, and a song with a large share of all plays costs one row per
+    window. On a stream the counts of closed windows go through ``chart_from_counts`` batch by
+    batch.
+    """
+    counts = tumble_count(long_plays(plays, min_duration), "event_time", size, ["song_id"], "plays")
+    return chart_from_counts(counts, songs, k)

@@ -258,3 +258,15 @@ def test_approximate_distinct_per_window(table, rows):
     assert abs(got.n - len(rows)) < 0.1 * len(rows)
     with pytest.raises(ValueError):
         windows.grouping_sets(table, "pivot", ["k"])
+
+
+def test_song_listed_twice_counts_twice(spark):
+    from streamtables.plans import charts
+
+    plays = spark.sql("SELECT CAST(x AS BIGINT) AS song_id, 30L AS duration, TIMESTAMP '2024-01-01 00:00:01' AS event_time FROM VALUES (1), (1), (2) AS t(x)")
+    songs = spark.sql("SELECT 1L AS id, 'a' AS name, 'g' AS genre, '' AS album, '' AS artist UNION ALL SELECT 1L, 'a', 'g', '', '' UNION ALL SELECT 2L, 'b', 'g', '', ''")
+    one_plan = charts.chart_from_plays(plays, songs, 30, "60 seconds", 3)
+    two_steps = charts.chart(charts.song_plays(plays, songs, 30), "60 seconds", 3)
+    pick = lambda df: sorted((r.song_id, r.play_count) for r in df.collect())
+    assert pick(one_plan) == pick(two_steps) == [(1, 4), (2, 1)]
+    assert charts.long_plays(plays.withColumn("duration", F.lit(None).cast("long")), 30).count() == 0

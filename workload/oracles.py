@@ -120,6 +120,7 @@ ORACLES: dict[str, str] = {
     "stream_tumble_closed": f"SELECT * FROM ({_COUNTS}) WHERE window_end <= {_PLAYED_UNTIL}",
     "stream_topk_closed_agg": f"SELECT * FROM ({_CHART}) WHERE window_end <= {_PLAYED_UNTIL}",
     "stream_topk_closed_batch": f"SELECT * FROM ({_CHART}) WHERE window_end <= {_PLAYED_UNTIL}",
+    "stream_topk_counted_first": f"SELECT * FROM ({_CHART}) WHERE window_end <= {_PLAYED_UNTIL}",
     "staged_pipeline_topk": f"SELECT * FROM ({_NAMED_CHART}) WHERE window_end <= {_JOINED_UNTIL}",
     "decode_props_json": """SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k,
         CAST(NULL AS VARCHAR) AS missing FROM events""",

@@ -203,6 +203,17 @@ def stream_topk_closed_batch(spark, sf_dir):
     return sink.read(spark)
 
 
+@query
+def stream_topk_counted_first(spark, sf_dir):
+    """Closed windows are counted per song id and joined only then: state and join stay small."""
+    folder, songs = run_dir(spark, "topk-counted"), S.songs(spark, sf_dir)
+    plays = charts.long_plays(S.plays(spark, sf_dir, live=True), S.MIN_DURATION)
+    counts = flatten_window(live_ops.count_closed(plays, "event_time", S.WINDOW, ["song_id"], "plays"))
+    sink = BatchFolder(f"{folder}/out", lambda closed: charts.chart_from_counts(closed, songs, S.TOP))
+    finish(each_batch(counts, sink.write, f"{folder}/checkpoint"))
+    return sink.read(spark)
+
+
 @query
 def staged_pipeline_topk(spark, sf_dir):
     """Two live steps with an intermediate stream; the second has its own watermark and keeps
