@@ -167,12 +167,10 @@ class Pipeline:
 
     # -- batch ----------------------------------------------------------------------------
 
-    def results(self, spark: SparkSession) -> dict[str, DataFrame]:
-        """Each query's rows by target stream, as one lazy batch plan.
-
-        Later queries read earlier results directly, so Catalyst optimises across steps.
-        """
+    def _plans(self, spark: SparkSession) -> tuple[list[DataFrame], dict[str, DataFrame]]:
+        """(rows per query, rows per target) as lazy batch plans."""
         self.check()
+        plans: list[DataFrame] = []
         produced: dict[str, DataFrame] = {}
         for i, query in enumerate(self.queries):
             inputs = {n: produced[n] if n in produced else self._input(spark, n, live=False) for n in query.input_names()}
@@ -181,11 +179,21 @@ class Pipeline:
             if target:
                 stream = self.catalog.get(target)
                 rows = with_time_attributes(insert_by_position(rows, stream.writable_schema), stream)
-            produced[target or f"query-{i}"] = rows
-        for rows_target, rows in produced.items():
-            if not rows_target.startswith("query-"):
-                rows.createOrReplaceTempView(self.catalog.get(rows_target).table)
-        return produced
+            plans.append(rows)
+            name = target or f"query-{i}"
+            produced[name] = produced[name].unionByName(rows) if name in produced else rows
+        for name, rows in produced.items():
+            if name in self.catalog:
+                rows.createOrReplaceTempView(self.catalog.get(name).table)
+        return plans, produced
+
+    def results(self, spark: SparkSession) -> dict[str, DataFrame]:
+        """The rows of each target stream, as one lazy batch plan.
+
+        Later queries read earlier results directly, so Catalyst optimises across steps. Several
+        queries may insert into one stream.
+        """
+        return self._plans(spark)[1]
 
     def run_batch(self, spark: SparkSession) -> None:
         """Run the queries in order over the stored streams and write every target."""
@@ -234,9 +242,13 @@ class Pipeline:
             sink = self._upsert_sink(target, query.order)
             return each_batch(rows, lambda b, n: sink.write(finishing(b), n), checkpoint, every, query.mode)
         binding = self.binding(target.name)
-        if query.closed is not None:
-            folder = BatchFolder(binding.path, lambda b: self._stored_form(finishing(b), target))
-            return each_batch(rows, folder.write, checkpoint, every, query.mode)
+        if query.closed is not None or query.mode != "append":
+            to_stored = lambda batch: self._stored_form(finishing(batch), target)
+            if binding.format == "parquet":
+                write = BatchFolder(binding.path, to_stored).write
+            else:
+                write = lambda batch, number: self._save(to_stored(batch), target.name)
+            return each_batch(rows, write, checkpoint, every, query.mode)
         stored = self._stored_form(finishing(rows), target)
         return append_files(stored, binding.path, checkpoint, every, binding.format, **sink_options(binding))
 
@@ -296,7 +308,7 @@ class Pipeline:
     def explain(self, spark: SparkSession, ids: list[int] | None = None) -> dict[int, str]:
         """Plans of statements by number: the tables in use come first, then the queries."""
         tables = self.tables_in_use()
-        plans = list(self.results(spark).values())
+        plans, _ = self._plans(spark)
         texts: dict[int, str] = {}
         for i in self.explain_ids if ids is None else ids:
             if i < len(tables):

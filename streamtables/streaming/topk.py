@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.internal import InternalFunction
 
 from streamtables.operators.ranking import top_k
 
@@ -28,7 +27,10 @@ def top_k_array(counts: DataFrame, by: list[str], best: Column, rest: list[str],
     ``best`` is a struct whose larger value ranks first. The aggregate keeps K structs per group
     in every map task and in state, never the whole group. Expects the window struct column
     ``window``, which carries the watermark from the first aggregation to the second.
+    ``collect_top_k`` comes with Spark but is not in its public function list.
     """
+    from pyspark.sql.internal import InternalFunction
+
     entry = F.struct(best.alias("best"), *rest)
     grouped = counts.groupBy("window", *by).agg(InternalFunction.collect_top_k(entry, k, False).alias("_top"))
     return grouped.select(

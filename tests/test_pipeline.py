@@ -259,3 +259,18 @@ def test_audit_reports_broken_constraints(spark, stored):
     required, repeated = Pipeline(CATALOG, [Query(text)], bindings=stored).audit(spark)["image"]
     assert [tuple(r) for r in required.collect()] == [("y", 1, 3)]
     assert [tuple(r) for r in repeated.collect()] == [(2, 2)]
+
+
+def test_two_inserts_into_one_stream(spark, stored):
+    texts = [f"INSERT INTO [[STREAM:b]] SELECT x, s FROM [[STREAM:a-1]] WHERE x = {i}" for i in (1, 2)]
+    steps = Pipeline(CATALOG, [Query(t) for t in texts] + [Query("SELECT count(*) AS n FROM [[STREAM:b]]")], bindings=stored)
+    results = steps.results(spark)
+    assert results["b"].count() == 3 and results["query-2"].first().n == 3
+    assert len(steps.explain(spark, [2, 3, 4])) == 3
+
+
+def test_closed_step_into_json_files(spark, stored, tmp_path):
+    stored["b"] = Binding(format="json", path=str(tmp_path / "json"))
+    step = Query("INSERT INTO [[STREAM:b]] SELECT x, s FROM [[STREAM:a-1]]", closed="SELECT max(x), 'm' FROM closed")
+    Pipeline(CATALOG, [step], bindings=stored).replay(spark, str(tmp_path / "c"))
+    assert [tuple(r) for r in spark.read.schema("y bigint, u string").json(str(tmp_path / "json")).collect()] == [(2, "m")]
