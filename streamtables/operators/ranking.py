@@ -26,11 +26,11 @@ def rank_rows(
     """
     parts = decide_split(df, by, split)
     if not parts:
-        return df.withColumn(name, F.row_number().over(in_order(by, order)))
+        return df.withColumn(name, F.row_number().over(in_order(by, order)).cast("long"))
     chunked = cut_into_chunks(df, by, order, parts.chunks)
     carried = carry_over(chunked, by, [Carry("_earlier", F.count("*"), "sum")])
     local = F.row_number().over(in_order(by, order, chunked=True))
-    rank = (local + F.coalesce(F.col("_earlier"), F.lit(0))).cast("int")
+    rank = (local + F.coalesce(F.col("_earlier"), F.lit(0))).cast("long")
     return carried.withColumn(name, rank).drop("_earlier", CHUNK)
 
 

@@ -35,7 +35,8 @@ def as_of_join(
         F.struct(*fact_order).alias("_fact_tie"),
         F.struct(*fact_columns).alias("_fact"),
     ).unionByName(
-        versions.select(
+        # A missing key equals nothing, as in any join.
+        versions.dropna(subset=by).select(
             *by,
             F.col(version_time).alias("_t"),
             F.lit(0).alias("_side"),

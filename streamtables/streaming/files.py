@@ -27,7 +27,8 @@ def committed(spark: SparkSession, path: str) -> list[int]:
 
 def write_numbered(df: DataFrame, path: str, number: int) -> None:
     """Write one numbered folder. Writing the same number again replaces it."""
-    df.write.mode("overwrite").parquet(f"{path}/b={number}")
+    writer = df.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true")
+    writer.parquet(f"{path}/b={number}")
 
 
 def read_numbered(spark: SparkSession, path: str, numbers: list[int]) -> DataFrame:

@@ -165,7 +165,7 @@ def test_as_of(spark, table, rows, split, how):
     )
     expected = set()
     for f in facts:
-        valid = [(m[1], m[2], m[3]) for m in marks if m[0] == f[0] and m[1] <= f[1]]
+        valid = [(m[1], m[2], m[3]) for m in marks if m[0] is not None and m[0] == f[0] and m[1] <= f[1]]
         if valid or how == "left":
             best = max(valid) if valid else (None, None, None)
             expected.add((f[0], f[1], f[2], f[3], *best))
