@@ -19,6 +19,7 @@ from streamtables.llm import (
     packing,
     quality,
     simhash_dedup,
+    syncmers,
 )
 from streamtables.llm.common import table
 from streamtables.llm.oracles import ORACLES
@@ -60,6 +61,15 @@ def op3_quality(spark, sf_dir):
     return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", "predicted")
 
 
+@query
+def op4_syncmers(spark, sf_dir):
+    pairs = syncmers.fingerprint_pairs(documents(spark, sf_dir))
+    edited = F.sha2("edited_text", 256).alias("edited_sha256")
+    return pairs.select(
+        "doc_id", "n_chars", edited, "fingerprint", "edited_fingerprint", "near_edited", "near_next"
+    )
+
+
 @query
 def op5_line_dedup(spark, sf_dir):
     cleaned = line_dedup.dedup_lines(documents(spark, sf_dir))
