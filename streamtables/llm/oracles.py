@@ -2,6 +2,19 @@
 
 ORACLES: dict[str, str] = {}
 
+ORACLES["op1_substring_dedup"] = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM w),
+h AS (SELECT doc_id, i, array_to_string(ws[i:i + 19], ' ') AS x FROM p),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY x ORDER BY doc_id, i) AS n FROM h) WHERE n > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS j FROM r),
+k AS (SELECT doc_id, ws[j] AS word, j FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS j FROM w)),
+o AS (SELECT k.doc_id, word, k.j, c.j IS NOT NULL AS gone FROM k LEFT JOIN c ON k.doc_id = c.doc_id AND k.j = c.j)
+SELECT d.doc_id, count(o.j) AS n_words, count(*) FILTER (WHERE gone) AS n_removed,
+       sha256(coalesce(string_agg(word, ' ' ORDER BY o.j) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM documents d LEFT JOIN o ON d.doc_id = o.doc_id GROUP BY d.doc_id
+"""
+
 ORACLES["op2_exact_dedup"] = """
 WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
 g AS (SELECT x, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY x)

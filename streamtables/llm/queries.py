@@ -19,6 +19,7 @@ from streamtables.llm import (
     packing,
     quality,
     simhash_dedup,
+    substring_dedup,
     syncmers,
 )
 from streamtables.llm.common import table
@@ -46,6 +47,12 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text", *columns)
 
 
+@query
+def op1_substring_dedup(spark, sf_dir):
+    cleaned = substring_dedup.dedup_substrings(documents(spark, sf_dir))
+    return cleaned.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query
 def op2_exact_dedup(spark, sf_dir):
     judged = block_names.dedup_exact(documents(spark, sf_dir))
