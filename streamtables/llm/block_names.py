@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from streamtables.llm.common import id_key, settle, whole_text
+from streamtables.llm.common import NULL_ID, boxed, id_key, settle, unboxed, whole_text
 
 #: Bytes of a block. Most documents are one block, so most need one level.
 BLOCK_BYTES = 4096
@@ -100,7 +100,9 @@ def dedup_exact(docs: DataFrame, block_bytes: int = BLOCK_BYTES, route: Callable
     them apart; ``keep_one_row`` removes repeats.
     """
     own = [c for c in docs.columns if c not in ("keep_id", "group_size", "kept", "text_sha256")]
-    rows = docs.select(*own).withColumns({"_id": id_key(), "_sha": F.sha2(whole_text(), 256), "_text": whole_text()})
+    rows = docs.select(
+        boxed(own), id_key().alias("_id"), F.sha2(whole_text(), 256).alias("_sha"), whole_text().alias("_text")
+    )
     named = settle(name_texts(rows.select("_id", "_sha", "_text"), block_bytes, route), "identities")
     counted = rows.groupBy("_id", "_sha").agg(F.count("*").alias("_rows"))
     groups = (
@@ -113,8 +115,8 @@ def dedup_exact(docs: DataFrame, block_bytes: int = BLOCK_BYTES, route: Callable
     judged = rows.drop("_text").join(verdicts, ["_id", "_sha"], "left")
     keep = F.coalesce("_keep", "_id")
     return judged.select(
-        *own,
-        F.when(keep == F.col("_id"), F.col("doc_id")).otherwise(keep).alias("keep_id"),
+        *unboxed(own),
+        F.nullif(keep, F.lit(NULL_ID)).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         (keep == F.col("_id")).alias("kept"),
         F.col("_sha").alias("text_sha256"),
@@ -127,10 +129,9 @@ def keep_one_row(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     Of rows that repeat that ``doc_id`` with the same text one stays, chosen by a hash of the
     whole row.
     """
-    kept = dedup_exact(docs, block_bytes).filter("kept")
-    single = kept.filter("group_size = 1").select(*docs.columns)
+    marked = docs.select("doc_id", "text", boxed(docs.columns))
+    kept = dedup_exact(marked, block_bytes).filter("kept")
+    single = kept.filter("group_size = 1").select(*unboxed(docs.columns))
     several = kept.filter("group_size > 1")
-    ties = several.groupBy("text_sha256", "doc_id").agg(
-        F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row")
-    )
-    return single.unionByName(ties.select("_row.*"))
+    ties = several.groupBy("text_sha256", "doc_id").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    return single.unionByName(ties.select(*unboxed(docs.columns)))

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from streamtables.llm.common import boxed, unboxed
+
 
 @dataclass(frozen=True)
 class Layout:
@@ -84,12 +86,15 @@ def canonical_turns(
 
     ``record`` names a variant column or one of JSON text; text that is no JSON gives a null
     layout and null turns, as does a layout that no mapping describes. Null fields, roles and
-    texts are empty; an empty list of messages gives no turns.
+    texts are empty; an empty list of messages gives no turns. The three columns replace columns
+    of ``records`` with these names.
     """
     names = ROLE_NAMES if role_names is None else role_names
     kind = records.schema[record].dataType.simpleString()
     value = F.col(record) if kind == "variant" else F.try_parse_json(F.col(record).cast("string"))
-    hashed = records.withColumn("_v", value).withColumn("schema_hash", fingerprint(field_paths(F.col("_v"), layouts)))
+    own = [c for c in records.columns if c not in ("schema_hash", "layout", "turns")]
+    hashed = records.select(boxed(own), value.alias("_v"))
+    hashed = hashed.withColumn("schema_hash", fingerprint(field_paths(F.col("_v"), layouts)))
     layout_of, turns_of = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role string, text string>>")
     for layout in reversed(layouts):
         variants = [layout.paths()]
@@ -105,7 +110,7 @@ def canonical_turns(
         turns_of,
         lambda t: F.struct(_other_name(t["role"], names).alias("role"), t["text"].alias("text")),
     )
-    return hashed.withColumns({"layout": layout_of, "turns": renamed}).drop("_v")
+    return hashed.select(*unboxed(own), "schema_hash", layout_of.alias("layout"), renamed.alias("turns"))
 
 
 def _other_name(role: Column, names: dict[str, str]) -> Column:

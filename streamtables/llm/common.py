@@ -33,6 +33,15 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def boxed(columns: list[str]) -> Column:
+    """A row's own columns in one, so that their names cannot clash with those of a computation."""
+    return F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row")
+
+
+def unboxed(columns: list[str]) -> list[Column]:
+    return [F.col(f"_row.`{c}`").alias(c) for c in columns]
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it from there, so that it is computed once."""
     path = f"{run_dir(df.sparkSession, label)}/rows"

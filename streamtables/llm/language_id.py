@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from streamtables.llm.common import mix64
+from streamtables.llm.common import boxed, mix64, unboxed
 
 ORDER = 4
 UNDETERMINED = "und"
@@ -319,4 +319,5 @@ def identify(docs: DataFrame, models: Models) -> DataFrame:
         rows = [shared.value.predict(t) for t in text]
         return pd.DataFrame(rows, columns=["lang_pred", "score", "rejected"])
 
-    return docs.select(*own, judge("text").alias("_judged")).select(*own, "_judged.*")
+    judged = docs.select(boxed(own), judge("text").alias("_judged"))
+    return judged.select(*unboxed(own), "_judged.*")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from streamtables.llm.common import LOWER, SPACES, UPPER, id_key, whole_text
+from streamtables.llm.common import LOWER, SPACES, UPPER, boxed, id_key, unboxed, whole_text
 
 
 def line_key(line: Column) -> Column:
@@ -41,8 +41,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     ``doc_id`` is one document, before all others. Lines are matched by a 128-bit hash.
     """
     own = [c for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text")]
-    rows = docs.select(*own).withColumns(
-        {"_id": id_key(), "_text": whole_text(), "_tie": F.xxhash64(whole_text())}
+    rows = docs.select(
+        boxed(own), id_key().alias("_id"), whole_text().alias("_text"), F.xxhash64(whole_text()).alias("_tie")
     )
     lines = rows.select("_id", "_tie", F.posexplode(F.split("_text", "\n", -1)).alias("_pos", "_line"))
     lines = lines.withColumn("_key", line_key(F.col("_line"))).filter(F.length("_key") >= min_chars)
@@ -60,7 +60,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     )
     kept = rows.join(drops, ["_id", "_tie"], "left")
     return kept.select(
-        *own,
+        *unboxed(own),
         F.size(F.split("_text", "\n", -1)).cast("long").alias("n_lines"),
         F.coalesce(F.size("_drops"), F.lit(0)).cast("long").alias("n_dropped"),
         _without_lines("_text", "_drops").alias("kept_text"),

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from streamtables.llm.common import WORD_PATTERN, id_key, settle, whole_text
+from streamtables.llm.common import WORD_PATTERN, boxed, id_key, settle, unboxed, whole_text
 
 #: Patterns and sources that may be planned on the driver; more raise an error.
 MAX_PATTERNS = 200_000
@@ -138,7 +138,7 @@ def mix(
     own = [c for c in docs.columns if c not in ("size", "copies", "assigned")]
     place = F.xxhash64(F.lit(seed), id_key(), whole_text())
     sized = docs.select(
-        *own, count_words(F.col("text")).alias("size"), _pattern(sources).alias("_pattern"), place.alias("_place")
+        boxed(own), count_words(F.col("text")).alias("size"), _pattern(sources).alias("_pattern"), place.alias("_place")
     )
     bucket = F.shiftright("_place", 64 - buckets.bit_length() + 1).alias("_bucket")
     narrow = settle(sized.select("_pattern", "size", "_place", bucket), "mix-sizes")
@@ -172,7 +172,7 @@ def mix(
     taken = F.transform(F.filter("_plan", lambda x: _inside(F.col("_place"), x)), lambda x: x["_source"])
     none = F.expr("cast(array() as array<string>)")
     rows = sized.join(plan, "_pattern", "left").withColumn("assigned", F.coalesce(taken, none))
-    return rows.select(*own, "size", F.size("assigned").alias("copies"), "assigned"), dict(sizes), shares
+    return rows.select(*unboxed(own), "size", F.size("assigned").alias("copies"), "assigned"), dict(sizes), shares
 
 
 def _inside(place: Column, x: Column) -> Column:

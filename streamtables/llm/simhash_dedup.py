@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from streamtables.llm.common import NULL_ID, by_batches, id_key, settle, words_of
+from streamtables.llm.common import NULL_ID, boxed, by_batches, id_key, settle, unboxed, words_of
 from streamtables.llm.golay import near_codewords
 
 BITS = 64
@@ -153,7 +153,8 @@ def dedup_near(docs: DataFrame, largest_bucket: int = LARGEST_BUCKET) -> DataFra
     ``doc_id`` are rows of their own with their own fingerprints.
     """
     own = [c for c in docs.columns if c not in ("text", "fingerprint", "component_id")]
-    marked = settle(docs.select(*own, _fingerprint("text").alias("_fp")).withColumn("_id", id_key()), "fingerprints")
+    marked = docs.select(boxed(own), _fingerprint("text").alias("_fp"), id_key().alias("_id"))
+    marked = settle(marked, "fingerprints")
     distinct = settle(marked.groupBy("_fp").agg(F.min("_id").alias("_least")), "distinct-fingerprints")
     rooted = settle(components(links(distinct, largest_bucket)), "roots")
     placed = distinct.join(rooted, F.col("_fp") == F.col("_node"), "left").withColumn("_root", F.coalesce("_root", "_fp"))
@@ -161,7 +162,7 @@ def dedup_near(docs: DataFrame, largest_bucket: int = LARGEST_BUCKET) -> DataFra
     classes = placed.join(least, "_root").select("_fp", "_component")
     result = marked.join(classes, "_fp")
     return result.select(
-        *own,
+        *unboxed(own),
         F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"),
         F.nullif("_component", F.lit(NULL_ID)).alias("component_id"),
     )
