@@ -20,6 +20,8 @@ def split_required(df: DataFrame, required: list[str]) -> tuple[DataFrame, DataF
 
 def required_report(df: DataFrame, required: list[str]) -> DataFrame:
     """Missing values per required column, as rows (column_name, missing, total)."""
+    if not required:
+        return df.sparkSession.createDataFrame([], "column_name string, missing long, total long")
     counts = df.agg(
         F.count("*").alias("total"),
         *[F.count_if(F.col(f"`{c}`").isNull()).alias(f"missing_{i}") for i, c in enumerate(required)],

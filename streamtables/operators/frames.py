@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from streamtables.functions.times import time_slot
-from streamtables.operators.ordered import CHUNK, Carry, carry_over, cut_into_chunks, decide_split, in_order
+from streamtables.operators.ordered import SLOT, Carry, Slot, carry_over, cut, in_order
 from streamtables.operators.ranking import rank_rows
 
 
@@ -20,19 +20,20 @@ def over_rows(
     order: list[Column],
     preceding: int,
     aggregates: dict[str, Column],
-    split: bool | None = None,
+    slot: Slot | None = None,
     block_rows: int = 100_000,
 ) -> DataFrame:
     """Aggregates over the current row and the ``preceding`` rows before it.
 
-    A group too large for one task is numbered and cut into blocks of rows. Each block also
-    gets the last ``preceding`` rows of the one before, which is all its frames can reach.
+    With a ``slot`` that follows the order, groups are numbered and cut into blocks of rows. Each
+    block also gets the last ``preceding`` rows of the one before, which is all its frames can
+    reach. Without one, a group is one task's.
     """
-    if not decide_split(df, by, split):
+    if slot is None:
         frame = in_order(by, order).rowsBetween(-preceding, 0)
         return df.select("*", *_over(aggregates, frame))
     block_rows = max(block_rows, preceding + 1)
-    numbered = rank_rows(df, by, order, "_n", split=True)
+    numbered = rank_rows(df, by, order, "_n", slot)
     position = F.col("_n") - 1
     block = position - F.pmod(position, F.lit(block_rows))
     reaches_next = F.pmod(position, F.lit(block_rows)) >= block_rows - preceding
@@ -81,8 +82,9 @@ def over_range(
         F.struct(*[_TAKE[kind](c).over(from_start).alias(n) for n, (kind, c) in aggregates.items()]).alias("_head"),
         F.struct(*[_TAKE[kind](c).over(to_end).alias(n) for n, (kind, c) in aggregates.items()]).alias("_tail"),
     )
-    # A row of the slot before, moved on by the range, lies where the frames it opens end.
-    opening = parts.select(
+    # A row of the slot before, moved on by the range, lies where the frames it opens end. Rows
+    # without a time form one frame, and moving them on would make them meet themselves.
+    opening = parts.filter(F.col("_t").isNotNull()).select(
         *by, (F.col("_t") + reach).alias("_t"), (F.col("_slot") + reach).alias("_slot"), "_tail", F.lit(0).alias("_side")
     )
     current = parts.drop("_tail").withColumn("_side", F.lit(1))
@@ -95,17 +97,19 @@ def over_range(
 
 
 def running_sum(
-    df: DataFrame, by: list[str], order: list[Column], value: Column, name: str, split: bool | None = None
+    df: DataFrame, by: list[str], order: list[Column], value: Column, name: str, slot: Slot | None = None
 ) -> DataFrame:
-    """Sum of ``value`` over all rows of the group up to the current one; the order is total."""
+    """Sum of ``value`` over all rows of the group up to the current one; the order is total.
+
+    With a ``slot`` that follows the order, slots are summed and each row adds up its own slot.
+    Sums of doubles depend on the slots (which change the order of additions), not on sizes.
+    """
     df = df.withColumn("_value", value)
-    parts = decide_split(df, by, split)
-    if not parts:
+    if slot is None:
         frame = in_order(by, order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(name, F.sum("_value").over(frame)).drop("_value")
-    chunked = cut_into_chunks(df, by, order, parts.chunks)
-    carried = carry_over(chunked, by, [Carry("_earlier", F.sum("_value"), "sum")])
-    frame = in_order(by, order, chunked=True).rowsBetween(Window.unboundedPreceding, 0)
+    carried = carry_over(cut(df, slot), by, slot, [Carry("_earlier", F.sum("_value"), "sum")])
+    frame = in_order(by, order, slotted=True).rowsBetween(Window.unboundedPreceding, 0)
     local, earlier = F.sum("_value").over(frame), F.col("_earlier")
     total = F.coalesce(local + earlier, local, earlier)
-    return carried.withColumn(name, total).drop("_value", "_earlier", CHUNK)
+    return carried.withColumn(name, total).drop("_value", "_earlier", SLOT)

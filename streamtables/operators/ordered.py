@@ -1,56 +1,50 @@
 """Order-dependent work on groups that may be too large for one task.
 
 ``row_number``, running sums, "last value so far" and sessions need the rows of a group in
-order. Spark's window puts a whole group into one task. When a group is too large for that, the
-rows are range-partitioned by key *and* order, so a large group covers many neighbouring
-chunks. Each chunk is worked on alone, and what a chunk must know about the rows before it is
-carried over from a summary with one row per chunk.
+order. Spark's window puts a whole group into one task. Here a group is cut into *slots* that
+follow its order, such as days of its time column or the values of its leading order column.
+Each slot is worked on alone; what it must know about the slots before it comes from a summary
+with one row per group and slot. The cut depends on the declared slot only, never on how many
+rows a group has, so results don't change with the size of the data, and nothing runs while a
+plan is built.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from streamtables.functions.times import time_slot
 from streamtables.session import run_dir
 
-CHUNK = "_chunk"
+SLOT = "_slot"
 
-#: Groups and chunks up to this many rows are sorted by one task.
-MAX_GROUP_ROWS = 2_000_000
+#: Length of time slots unless another is given.
+DAY_SECONDS = 86_400
 
 
 @dataclass(frozen=True)
-class Split:
-    """How to work on groups in order: whole, or in this many chunks."""
+class Slot:
+    """An expression that only grows (or, with ``falling``, only shrinks) along a group's order."""
 
-    chunks: int = 0
+    of: Column
+    falling: bool = False
 
-    def __bool__(self) -> bool:
-        return self.chunks > 0
+    def order(self) -> Column:
+        return F.col(SLOT).desc_nulls_last() if self.falling else F.col(SLOT).asc_nulls_first()
 
 
-def _chunks_for(df: DataFrame, rows: int, per_chunk: int) -> int:
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_chunk))
+def slots_of_time(column: str, seconds: int = DAY_SECONDS) -> Slot:
+    """Slots of so many seconds along an ascending time column."""
+    return Slot(time_slot(column, seconds * 1_000_000))
 
 
-def decide_split(
-    df: DataFrame, keys: list[str], split: bool | None = None, max_group_rows: int = MAX_GROUP_ROWS
-) -> Split:
-    """Whether some group is larger than one task should sort, and into how many chunks to cut.
-
-    Only two numbers reach the driver, the largest and the total count; counting is combined
-    before its shuffle and reads the key columns only. ``split`` decides beforehand.
-    """
-    if df.isStreaming or split is False:
-        return Split()
-    if split:
-        return Split(_chunks_for(df, df.count(), max_group_rows))
-    sizes = df.groupBy(*keys).count().agg(F.max("count").alias("largest"), F.sum("count").alias("total")).first()
-    too_large = (sizes.largest or 0) > max_group_rows
-    return Split(_chunks_for(df, sizes.total, max_group_rows)) if too_large else Split()
+def slots_of_values(column: str, falling: bool = False) -> Slot:
+    """One slot for each value of the leading order column; for columns with few values a group."""
+    return Slot(F.col(column), falling)
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -63,24 +57,18 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def in_order(keys: list[str], order: list[Column], chunked: bool = False):
-    """Window over a group in order, or over the part of it inside one chunk."""
-    return Window.partitionBy(*([CHUNK] if chunked else []), *keys).orderBy(*order)
+def cut(df: DataFrame, slot: Slot) -> DataFrame:
+    return df.withColumn(SLOT, slot.of)
 
 
-def cut_into_chunks(df: DataFrame, keys: list[str], order: list[Column], chunks: int) -> DataFrame:
-    """Number the range partitions of ``df`` by key and order, and keep the result.
-
-    The order must be total within a key. Range bounds are sampled, so the numbered rows are
-    settled once; every later pass sees the same chunks.
-    """
-    ranged = df.repartitionByRange(chunks, *[F.col(k).asc() for k in keys], *order)
-    return settle(ranged.withColumn(CHUNK, F.spark_partition_id()))
+def in_order(keys: list[str], order: list[Column], slotted: bool = False):
+    """Window over a group in order, or over one of its slots."""
+    return Window.partitionBy(*keys, *([SLOT] if slotted else [])).orderBy(*order)
 
 
 @dataclass(frozen=True)
 class Carry:
-    """One value handed from chunk to chunk: how to take it inside a chunk and how to join it up.
+    """One value handed from slot to slot: how to take it inside a slot and how to join it up.
 
     ``kind`` is ``sum`` (add the parts) or ``last`` (the latest part that is not null).
     """
@@ -90,33 +78,19 @@ class Carry:
     kind: str
 
 
-def carry_over(chunked: DataFrame, keys: list[str], carries: list[Carry]) -> DataFrame:
-    """Add, to each row, what the earlier chunks hold for the row's key (null if nothing).
+def carry_over(slotted: DataFrame, keys: list[str], slot: Slot, carries: list[Carry]) -> DataFrame:
+    """Add, to each row, what the earlier slots of its group hold (null if nothing).
 
-    Only the first key of a chunk can have begun in an earlier one, so the summary has one row
-    per chunk. Its join needs the chunk number alone: Spark broadcasts the summary while it is
-    small, and otherwise shuffles once by chunk, which the windows over chunks then re-use.
+    The summary is aggregated inside the map tasks. Its join is on group and slot, so a large
+    group is spread over its slots.
     """
-    key = F.struct(*keys)
-    per_key = chunked.groupBy(CHUNK, *keys).agg(*[c.inside.alias(c.name) for c in carries])
-    edges = per_key.groupBy(CHUNK).agg(
-        F.min(key).alias("_first"),
-        F.max(key).alias("_last"),
-        F.max_by(F.struct(*[c.name for c in carries]), key).alias("_tail"),
-    )
-    so_far = Window.partitionBy("_last").orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, 0)
+    summary = slotted.groupBy(*keys, SLOT).agg(*[c.inside.alias(c.name) for c in carries])
+    before = Window.partitionBy(*keys).orderBy(slot.order()).rowsBetween(Window.unboundedPreceding, -1)
     running = {
-        c.name: (F.sum(f"_tail.{c.name}") if c.kind == "sum" else F.last(f"_tail.{c.name}", ignorenulls=True)).over(so_far)
+        c.name: F.sum(c.name).over(before) if c.kind == "sum" else F.last(c.name, ignorenulls=True).over(before)
         for c in carries
     }
-    previous = Window.partitionBy(F.lit(0)).orderBy(CHUNK)
-    edges = (
-        edges.select(CHUNK, "_first", "_last", F.struct(*[v.alias(n) for n, v in running.items()]).alias("_run"))
-        .withColumn("_before", F.lag(F.struct("_last", "_run")).over(previous))
-        .filter(F.col("_before._last").eqNullSafe(F.col("_first")))
-        .select(F.col(CHUNK).alias("_edge"), "_first", F.col("_before._run").alias("_carried"))
-    )
-    joined = chunked.join(edges, F.col(CHUNK) == F.col("_edge"), "left")
-    began_earlier = F.col("_edge").isNotNull() & key.eqNullSafe(F.col("_first"))
-    carried = [F.when(began_earlier, F.col(f"_carried.{c.name}")).alias(c.name) for c in carries]
-    return joined.select(*chunked.columns, *carried)
+    names = {k: f"_of_{i}" for i, k in enumerate([*keys, SLOT])}
+    carried = summary.select(*[F.col(f"`{k}`").alias(n) for k, n in names.items()], *[v.alias(n) for n, v in running.items()])
+    match = reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(n)) for k, n in names.items()])
+    return slotted.join(carried, match, "left").drop(*names.values())

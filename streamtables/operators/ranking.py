@@ -5,47 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from streamtables.operators.ordered import CHUNK, Carry, carry_over, cut_into_chunks, decide_split, in_order
-
-#: Up to this K Spark prunes each map task to K rows per group before the shuffle
-#: (the default of spark.sql.optimizer.windowGroupLimitThreshold).
-GROUP_LIMIT = 1000
+from streamtables.operators.ordered import SLOT, Carry, Slot, carry_over, cut, in_order
 
 
 def rank_rows(
-    df: DataFrame,
-    by: list[str],
-    order: list[Column],
-    name: str = "row_num",
-    split: bool | None = None,
+    df: DataFrame, by: list[str], order: list[Column], name: str = "row_num", slot: Slot | None = None
 ) -> DataFrame:
     """ROW_NUMBER of every row within its group. ``order`` must be total within a group.
 
-    ``split`` None measures the largest group first; groups beyond one task's reach are ranked
-    in chunks. Pass ``settle(df)`` when ``df`` is costly, as measuring reads it once more.
+    With a ``slot`` that follows the order, rows are counted per slot and ranked inside slots, so
+    a large group is shared by many tasks. Without one, a group is one task's.
     """
-    parts = decide_split(df, by, split)
-    if not parts:
+    if slot is None:
         return df.withColumn(name, F.row_number().over(in_order(by, order)).cast("long"))
-    chunked = cut_into_chunks(df, by, order, parts.chunks)
-    carried = carry_over(chunked, by, [Carry("_earlier", F.count("*"), "sum")])
-    local = F.row_number().over(in_order(by, order, chunked=True))
+    carried = carry_over(cut(df, slot), by, slot, [Carry("_earlier", F.count("*"), "sum")])
+    local = F.row_number().over(in_order(by, order, slotted=True))
     rank = (local + F.coalesce(F.col("_earlier"), F.lit(0))).cast("long")
-    return carried.withColumn(name, rank).drop("_earlier", CHUNK)
+    return carried.withColumn(name, rank).drop("_earlier", SLOT)
 
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int, name: str = "row_num") -> DataFrame:
     """The first ``k`` rows of each group, with their rank.
 
     Spark keeps K rows per group and map task before it shuffles, so a hot group costs no more
-    than others. For a K beyond that rule, groups are first cut to K inside hash parts.
+    than others, for every K up to ``spark.sql.optimizer.windowGroupLimitThreshold``
+    (``session.RECOMMENDED`` raises it).
     """
-    if k > GROUP_LIMIT:
-        part = F.pmod(F.xxhash64(*df.columns, F.spark_partition_id()), F.lit(64))
-        parts = df.withColumn("_part", part)
-        df = (
-            parts.withColumn("_local", F.row_number().over(in_order([*by, "_part"], order)))
-            .filter(F.col("_local") <= k)
-            .drop("_local", "_part")
-        )
     return df.withColumn(name, F.row_number().over(in_order(by, order))).filter(F.col(name) <= k)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from streamtables.operators.ordered import Carry, carry_over, cut_into_chunks, decide_split, in_order
+from streamtables.operators.ordered import DAY_SECONDS, Carry, carry_over, cut, in_order, slots_of_time
 
 
 def as_of_join(
@@ -17,12 +17,13 @@ def as_of_join(
     fact_order: list[str],
     version_order: list[str] | None = None,
     how: str = "inner",
-    split: bool | None = None,
+    slot_seconds: int = DAY_SECONDS,
 ) -> DataFrame:
     """Join each fact with the version of its key that was valid at the fact's time.
 
     Facts and versions are laid out on one time line per key and the latest version is carried
-    forward, so the work grows with the number of rows and not with the pairs of a key.
+    forward, so the work grows with the number of rows and not with the pairs of a key. The line
+    is cut into slots of ``slot_seconds``; a slot starts from the last version of those before it.
     ``by`` columns exist on both sides; ``fact_order`` and ``version_order`` break ties of time.
     """
     fact_columns = [c for c in facts.columns if c not in by]
@@ -46,16 +47,12 @@ def as_of_join(
         allowMissingColumns=True,
     )
     order = [F.col(c).asc() for c in ("_t", "_side", "_version_tie", "_fact_tie")]
-    parts = decide_split(line, by, split)
-    if parts:
-        chunked = cut_into_chunks(line, by, order, parts.chunks)
-        position = F.struct("_t", "_side", "_version_tie")
-        newest = F.max_by("_version", F.when(F.col("_side") == 0, position))
-        line = carry_over(chunked, by, [Carry("_carried", newest, "last")])
-        local = F.last("_version", ignorenulls=True).over(in_order(by, order, chunked=True))
-        valid = F.coalesce(local, F.col("_carried"))
-    else:
-        valid = F.last("_version", ignorenulls=True).over(in_order(by, order))
+    slot = slots_of_time("_t", slot_seconds)
+    position = F.struct("_t", "_side", "_version_tie")
+    newest = F.max_by("_version", F.when(F.col("_side") == 0, position))
+    line = carry_over(cut(line, slot), by, slot, [Carry("_carried", newest, "last")])
+    local = F.last("_version", ignorenulls=True).over(in_order(by, order, slotted=True))
+    valid = F.coalesce(local, F.col("_carried"))
     joined = line.withColumn("_valid", valid).filter(F.col("_side") == 1)
     if how == "inner":
         joined = joined.filter(F.col("_valid").isNotNull())

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from streamtables.functions.times import flatten_window
-from streamtables.operators.ordered import Carry, carry_over, cut_into_chunks, decide_split, in_order
+from streamtables.operators.ordered import DAY_SECONDS, Carry, carry_over, cut, in_order, slots_of_time
 
 
 def tumble(df: DataFrame, time: str, size: str) -> DataFrame:
@@ -92,27 +92,26 @@ def session_count(
     gap_seconds: int,
     by: list[str],
     name: str = "play_count",
-    split: bool | None = None,
+    slot_seconds: int = DAY_SECONDS,
 ) -> DataFrame:
     """COUNT(*) per session: rows of a group no further apart than the gap.
 
-    The end is the last row's time plus the gap. Groups too large for one task are read in
-    chunks, and a session that crosses chunks is joined up.
+    The end is the last row's time plus the gap. A batch cuts each group into slots of
+    ``slot_seconds``; a slot learns the last time and the open session of those before it, so a
+    session may cross slots. A stream uses Spark's own session windows.
     """
-    parts = decide_split(df, by, split)
-    if not parts:
+    if df.isStreaming:
         sessions = df.groupBy(F.session_window(time, f"{gap_seconds} seconds").alias("window"), *by)
         return flatten_window(sessions.agg(F.count("*").alias(name)))
-    order = [F.col(time).asc()]
+    order, slot = [F.col(time).asc()], slots_of_time(time, slot_seconds)
     # Rows with one key and one time always share a session, so they are counted first.
     instants = df.filter(F.col(time).isNotNull()).groupBy(*by, time).agg(F.count("*").alias("_rows"))
-    chunked = cut_into_chunks(instants, by, order, parts.chunks)
-    linked = carry_over(chunked, by, [Carry("_before", F.max(time), "last")])
-    previous = F.coalesce(F.lag(time).over(in_order(by, order, chunked=True)), F.col("_before"))
+    linked = carry_over(cut(instants, slot), by, slot, [Carry("_before", F.max(time), "last")])
+    previous = F.coalesce(F.lag(time).over(in_order(by, order, slotted=True)), F.col("_before"))
     is_start = previous.isNull() | (F.col(time) > previous + F.expr(f"INTERVAL {gap_seconds} SECONDS"))
     marked = linked.withColumn("_start", F.when(is_start, F.col(time))).drop("_before")
-    opened = carry_over(marked, by, [Carry("_open", F.max("_start"), "last")])
-    local = F.last("_start", ignorenulls=True).over(in_order(by, order, chunked=True))
+    opened = carry_over(marked, by, slot, [Carry("_open", F.max("_start"), "last")])
+    local = F.last("_start", ignorenulls=True).over(in_order(by, order, slotted=True))
     keyed = opened.withColumn("window_start", F.coalesce(local, F.col("_open")))
     sessions = keyed.groupBy("window_start", *by).agg(F.max(time).alias("_end"), F.sum("_rows").alias(name))
     return sessions.select("window_start", _seconds(F.col("_end"), gap_seconds).alias("window_end"), *by, name)

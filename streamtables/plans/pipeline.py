@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import contextlib
 import io
+import re
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +17,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from streamtables.functions.messages import map_messages
 from streamtables.operators.checks import duplicate_keys, required_report
+from streamtables.operators.ordered import settle
+from streamtables.operators.versions import keep_last
 from streamtables.plans.references import expand_windows, referenced_streams, resolve, split_insert
 from streamtables.sources.scan import (
     Binding,
+    as_stored,
     declared_binding,
     encode,
     read_channel,
@@ -27,10 +32,13 @@ from streamtables.sources.scan import (
     with_time_attributes,
 )
 from streamtables.sources.stream import Catalog, Stream, StreamError
-from streamtables.streaming.files import committed, make_folder
+from streamtables.streaming.files import committed, exists, make_folder
 from streamtables.streaming.run import BatchFolder, append_files, debug_rows, each_batch, finish, insert_by_position
 from streamtables.streaming.upsert import DELETED, UpsertSink
 
+#: Formats that are written as one folder per batch, so that a repeated batch replaces itself.
+FILE_FORMATS = ("parquet", "orc", "json", "csv", "text")
+
 Transform = Callable[[Mapping[str, DataFrame]], DataFrame]
 
 
@@ -41,7 +49,8 @@ class Query:
     Give ``sql`` text, or a ``transform`` from the step's inputs (by stream name) plus
     ``target`` and ``inputs``. ``closed`` is SQL over the table ``closed`` or a function; a live
     run applies it to each micro-batch of the step, a batch run to the whole result. It is where
-    a live pipeline ranks the rows of closed windows.
+    a live pipeline ranks the rows of closed windows. ``live_sql`` replaces ``sql`` and
+    ``closed`` is left to live runs if the statement ranks in place, which only a table allows.
     """
 
     sql: str | None = None
@@ -51,6 +60,7 @@ class Query:
     closed: str | Callable[[DataFrame], DataFrame] | None = None
     mode: str = "append"
     order: list[str] = field(default_factory=list)
+    live_sql: str | None = None
 
     def target_name(self) -> str | None:
         if self.target or not self.sql:
@@ -63,8 +73,8 @@ class Query:
             return referenced_streams(split_insert(self.sql)[1])
         return self.inputs
 
-    def apply_closed(self, rows: DataFrame) -> DataFrame:
-        if self.closed is None:
+    def apply_closed(self, rows: DataFrame, live: bool = True) -> DataFrame:
+        if self.closed is None or (self.live_sql and not live):
             return rows
         if callable(self.closed):
             return self.closed(rows)
@@ -116,18 +126,23 @@ class Pipeline:
         stream = self.catalog.get(name)
         if name in self.tables:
             return self.tables[name]
-        if self._is_upsert(stream) and not live:
+        if self._is_upsert(stream):
+            if live and name not in self.static:
+                raise StreamError(
+                    f"{name!r} is an upsert stream: a live query would take its updates for new rows; "
+                    "list it in static to read its image as a table"
+                )
             if self._keeps_image(stream):
                 return self._upsert_sink(stream, []).image(spark)
             return scan_image(spark, stream, self.binding(name))
         return scan(spark, stream, self.binding(name), streaming=live and name not in self.static)
 
-    def _select(self, query: Query, inputs: dict[str, DataFrame], spark: SparkSession) -> DataFrame:
+    def _select(self, query: Query, inputs: dict[str, DataFrame], spark: SparkSession, live: bool = False) -> DataFrame:
         if query.transform:
             return query.transform(inputs)
         for name, df in inputs.items():
             df.createOrReplaceTempView(self.catalog.get(name).table)
-        _, select = split_insert(query.sql)
+        _, select = split_insert(query.live_sql if live and query.live_sql else query.sql)
         return spark.sql(expand_windows(resolve(select, self.catalog)))
 
     # -- sinks ----------------------------------------------------------------------------
@@ -143,23 +158,22 @@ class Pipeline:
     def _upsert_sink(self, stream: Stream, order: list[str]) -> UpsertSink:
         if not stream.primary_key:
             raise StreamError(f"upsert stream {stream.name!r} declares no primary key")
-        return UpsertSink(self.binding(stream.name).path, list(stream.primary_key), order)
+        read_as_messages = any(step.source == stream.name for step in self.messages)
+        return UpsertSink(
+            self.binding(stream.name).path, list(stream.primary_key), order, keep_changes=read_as_messages
+        )
+
+    def _stored_form(self, rows: DataFrame, stream: Stream, order: list[str] | None = None) -> DataFrame:
+        """Rows as the target stores them: typed columns or messages.
 
-    def _stored_form(self, rows: DataFrame, stream: Stream) -> DataFrame:
-        """Rows as the target stores them: typed columns or messages."""
+        A batch of an upsert stream stored as messages sends its last row per key only.
+        """
         if self.binding(stream.name).layout == "typed":
             return rows
-        messages = encode(rows, stream)
-        if self.binding(stream.name).format == "kafka":
-            return messages
-        return messages.select(
-            F.col("key").cast("binary"),
-            F.col("value").cast("binary"),
-            F.lit(stream.resolved_options()["topic"]).alias("topic"),
-            F.lit(0).alias("partition"),
-            F.lit(None).cast("long").alias("offset"),
-            F.current_timestamp().alias("timestamp"),
-        )
+        if self._is_upsert(stream) and not rows.isStreaming:
+            keys = list(stream.primary_key) or stream.key_fields
+            rows = keep_last(rows, keys, order or [c for c in rows.columns if c not in keys] or keys)
+        return as_stored(encode(rows, stream), stream.resolved_options()["topic"], self.binding(stream.name).format)
 
     def _save(self, rows: DataFrame, target: str) -> None:
         binding = self.binding(target)
@@ -174,7 +188,7 @@ class Pipeline:
         produced: dict[str, DataFrame] = {}
         for i, query in enumerate(self.queries):
             inputs = {n: produced[n] if n in produced else self._input(spark, n, live=False) for n in query.input_names()}
-            rows = query.apply_closed(self._select(query, inputs, spark))
+            rows = query.apply_closed(self._select(query, inputs, spark), live=False)
             target = query.target_name()
             if target:
                 stream = self.catalog.get(target)
@@ -201,64 +215,135 @@ class Pipeline:
         for query in self.queries:
             inputs = {n: self._input(spark, n, live=False) for n in query.input_names()}
             target = self.catalog.get(query.target_name())
-            rows = insert_by_position(query.apply_closed(self._select(query, inputs, spark)), target.writable_schema)
+            rows = insert_by_position(query.apply_closed(self._select(query, inputs, spark), live=False), target.writable_schema)
             if self._keeps_image(target):
                 sink = self._upsert_sink(target, query.order)
                 sink.write(rows, 1 + max(committed(spark, f"{sink.path}/changes"), default=-1))
             else:
-                self._save(self._stored_form(rows, target), target.name)
+                self._save(self._stored_form(rows, target, query.order), target.name)
         for step in self.messages:
             messages = self._messages(spark, step, live=False)
+            if len(step.outputs) > 1:  # the function runs once
+                messages = settle(messages)
             for output in step.outputs:
                 self._save(messages, output)
 
     # -- live -----------------------------------------------------------------------------
 
-    def start(self, spark: SparkSession, checkpoints: str, every: str) -> list[StreamingQuery]:
-        """Start every step as its own streaming query, each with its own checkpoint."""
+    def _by_target(self) -> list[list[int]]:
+        """The queries by target, each target after the targets it reads.
+
+        Queries that insert into one target run as one streaming query: two would share the
+        target's batch numbers and file log, and rows would be lost.
+        """
+        groups: dict[str, list[int]] = {}
+        for i, query in enumerate(self.queries):
+            if (target := query.target_name()) is None:
+                raise StreamError("a live query needs a target: INSERT INTO …")
+            groups.setdefault(target, []).append(i)
+        reads = {t: {n for i in g for n in self.queries[i].input_names() if n in groups and n != t} for t, g in groups.items()}
+        ordered: list[list[int]] = []
+        while groups:
+            # In a circle of targets the one that is written first goes first.
+            ready = next((t for t in groups if not reads[t] & set(groups)), next(iter(groups)))
+            ordered.append(groups.pop(ready))
+        return ordered
+
+    def _check_live(self) -> None:
+        """What a stream cannot do is said before anything starts."""
         self.check()
+        for query in self.queries:
+            text = query.live_sql or query.sql or ""
+            if re.search(r"\bROW_NUMBER\s*\(", text, re.I):
+                raise StreamError(
+                    "ROW_NUMBER cannot run on a stream; give live_sql that counts per window and rank in closed: "
+                    + " ".join(text.split())[:80]
+                )
+
+    def start(self, spark: SparkSession, checkpoints: str, every: str) -> list[StreamingQuery]:
+        """Start the steps, one streaming query per target, each with its own checkpoint."""
+        self._check_live()
         for name in dict.fromkeys(filter(None, (q.target_name() for q in self.queries))):
             if self.binding(name).path:
                 make_folder(spark, self.binding(name).path)
-        started = [self._start_query(spark, q, f"{checkpoints}/query-{i}", every) for i, q in enumerate(self.queries)]
+        started = [self._start_target(spark, g, f"{checkpoints}/query-{g[0]}", every) for g in self._by_target()]
         for i, step in enumerate(self.messages):
             started += self._start_messages(spark, step, f"{checkpoints}/messages-{i}", every)
         return started
 
     def replay(self, spark: SparkSession, checkpoints: str) -> list[StreamingQuery]:
         """Read what the streams hold and stop: the steps run one after the other."""
-        self.check()
-        done = [finish(self._start_query(spark, q, f"{checkpoints}/query-{i}", None)) for i, q in enumerate(self.queries)]
+        self._check_live()
+        done = [finish(self._start_target(spark, g, f"{checkpoints}/query-{g[0]}", None)) for g in self._by_target()]
         for i, step in enumerate(self.messages):
             done += [finish(q) for q in self._start_messages(spark, step, f"{checkpoints}/messages-{i}", None)]
         return done
 
-    def _start_query(self, spark: SparkSession, query: Query, checkpoint: str, every: str | None) -> StreamingQuery:
-        inputs = {n: self._input(spark, n, live=True) for n in query.input_names()}
-        rows = self._select(query, inputs, spark)
-        target = self.catalog.get(query.target_name())
-        finishing = lambda batch: insert_by_position(query.apply_closed(batch), target.writable_schema)
+    def _start_target(self, spark: SparkSession, numbers: list[int], checkpoint: str, every: str | None) -> StreamingQuery:
+        """One streaming query for all inserts into a target."""
+        queries = [self.queries[i] for i in numbers]
+        target = self.catalog.get(queries[0].target_name())
+        selected = []
+        for query in queries:
+            inputs = {n: self._input(spark, n, live=True) for n in query.input_names()}
+            selected.append(self._select(query, inputs, spark, live=True))
+        if len({q.mode for q in queries}) > 1:
+            raise StreamError(f"inserts into {target.name!r} have different output modes")
+
+        def finishing(query: Query, rows: DataFrame) -> DataFrame:
+            return insert_by_position(query.apply_closed(rows), target.writable_schema)
+
+        binding, mode = self.binding(target.name), queries[0].mode
+        by_batch = self._is_upsert(target) or mode != "append" or any(q.closed is not None for q in queries)
+        if not by_batch:
+            parts = [finishing(q, rows) for q, rows in zip(queries, selected, strict=True)]
+            stored = self._stored_form(reduce(DataFrame.unionByName, parts), target)
+            return append_files(stored, binding.path, checkpoint, every, binding.format, **sink_options(binding))
+
+        # The rows of each insert travel in a column of their own and are finished batch by batch.
+        boxed = [
+            rows.select(F.lit(i).alias("_insert"), F.struct(*rows.columns).alias(f"_rows_{i}"))
+            for i, rows in enumerate(selected)
+        ]
+        rows = selected[0] if len(selected) == 1 else reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), boxed)
+
+        def finished(batch: DataFrame) -> DataFrame:
+            if len(queries) == 1:
+                return finishing(queries[0], batch)
+            own = [batch.filter(F.col("_insert") == i).select(f"_rows_{i}.*") for i in range(len(queries))]
+            return reduce(DataFrame.unionByName, [finishing(q, o) for q, o in zip(queries, own, strict=True)])
+
+        order = next((q.order for q in queries if q.order), [])
         if self._keeps_image(target):
-            sink = self._upsert_sink(target, query.order)
-            return each_batch(rows, lambda b, n: sink.write(finishing(b), n), checkpoint, every, query.mode)
-        binding = self.binding(target.name)
-        if query.closed is not None or query.mode != "append":
-            to_stored = lambda batch: self._stored_form(finishing(batch), target)
-            if binding.format == "parquet":
-                write = BatchFolder(binding.path, to_stored).write
-            else:
-                write = lambda batch, number: self._save(to_stored(batch), target.name)
-            return each_batch(rows, write, checkpoint, every, query.mode)
-        stored = self._stored_form(finishing(rows), target)
-        return append_files(stored, binding.path, checkpoint, every, binding.format, **sink_options(binding))
+            sink = self._upsert_sink(target, order)
+            self._refuse_old_batches(spark, f"{sink.path}/changes", checkpoint)
+            return each_batch(rows, lambda b, n: sink.write(finished(b), n), checkpoint, every, mode)
+        to_stored = lambda batch: self._stored_form(finished(batch), target, order)
+        if binding.format in FILE_FORMATS:
+            self._refuse_old_batches(spark, binding.path, checkpoint)
+            write = BatchFolder(binding.path, to_stored, binding.format).write
+        else:  # such a sink has to recognise a repeated batch itself
+            write = lambda batch, number: self._save(to_stored(batch), target.name)
+        return each_batch(rows, write, checkpoint, every, mode)
+
+    @staticmethod
+    def _refuse_old_batches(spark: SparkSession, path: str, checkpoint: str) -> None:
+        """A new checkpoint counts batches from 0, so folders of an older run would be overwritten."""
+        if committed(spark, path) and not exists(spark, f"{checkpoint}/offsets"):
+            raise StreamError(f"{path} holds batches of another run; keep its checkpoint or take a new folder")
 
     # -- message functions ----------------------------------------------------------------
 
     def _messages(self, spark: SparkSession, step: MessageStep, live: bool) -> DataFrame:
         if step.source in self.tables:
             messages = self.tables[step.source]
+        elif live and step.source in self.catalog and self._is_upsert(self.catalog.get(step.source)):
+            # Every change is a message; they are passed on as they are stored.
+            stored = read_channel(spark, self.binding(step.source), live)
+            messages = stored.select(F.col("key").cast("string"), F.col("value").cast("string"))
         elif step.source in self.catalog:
             messages = encode(self._input(spark, step.source, live), self.catalog.get(step.source))
+            messages = messages.select("key", "value")
         else:
             # A channel without a schema: its messages are opaque text.
             stored = read_channel(spark, self.bindings[step.source], live)
@@ -274,12 +359,24 @@ class Pipeline:
             mapped = map_messages(encode(changes, stream, "_deleted"), step.function, step.params)
         else:
             mapped = self._messages(spark, step, live=True)
-        started = []
-        for output in step.outputs:
-            binding = self.binding(output)
-            options = sink_options(binding)
-            started.append(append_files(mapped, binding.path, f"{checkpoint}/{output}", every, binding.format, **options))
-        return started
+        bindings = [self.binding(output) for output in step.outputs]
+        if len(bindings) > 1 and all(b.format in FILE_FORMATS for b in bindings):
+            # One query for all outputs: the source is read and the function runs once a batch.
+            folders = [BatchFolder(b.path, format=b.format) for b in bindings]
+            for folder in folders:
+                self._refuse_old_batches(spark, folder.path, f"{checkpoint}/all")
+
+            def write(batch: DataFrame, number: int) -> None:
+                batch.persist()
+                for folder in folders:
+                    folder.write(batch, number)
+                batch.unpersist()
+
+            return [each_batch(mapped, write, f"{checkpoint}/all", every)]
+        return [
+            append_files(mapped, b.path, f"{checkpoint}/{output}", every, b.format, **sink_options(b))
+            for output, b in zip(step.outputs, bindings, strict=True)
+        ]
 
     def _changes(self, spark: SparkSession, stream: Stream) -> DataFrame:
         schema = T.StructType([*stream.writable_schema.fields, T.StructField(DELETED, T.BooleanType())])
@@ -336,13 +433,20 @@ def from_resources(
     documents: list[dict[str, Any]],
     schema_texts: Mapping[str, str] | None = None,
     functions: Mapping[str, str] | None = None,
+    live: Mapping[str, Mapping[str, Any]] | None = None,
 ) -> list[Pipeline]:
     """Pipelines of a list of resources (loaded YAML documents): streams and processors.
 
     Streams without a data schema are message channels. ``functions`` names the message
-    function that stands for a container; by default it is the container's own name.
+    function that stands for a container; by default it is the container's own name. ``live``
+    gives, by target stream, the live form of its statements: ``live_sql``, ``closed``, ``order``.
     """
     texts, names = schema_texts or {}, functions or {}
+
+    def statement(text: str) -> Query:
+        query = Query(sql=text)
+        return replace(query, **(live or {}).get(query.target_name() or "", {}))
+
     streams = [d for d in documents if d and d.get("kind") == "Stream"]
     catalog = Catalog()
     for d in streams:
@@ -356,7 +460,7 @@ def from_resources(
         inputs, debug = spec.get("inputs") or {}, (spec.get("inputs") or {}).get("debug") or {}
         pipeline = Pipeline(
             catalog,
-            queries=[Query(sql=text) for text in inputs.get("query") or []],
+            queries=[statement(text) for text in inputs.get("query") or []],
             debug_query=debug.get("query"),
             explain_ids=list(debug.get("explain") or []),
         )

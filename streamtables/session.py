@@ -14,6 +14,10 @@ RECOMMENDED = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Split a hot key of a join even if an aggregation after it has to shuffle once more.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Top-K keeps K rows of a group in each map task for any K in use, not only up to 1,000.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "1000000",
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     # One state store per join partition instead of four.
@@ -51,12 +55,12 @@ def apply_recommended(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only a local-mode session may fall back to a temporary folder of its own.
+    Only a session in one process may fall back to a temporary folder of its own.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="streamtables-")
     if context.getCheckpointDir() is None:

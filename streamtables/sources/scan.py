@@ -31,6 +31,13 @@ _ENVELOPE_NAMES = {"timestamp-type": "timestampType"}
 # Start positions and the broker source option each stands for.
 _START = {"earliest-offset": "earliest", "latest-offset": "latest"}
 
+# Declared options that say what a stream is; all others go to its reader or writer.
+_DESCRIBING = ("connector", "topic", "format", "path")
+_DESCRIBING_PREFIXES = ("key.", "value.", "properties.", "scan.startup.")
+
+#: Columns of a broker's sink that writable metadata may fill. Message files hold the whole envelope.
+_WRITABLE = ("topic", "partition", "headers")
+
 
 @dataclass
 class Binding:
@@ -53,16 +60,20 @@ def declared_binding(stream: Stream) -> Binding:
     """Binding of a stream from its declared options.
 
     Broker connectors become the Kafka source; ``filesystem`` reads files; any other connector
-    name is taken as a Spark format, which receives the declared options.
+    name is taken as a Spark format, which receives the declared options. Options that do not
+    describe the stream itself are passed on as they are.
     """
     options = stream.resolved_options()
     connector = options["connector"]
+    passed = {k: v for k, v in options.items() if k not in _DESCRIBING and not k.startswith(_DESCRIBING_PREFIXES)}
     if connector == "filesystem":
-        return Binding(format=options.get("format", "parquet"), path=options["path"])
+        if options.get("scan.startup.mode", "earliest-offset") != "earliest-offset":
+            raise StreamError(f"stream {stream.name!r}: files are read from the earliest on")
+        return Binding(format=options.get("format", "parquet"), path=options["path"], options=passed)
     if connector not in ("kafka", "upsert-kafka"):
         own = {k.removeprefix(OPTION_PREFIX): v for k, v in stream.options.items() if k.startswith(OPTION_PREFIX)}
         return Binding(format=connector, options={k: v for k, v in own.items() if k != "connector"})
-    read = {"subscribe": options["topic"]}
+    read = {"subscribe": options["topic"], **passed}
     for key, value in options.items():
         if key.startswith("properties."):
             read["kafka." + key.removeprefix("properties.")] = value
@@ -101,15 +112,21 @@ def read_channel(spark: SparkSession, binding: Binding, streaming: bool) -> Data
 
 
 def sink_options(binding: Binding) -> dict[str, str]:
-    """Write options of a binding: a broker sink names its topic instead of subscribing to it."""
+    """Write options of a binding: a broker sink names its topic instead of subscribing to it.
+
+    Of file options, those that only a reader understands are harmless to a writer.
+    """
     if binding.format != "kafka":
         return dict(binding.options)
     write = {k: v for k, v in binding.options.items() if k.startswith("kafka.")}
     return write | {"topic": binding.options["subscribe"]}
 
 
-def decode(stored: DataFrame, stream: Stream) -> DataFrame:
-    """Messages to declared columns, by the stream's key and value formats."""
+def decode(stored: DataFrame, stream: Stream, key: Column | None = None) -> DataFrame:
+    """Messages to declared columns, by the stream's key and value formats.
+
+    ``key`` is an expression over the message that is added as ``_key``.
+    """
     options = stream.resolved_options()
     value_format = options["value.format"].lower()
     raw_keys = stream.raw_key_columns
@@ -130,6 +147,8 @@ def decode(stored: DataFrame, stream: Stream) -> DataFrame:
         selected.append(source.cast(f.dataType).alias(f.name))
     selected += [codec.raw_key().alias(k) for k in raw_keys]
     selected += [_envelope_column(m) for m in stream.metadata.values()]
+    if key is not None:
+        selected.append(key.alias("_key"))
     return decoded.select(*selected)
 
 
@@ -176,29 +195,34 @@ def scan(
 
 def scan_image(spark: SparkSession, stream: Stream, binding: Binding) -> DataFrame:
     """Current image of an upsert stream stored as messages: the newest message per key counts,
-    and one without a value removes its key."""
+    and one without a value removes its key.
+
+    A changelog is ordered by its offsets; the messages of a key share a partition. Timestamps
+    don't count, as producers set them.
+    """
     stored = read_stored(spark, stream, binding, streaming=False)
+    newest = latest_image(stored, ["key"], ["offset", "partition"], F.col("value").isNull())
+    decoded = decode(newest, stream)
+    if stream.raw_key_columns or stream.resolved_options().get("key.format") == "raw":
+        return decoded
+    # Key columns that the value leaves out come from the key.
     keys = T.StructType([stream.payload[k] for k in stream.key_fields])
-    marked = stored.select(
-        codec.json_key("key", keys).alias("_key"), "value", "timestamp", "partition", "offset"
-    )
-    newest = latest_image(marked, ["_key"], ["timestamp", "partition", "offset"], F.col("value").isNull())
-    body = newest.withColumn("_body", codec.json_value("value", stream.payload))
-    selected: list[Column] = []
-    for name in stream.payload.names:
-        column = F.col(f"_body.`{name}`")
-        if name in stream.key_fields:
-            column = F.coalesce(column, F.col(f"_key.`{name}`"))
-        selected.append(column.alias(name))
-    return body.select(*selected)
+    both = decode(newest, stream, codec.json_key("key", keys))
+    filled = [
+        F.coalesce(F.col(f"`{name}`"), F.col(f"_key.`{name}`")).alias(name) if name in stream.key_fields else F.col(f"`{name}`")
+        for name in decoded.columns
+    ]
+    return both.select(*filled)
 
 
 def encode(df: DataFrame, stream: Stream, deleted: str | None = None) -> DataFrame:
-    """Declared columns to key/value messages. A deleted row keeps its key and loses its value."""
+    """Declared columns to key/value messages. A deleted row keeps its key and loses its value.
+
+    Writable metadata goes into the envelope: it becomes a column named as the envelope has it.
+    """
     options = stream.resolved_options()
     value_format = options["value.format"].lower()
     columns = [c for c in stream.payload.names if c in df.columns]
-    columns += [m.name for m in stream.metadata.values() if not m.readonly and m.name in df.columns]
     keys = stream.key_fields
     if options.get("value.fields-include") == "EXCEPT_KEY":
         columns = [c for c in columns if c not in keys]
@@ -216,4 +240,31 @@ def encode(df: DataFrame, stream: Stream, deleted: str | None = None) -> DataFra
         key = F.col(keys[0]).cast("string") if keys[0] in df.columns else F.lit(None).cast("string")
     else:
         key = codec.to_json_key(keys)
-    return df.select(key.alias("key"), value.alias("value"))
+    envelope = [
+        F.col(f"`{m.name}`").cast(ENVELOPE[m.source].dataType if m.source in ENVELOPE.names else m.type).alias(m.source)
+        for m in stream.metadata.values()
+        if not m.readonly and m.name in df.columns
+    ]
+    return df.select(key.alias("key"), value.alias("value"), *envelope)
+
+
+def as_stored(messages: DataFrame, topic: str, format: str) -> DataFrame:
+    """Messages as a binding of that format stores them: for a broker, or as files of whole envelopes.
+
+    The offset of a file's messages is the time of their batch, so later batches come later.
+    """
+    extra = [c for c in messages.columns if c not in ("key", "value")]
+    if format == "kafka":
+        if unwritable := [c for c in extra if c not in _WRITABLE]:
+            raise StreamError(f"a broker's sink cannot write the metadata {unwritable}")
+        return messages
+    if unknown := [c for c in extra if c not in ENVELOPE.names]:
+        raise StreamError(f"message files have no place for the metadata {unknown}")
+    given = {
+        "topic": F.lit(topic),
+        "partition": F.lit(0),
+        "offset": F.unix_micros(F.current_timestamp()),
+        "timestamp": F.current_timestamp(),
+    }
+    filled = [F.coalesce(F.col(n), v).alias(n) if n in extra else v.alias(n) for n, v in given.items()]
+    return messages.select(F.col("key").cast("binary"), F.col("value").cast("binary"), *filled)

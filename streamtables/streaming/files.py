@@ -25,10 +25,20 @@ def committed(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(m.getPath().getParent().getName().removeprefix("b=")) for m in marks)
 
 
-def write_numbered(df: DataFrame, path: str, number: int) -> None:
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, target = _folder(spark, path)
+    return fs.exists(target)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, target = _folder(spark, path)
+    fs.delete(target, True)
+
+
+def write_numbered(df: DataFrame, path: str, number: int, format: str = "parquet") -> None:
     """Write one numbered folder. Writing the same number again replaces it."""
     writer = df.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true")
-    writer.parquet(f"{path}/b={number}")
+    writer.format(format).save(f"{path}/b={number}")
 
 
 def read_numbered(spark: SparkSession, path: str, numbers: list[int]) -> DataFrame:

@@ -13,6 +13,9 @@ from streamtables.streaming.files import committed, read_numbered, write_numbere
 
 BatchWriter = Callable[[DataFrame, int], None]
 
+#: As many rows of a batch as the console sink can print.
+ALL_ROWS = 2**31 - 2
+
 
 def _trigger(every: str | None) -> dict:
     """Trigger arguments: read what is there and stop, or run every interval."""
@@ -44,11 +47,11 @@ def finish(query: StreamingQuery) -> StreamingQuery:
 class BatchFolder:
     """Append target of ``foreachBatch``: one folder per batch, so a repeated batch replaces itself."""
 
-    def __init__(self, path: str, transform: Callable[[DataFrame], DataFrame] | None = None):
-        self.path, self.transform = path, transform
+    def __init__(self, path: str, transform: Callable[[DataFrame], DataFrame] | None = None, format: str = "parquet"):
+        self.path, self.transform, self.format = path, transform, format
 
     def write(self, batch: DataFrame, number: int) -> None:
-        write_numbered(self.transform(batch) if self.transform else batch, self.path, number)
+        write_numbered(self.transform(batch) if self.transform else batch, self.path, number, self.format)
 
     def read(self, spark: SparkSession) -> DataFrame:
         return read_numbered(spark, self.path, committed(spark, self.path))
@@ -59,9 +62,9 @@ def debug_rows(df: DataFrame, op: str = "+I") -> DataFrame:
     return df.select(F.lit(op).alias("op"), *df.columns)
 
 
-def debug_console(df: DataFrame, checkpoint: str, rows: int = 20, every: str | None = None) -> StreamingQuery:
-    """Print each micro-batch of a query with its row kind."""
-    writer = debug_rows(df).writeStream.format("console").options(numRows=rows, truncate="false")
+def debug_console(df: DataFrame, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Print every row of a query with its row kind, as it arrives."""
+    writer = debug_rows(df).writeStream.format("console").options(numRows=ALL_ROWS, truncate="false")
     return writer.option("checkpointLocation", checkpoint).trigger(**_trigger(every)).start()
 
 

@@ -3,7 +3,8 @@
 Each micro-batch is reduced to its last row per key and written as one numbered change folder,
 so a batch costs its own size and not the image's. Every ``compact_every`` batches the changes
 are folded into a snapshot. Readers merge the newest snapshot with the changes after it.
-Re-running a batch number rewrites the same folders, so the image is unchanged.
+Re-running a batch number rewrites the same folders, so the image is unchanged. A snapshot
+makes everything before the last one superfluous, and that is removed.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from streamtables.operators.versions import keep_last
-from streamtables.streaming.files import committed, read_numbered, write_numbered
+from streamtables.streaming.files import committed, read_numbered, remove, write_numbered
 
 BATCH = "_batch"
 DELETED = "_deleted"
@@ -24,7 +25,8 @@ DELETED = "_deleted"
 class UpsertSink:
     """``order`` decides between rows of one key in one batch. Across batches the later batch
     wins, as in a changelog topic; with ``by_order`` the order columns win everywhere, so that
-    out-of-order replays give the same image. ``deleted`` marks rows that remove their key."""
+    out-of-order replays give the same image. ``deleted`` marks rows that remove their key.
+    ``keep_changes`` leaves old change folders, for a stream that reads them as messages."""
 
     path: str
     key: list[str]
@@ -32,6 +34,7 @@ class UpsertSink:
     deleted: Column | None = None
     by_order: bool = False
     compact_every: int = 20
+    keep_changes: bool = False
 
     @property
     def _changes(self) -> str:
@@ -67,6 +70,14 @@ class UpsertSink:
     def compact(self, spark: SparkSession, number: int) -> None:
         """Fold all changes up to ``number`` into a snapshot. Removed keys stay as markers."""
         write_numbered(self._merged(spark, upto=number, below=number), self._snapshots, number)
+        # The last snapshot and what followed it stay for readers that have begun.
+        last = max((n for n in committed(spark, self._snapshots) if n < number), default=-1)
+        for n in committed(spark, self._snapshots):
+            if n < last:
+                remove(spark, f"{self._snapshots}/b={n}")
+        for n in committed(spark, self._changes):
+            if n <= last and not self.keep_changes:
+                remove(spark, f"{self._changes}/b={n}")
 
     def image(self, spark: SparkSession) -> DataFrame:
         """The current image."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,13 +13,13 @@ from streamtables.functions import codec
 from streamtables.functions.times import flatten_window, millis
 from streamtables.operators import frames, joins, sets, versions, windows
 from streamtables.operators.checks import duplicate_keys, required_report, split_required
-from streamtables.operators.ordered import settle
+from streamtables.operators.ordered import slots_of_time, slots_of_values
 from streamtables.operators.ranking import rank_rows, top_k
 from streamtables.plans import charts
 from streamtables.plans.pipeline import MessageStep, Pipeline, Query
 from streamtables.session import apply_recommended, run_dir
-from streamtables.sources.scan import Binding, conform, encode
-from streamtables.sources.stream import Stream
+from streamtables.sources.scan import Binding, conform, encode, scan
+from streamtables.sources.stream import Catalog, Stream
 from streamtables.streaming import operators as live_ops
 from streamtables.streaming import topk as live_topk
 from streamtables.streaming.run import BatchFolder, append_files, debug_rows, each_batch, finish, insert_by_position
@@ -100,13 +101,14 @@ def tumble_play_count(spark, sf_dir):
 @query
 def rank_in_window(spark, sf_dir):
     counts = charts.window_counts(_enriched(spark, sf_dir), S.WINDOW)
-    return rank_rows(settle(counts), ["window_start", "window_end", "genre"], charts.best_first())
+    return rank_rows(counts, ["window_start", "window_end", "genre"], charts.best_first())
 
 
 @query
 def rank_in_window_chunked(spark, sf_dir):
     counts = charts.window_counts(_enriched(spark, sf_dir), S.WINDOW)
-    return rank_rows(counts, ["window_start", "window_end", "genre"], charts.best_first(), split=True)
+    slot = slots_of_values("play_count", falling=True)
+    return rank_rows(counts, ["window_start", "window_end", "genre"], charts.best_first(), slot=slot)
 
 
 @query
@@ -122,6 +124,7 @@ def topk_beyond_group_limit(spark, sf_dir):
     return top_k(counts, ["genre"], order, 2000)
 
 
+# The two statements whose clauses the declared chart pipeline stands for.
 CHART_SQL = """INSERT INTO [[STREAM:topsongs]]
     SELECT window_start, window_end, song_id, name, genre, play_count
     FROM (
@@ -176,9 +179,13 @@ def positional_insert(spark, sf_dir):
 # -- live windows -------------------------------------------------------------------------
 
 
+#: Parts a hot song's plays are spread over in live joins, which are not adaptive.
+LIVE_SALT = 4
+
+
 def _live_counts(spark, sf_dir):
     plays = S.plays(spark, sf_dir, live=True)
-    enriched = charts.song_plays(plays, S.songs(spark, sf_dir), S.MIN_DURATION)
+    enriched = charts.song_plays(plays, S.songs(spark, sf_dir), S.MIN_DURATION, salt=LIVE_SALT)
     return live_ops.count_closed(enriched, "event_time", S.WINDOW, ["song_id", "name", "genre"])
 
 
@@ -232,6 +239,87 @@ def staged_pipeline_topk(spark, sf_dir):
     return UpsertSink(f"{folder}/topsongs", list(S.TOP_SONGS.primary_key), ["song_play_count"]).image(spark)
 
 
+EVENT_COPIES = Stream.declare(
+    "eventcopies",
+    sql="CREATE TABLE EventCopies (`event_id` BIGINT NOT NULL, `user_id` BIGINT NOT NULL, `event_type` STRING)",
+    options={"ddl.key.fields": "event_id", "ddl.value.format": "json"},
+)
+
+
+@query
+def stream_two_inserts(spark, sf_dir):
+    """Two live inserts into one stream: one streaming query writes the rows of both."""
+    folder = run_dir(spark, "two-inserts")
+    live = S.events(spark, sf_dir, live=True)
+    insert = lambda kind: Query(
+        target="eventcopies",
+        transform=lambda _: live.filter(F.col("event_type") == kind).select("event_id", "user_id", "event_type"),
+    )
+    pipeline = Pipeline(
+        Catalog(EVENT_COPIES), [insert("click"), insert("purchase")], bindings={"eventcopies": Binding(path=f"{folder}/out")}
+    )
+    pipeline.replay(spark, f"{folder}/checkpoints")
+    return spark.read.schema(EVENT_COPIES.schema).parquet(f"{folder}/out")
+
+
+@query
+def stream_distinct_users(spark, sf_dir):
+    live = S.events(spark, sf_dir, live=True)
+    counts = live_ops.count_distinct_closed(live, "ts", S.WINDOW, ["event_type"], "user_id", "users")
+    return _replay(flatten_window(counts), "distinct-users")
+
+
+@query
+def processing_time(spark, sf_dir):
+    """The songs with their processing time: set, and not before the query began."""
+    began = F.lit(datetime.now(timezone.utc))
+    songs = S.songs(spark, sf_dir)
+    return songs.select("id", (F.col("proctime") >= began).alias("set_in_time"))
+
+
+@query
+def scan_with_options(spark, sf_dir):
+    """A stream bound by its declared options alone; those that describe nothing reach the reader."""
+    stream = Stream.declare(
+        "storedevents",
+        sql="CREATE TABLE StoredEvents (`event_id` BIGINT NOT NULL, `event_type` STRING)",
+        options={
+            "ddl.connector": "filesystem",
+            "ddl.path": S.table_path(sf_dir, "events"),
+            "ddl.scan.startup.mode": "earliest-offset",
+            "ddl.pathGlobFilter": "*.parquet",
+            "ddl.maxFilesPerTrigger": "8",
+        },
+    )
+    return scan(spark, stream)
+
+
+@query
+def explain_statements(spark, sf_dir):
+    """Plans of the two statements by number: the four tables come first."""
+    pipeline = _pipeline(sf_dir, [Query(ENRICH_SQL), Query(CHART_SQL)], explain_ids=[4, 5])
+    plans = pipeline.explain(spark)
+    rows = [(i, "Join" in text, "Window" in text) for i, text in sorted(plans.items())]
+    # The plans read the given tables; how many songs those hold is in the result.
+    songs = S.songs(spark, sf_dir).agg(F.count("*").alias("songs"))
+    return spark.createDataFrame(rows, "statement int, joins boolean, ranks boolean").join(songs)
+
+
+@query
+def sql_parts_by_month(spark, sf_dir):
+    """Another pair of facts and dimension: quantities of long part names per brand and month."""
+    lines = spark.read.parquet(S.table_path(sf_dir, "lineitem"))
+    parts = spark.read.parquet(S.table_path(sf_dir, "part"))
+    return spark.sql(
+        """SELECT p_brand, date_trunc('month', l_shipdate) AS month, count(*) AS lines,
+                  sum(cast(l_quantity AS decimal(18,2))) AS quantity
+           FROM {lines} JOIN {parts} ON l_partkey = p_partkey WHERE l_quantity >= 10
+           GROUP BY p_brand, date_trunc('month', l_shipdate)""",
+        lines=lines,
+        parts=parts,
+    ).select("p_brand", F.col("month").cast("timestamp"), "lines", F.col("quantity").cast("double"))
+
+
 # -- decode, encode, typed relations ------------------------------------------------------
 
 
@@ -407,7 +495,8 @@ def session_play_count(spark, sf_dir):
 
 @query
 def session_play_count_chunked(spark, sf_dir):
-    return windows.session_count(S.events(spark, sf_dir), "ts", DAY // 4, ["user_id"], split=True)
+    """Slots shorter than the gap: most sessions cross several."""
+    return windows.session_count(S.events(spark, sf_dir), "ts", DAY // 4, ["user_id"], slot_seconds=DAY // 8)
 
 
 @query
@@ -494,14 +583,14 @@ def stream_interval_join(spark, sf_dir):
     return _replay(_clicks_then_purchases(S.events(spark, sf_dir, live=True)), "interval")
 
 
-def _as_of(spark, sf_dir, how="inner", split=None):
+def _as_of(spark, sf_dir, how="inner", slot_seconds=DAY):
     rows = S.events(spark, sf_dir)
     bought = rows.filter("event_type = 'purchase'").select("user_id", "event_id", "ts", "value")
     signed = rows.filter("event_type = 'signup'").select(
         "user_id", F.col("event_id").alias("version_id"), F.col("ts").alias("valid_from"), F.col("props").alias("version")
     )
     return versions.as_of_join(
-        bought, signed, ["user_id"], "ts", "valid_from", ["event_id"], ["version_id"], how, split
+        bought, signed, ["user_id"], "ts", "valid_from", ["event_id"], ["version_id"], how, slot_seconds
     )
 
 
@@ -517,7 +606,7 @@ def as_of_join_left(spark, sf_dir):
 
 @query
 def as_of_join_chunked(spark, sf_dir):
-    return _as_of(spark, sf_dir, split=True)
+    return _as_of(spark, sf_dir, slot_seconds=DAY // 24)
 
 
 def _big_spenders(spark, sf_dir):
@@ -573,10 +662,10 @@ def _as_double(df):
     return df.withColumn("value", F.col("value").cast("double")).withColumn("total", F.col("total").cast("double"))
 
 
-def _over_rows(spark, sf_dir, split):
+def _over_rows(spark, sf_dir, slot):
     aggregates = {"total": F.sum("value"), "frame_rows": F.count("*")}
     order = [F.col("ts").asc(), F.col("event_id").asc()]
-    return _as_double(frames.over_rows(_frame_rows(spark, sf_dir), ["user_id"], order, 2, aggregates, split, 16))
+    return _as_double(frames.over_rows(_frame_rows(spark, sf_dir), ["user_id"], order, 2, aggregates, slot, 16))
 
 
 @query
@@ -586,34 +675,44 @@ def over_rows_frame(spark, sf_dir):
 
 @query
 def over_rows_frame_chunked(spark, sf_dir):
-    return _over_rows(spark, sf_dir, True)
+    return _over_rows(spark, sf_dir, slots_of_time("ts"))
+
+
+RANGE_AGGREGATES = {
+    "total": ("sum", "value"),
+    "frame_rows": ("count", "value"),
+    "lowest": ("min", "event_id"),
+    "highest": ("max", "event_id"),
+}
 
 
 @query
 def over_range_frame(spark, sf_dir):
-    aggregates = {
-        "total": ("sum", "value"),
-        "frame_rows": ("count", "value"),
-        "lowest": ("min", "event_id"),
-        "highest": ("max", "event_id"),
-    }
-    return _as_double(frames.over_range(_frame_rows(spark, sf_dir), ["user_id"], "ts", DAY, aggregates))
+    return _as_double(frames.over_range(_frame_rows(spark, sf_dir), ["user_id"], "ts", DAY, RANGE_AGGREGATES))
+
+
+@query
+def over_range_null_time(spark, sf_dir):
+    """Errors have no time; they are one frame per user."""
+    rows = S.events(spark, sf_dir).withColumn("ts", F.expr("if(event_type = 'error', null, ts)"))
+    rows = rows.select("event_id", "user_id", "ts", F.col("value").cast(MONEY).alias("value"))
+    return _as_double(frames.over_range(rows, ["user_id"], "ts", DAY, RANGE_AGGREGATES))
 
 
-def _running(spark, sf_dir, split):
+def _running(spark, sf_dir, slot):
     order = [F.col("ts").asc(), F.col("event_id").asc()]
     rows = _frame_rows(spark, sf_dir)
-    return _as_double(frames.running_sum(rows, ["user_id"], order, F.col("value"), "total", split))
+    return _as_double(frames.running_sum(rows, ["user_id"], order, F.col("value"), "total", slot))
 
 
 @query
 def running_total(spark, sf_dir):
-    return _running(spark, sf_dir, None)
+    return _running(spark, sf_dir, slots_of_time("ts"))
 
 
 @query
 def running_total_chunked(spark, sf_dir):
-    return _running(spark, sf_dir, True)
+    return _running(spark, sf_dir, slots_of_time("ts", DAY // 24))
 
 
 def _two_sides(spark, sf_dir):

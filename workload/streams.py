@@ -12,10 +12,15 @@ from pyspark.sql import types as T
 from streamtables.sources.scan import Binding, scan
 from streamtables.sources.stream import Catalog, Stream
 
+# Columns, types, keys and watermarks of the four declared streams.
+
 MIN_DURATION = 30.0
 WINDOW = "1 day"
 TOP = 3
 
+#: How much a live scan takes into one micro-batch, so that a stored table is many batches.
+LIVE_RATE = {"maxBytesPerTrigger": "100g"}
+
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 CUSTOMER = "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
 CONVERSATIONS = "conv_id bigint, turn bigint, role string, text string"
@@ -104,6 +109,7 @@ def plays_binding(sf_dir: str) -> Binding:
         path=table_path(sf_dir, "events"),
         columns={"song_id": "user_id", "duration": "value"},
         schema=_ddl(EVENTS),
+        options=dict(LIVE_RATE),
     )
 
 
@@ -131,7 +137,7 @@ def songs(spark: SparkSession, sf_dir: str, live: bool = False) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str, live: bool = False, delay: str = "30 seconds") -> DataFrame:
     """The events table as stored; a live scan declares ``ts`` as event time."""
-    reader = (spark.readStream if live else spark.read).schema(_ddl(EVENTS))
+    reader = (spark.readStream.options(**LIVE_RATE) if live else spark.read).schema(_ddl(EVENTS))
     df = reader.parquet(table_path(sf_dir, "events"))
     return df.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay) if live else df
 
@@ -141,7 +147,7 @@ def customer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversations(spark: SparkSession, sf_dir: str, live: bool = False) -> DataFrame:
-    reader = (spark.readStream if live else spark.read).schema(_ddl(CONVERSATIONS))
+    reader = (spark.readStream.options(**LIVE_RATE) if live else spark.read).schema(_ddl(CONVERSATIONS))
     return reader.parquet(table_path(sf_dir, "conversations"))
 
 
