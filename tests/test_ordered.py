@@ -1,4 +1,4 @@
-"""Chunked and plain forms against brute force, with one key holding most rows."""
+"""Slotted and plain forms against brute force, with one key holding most rows."""
 
 import datetime as dt
 import random
@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from streamtables.operators import frames, joins, sets, versions, windows
-from streamtables.operators.ordered import Carry, Split, carry_over, cut_into_chunks, decide_split, settle
+from streamtables.operators.ordered import SLOT, Carry, Slot, carry_over, cut, settle, slots_of_time, slots_of_values
 from streamtables.operators.ranking import rank_rows, top_k
 
 START = dt.datetime(2024, 1, 1)
@@ -45,13 +45,23 @@ def order(spark):
     return [F.col("s").asc(), F.col("id").asc()]
 
 
-def test_split_follows_the_largest_group(table):
-    assert not decide_split(table, ["k"], max_group_rows=400)
-    assert decide_split(table, ["k"], max_group_rows=100) == Split(4), "at least the shuffle partitions"
-    assert decide_split(table, ["k"], max_group_rows=10) == Split(40), "chunks stay under the limit"
-    assert decide_split(table, ["k"], True, 10) == Split(40)
-    assert not decide_split(table, ["k"], False, 10)
-    assert not decide_split(table.limit(0), ["k"], max_group_rows=1)
+#: How a group is cut; None leaves it whole.
+SLOTS = {
+    "whole": lambda: None,
+    "one": lambda: Slot(F.lit(0)),
+    "some": lambda: Slot(F.floor(F.col("s") / 700)),
+    "values": lambda: slots_of_values("s"),
+    "times": lambda: slots_of_time("t", 60),
+}
+
+
+def test_building_a_plan_runs_nothing(spark, table, order):
+    spark.sparkContext.setJobGroup("building", "")
+    rank_rows(table, ["k"], order, "n", slots_of_values("s"))
+    frames.running_sum(table, ["k"], order, F.col("v"), "total", slots_of_time("t"))
+    windows.session_count(table, "t", 5, ["k"], "n")
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("building")
+    spark.sparkContext.setJobGroup("tests", "")
 
 
 def test_settle_keeps_rows_and_schema(table):
@@ -59,32 +69,34 @@ def test_settle_keeps_rows_and_schema(table):
     assert kept.schema == table.schema and kept.exceptAll(table).count() == 0 and kept.count() == table.count()
 
 
-@pytest.mark.parametrize("split", [False, True, None])
-def test_rank(table, rows, order, split):
+@pytest.mark.parametrize("slot", SLOTS)
+def test_rank(table, rows, order, slot):
     expected = {r[2]: i + 1 for g in grouped(rows).values() for i, r in enumerate(g)}
-    got = {r.id: r.n for r in rank_rows(table, ["k"], order, "n", split).collect()}
+    got = {r.id: r.n for r in rank_rows(table, ["k"], order, "n", SLOTS[slot]()).collect()}
     assert got == expected
 
 
-def test_rank_descending_chunks(table, rows):
-    got = {r.id: r.n for r in rank_rows(table, ["k"], [F.col("v").desc(), F.col("id").asc()], "n", True).collect()}
+def test_rank_descending_slots(table, rows):
+    slot = slots_of_values("v", falling=True)
+    got = {r.id: r.n for r in rank_rows(table, ["k"], [F.col("v").desc(), F.col("id").asc()], "n", slot).collect()}
     groups = defaultdict(list)
     for r in sorted(rows, key=lambda r: (-r[3], r[2])):
         groups[r[0]].append(r[2])
     assert got == {i: n + 1 for g in groups.values() for n, i in enumerate(g)}
 
 
-@pytest.mark.parametrize("chunks", [1, 3, 50])
-def test_carry_with_any_number_of_chunks(table, rows, order, chunks):
-    chunked = cut_into_chunks(table, ["k"], order, chunks)
-    carried = carry_over(chunked, ["k"], [Carry("before", F.count("*"), "sum"), Carry("last_id", F.max("id"), "last")])
-    chunk_of = {r.id: r._chunk for r in chunked.collect()}
-    for r in carried.collect():
-        earlier = [x for x in rows if x[0] == r.k and chunk_of[x[2]] < r._chunk]
+@pytest.mark.parametrize("kind", ["one", "some", "values", "times"])
+def test_carry_with_any_slots(table, rows, kind):
+    slot = SLOTS[kind]()
+    slotted = cut(table, slot)
+    carries = [Carry("before", F.count("*"), "sum"), Carry("last_id", F.max("id"), "last")]
+    slot_of = {r.id: r[SLOT] for r in slotted.collect()}
+    for r in carry_over(slotted, ["k"], slot, carries).collect():
+        earlier = [x for x in rows if x[0] == r.k and slot_of[x[2]] < r[SLOT]]
         assert (r.before or 0) == len(earlier)
         if earlier:
-            last_chunk = max(chunk_of[x[2]] for x in earlier)
-            assert r.last_id == max(x[2] for x in earlier if chunk_of[x[2]] == last_chunk)
+            last_slot = max(slot_of[x[2]] for x in earlier)
+            assert r.last_id == max(x[2] for x in earlier if slot_of[x[2]] == last_slot)
 
 
 @pytest.mark.parametrize("k", [1, 3, 1500])
@@ -99,11 +111,11 @@ def test_top_k_prunes_before_the_shuffle(table, order):
     assert plan.index("WindowGroupLimit") and "Partial" in plan
 
 
-@pytest.mark.parametrize("split", [False, True])
+@pytest.mark.parametrize("slot", ["whole", "some", "times"])
 @pytest.mark.parametrize("preceding,block", [(2, 3), (7, 4), (0, 5)])
-def test_rows_frame(table, rows, order, split, preceding, block):
+def test_rows_frame(table, rows, order, slot, preceding, block):
     got = {r.id: (r.total, r.n) for r in frames.over_rows(
-        table, ["k"], order, preceding, {"total": F.sum("v"), "n": F.count("*")}, split, block).collect()}
+        table, ["k"], order, preceding, {"total": F.sum("v"), "n": F.count("*")}, SLOTS[slot](), block).collect()}
     for g in grouped(rows).values():
         for i, r in enumerate(g):
             window = [x[3] for x in g[max(0, i - preceding): i + 1]]
@@ -124,10 +136,10 @@ def test_range_frame(table, rows, seconds):
         assert results[r[2]] == ((sum(frame), len(frame), min(frame), max(frame)) if frame else (None, 0, None, None))
 
 
-@pytest.mark.parametrize("split", [False, True])
-def test_running_sum_with_null_values(table, rows, order, split):
+@pytest.mark.parametrize("slot", SLOTS)
+def test_running_sum_with_null_values(table, rows, order, slot):
     value = F.when(F.col("v") > 50, F.col("v"))
-    got = {r.id: r.total for r in frames.running_sum(table, ["k"], order, value, "total", split).collect()}
+    got = {r.id: r.total for r in frames.running_sum(table, ["k"], order, value, "total", SLOTS[slot]()).collect()}
     for g in grouped(rows).values():
         seen = []
         for r in g:
@@ -147,22 +159,22 @@ def test_sessions_agree(table, rows, gap):
             last, n = r[1], n + 1
         expected.add((key, start, last + gap, n))
     seconds = lambda t: int((t - START).total_seconds())
-    for split in (False, True):
-        got = windows.session_count(table, "t", gap, ["k"], "n", split).collect()
+    for slot_seconds in (3, 60, 86_400):
+        got = windows.session_count(table, "t", gap, ["k"], "n", slot_seconds).collect()
         assert {(r.k, seconds(r.window_start), seconds(r.window_end), r.n) for r in got} == expected
 
 
-@pytest.mark.parametrize("split", [False, True])
+@pytest.mark.parametrize("slot_seconds", [1, 60, 86_400])
 @pytest.mark.parametrize("how", ["inner", "left"])
-def test_as_of(spark, table, rows, split, how):
+def test_as_of(spark, table, rows, slot_seconds, how):
     facts = [r for r in rows if r[2] % 3]
     marks = [r for r in rows if not r[2] % 3]
-    columns = "k string, s int, id int, v int"
+    at = lambda s: START + dt.timedelta(seconds=s)
     got = versions.as_of_join(
-        spark.createDataFrame(facts, columns),
-        spark.createDataFrame([(r[0], r[1], r[2], r[3]) for r in marks], "k string, since int, mark int, mv int"),
-        ["k"], "s", "since", ["id"], ["mark"], how, split,
-    )
+        spark.createDataFrame([(r[0], at(r[1]), *r) for r in facts], "k string, at timestamp_ntz, _k string, s int, id int, v int").drop("_k"),
+        spark.createDataFrame([(r[0], at(r[1]), *r[1:]) for r in marks], "k string, since_at timestamp_ntz, since int, mark int, mv int"),
+        ["k"], "at", "since_at", ["id"], ["mark"], how, slot_seconds,
+    ).drop("at", "since_at")
     expected = set()
     for f in facts:
         valid = [(m[1], m[2], m[3]) for m in marks if m[0] is not None and m[0] == f[0] and m[1] <= f[1]]

@@ -273,4 +273,29 @@ def test_closed_step_into_json_files(spark, stored, tmp_path):
     stored["b"] = Binding(format="json", path=str(tmp_path / "json"))
     step = Query("INSERT INTO [[STREAM:b]] SELECT x, s FROM [[STREAM:a-1]]", closed="SELECT max(x), 'm' FROM closed")
     Pipeline(CATALOG, [step], bindings=stored).replay(spark, str(tmp_path / "c"))
-    assert [tuple(r) for r in spark.read.schema("y bigint, u string").json(str(tmp_path / "json")).collect()] == [(2, "m")]
+    # One folder for each batch, so that a batch that is written again replaces itself.
+    assert [tuple(r) for r in spark.read.schema("y bigint, u string").json(str(tmp_path / "json/b=0")).collect()] == [(2, "m")]
+
+
+def test_live_inserts_into_one_target_keep_all_rows(spark, stored, tmp_path):
+    """Append, closed and upsert targets get the rows of both inserts, as in batch."""
+    for kind, closed, target in (("append", None, "b"), ("closed", "SELECT * FROM closed", "b"), ("upsert", None, "image")):
+        stored[target] = Binding(path=str(tmp_path / kind))
+        texts = [f"INSERT INTO [[STREAM:{target}]] SELECT x, s FROM [[STREAM:a-1]] WHERE x = {i}" for i in (1, 2)]
+        steps = Pipeline(CATALOG, [Query(t, closed=closed) for t in texts], bindings=stored)
+        steps.replay(spark, str(tmp_path / f"{kind}-c"))
+        expected = steps.results(spark)[target]
+        if kind == "upsert":
+            keys = {r[0] for r in expected.collect()}
+            rows = spark.read.parquet(str(tmp_path / kind / "changes"))
+            assert {r[0] for r in rows.collect()} == keys and len(keys) == 2
+        else:
+            rows = spark.read.parquet(str(tmp_path / kind)).select(*expected.columns)
+            assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, expected.collect()))
+            assert expected.count() == 3
+
+
+def test_statement_that_cannot_run_live_is_refused(spark, stored, tmp_path):
+    text = "INSERT INTO [[STREAM:b]] SELECT x, s FROM (SELECT *, row_number() OVER (ORDER BY x) AS n FROM [[STREAM:a-1]])"
+    with pytest.raises(StreamError):
+        Pipeline(CATALOG, [Query(text)], bindings=stored).replay(spark, str(tmp_path / "c"))

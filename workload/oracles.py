@@ -69,10 +69,10 @@ def _one_per_key(direction: str) -> str:
         PARTITION BY user_id, event_type ORDER BY ts {direction}, event_id {direction}) AS rn FROM events) WHERE rn = 1"""
 
 
-def _over(frame: str, more: str = "") -> str:
+def _over(frame: str, more: str = "", rows: str = "events") -> str:
     return f"""SELECT event_id, user_id, ts, value,
         CAST(sum(CAST(value AS DECIMAL(18,2))) OVER w AS DOUBLE) AS total, count(*) OVER w AS frame_rows{more}
-        FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts {frame})"""
+        FROM {rows} WINDOW w AS (PARTITION BY user_id ORDER BY ts {frame})"""
 
 
 _RUNNING = """SELECT event_id, user_id, ts, value,
@@ -187,5 +187,20 @@ ORACLES: dict[str, str] = {
     "except_distinct": _two_sides("EXCEPT"),
     "stream_union_all": """SELECT event_id, user_id, ts FROM events WHERE event_type = 'click'
         UNION ALL SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase'""",
+    "stream_two_inserts": "SELECT event_id, user_id, event_type FROM events WHERE event_type IN ('click', 'purchase')",
+    "stream_distinct_users": f"""SELECT * FROM (SELECT {_DAILY}, count(DISTINCT user_id) AS users
+        FROM events GROUP BY ALL) WHERE window_end <= {_PLAYED_UNTIL}""",
+    "processing_time": "SELECT c_custkey AS id, true AS set_in_time FROM customer",
+    "scan_with_options": "SELECT event_id, event_type FROM events",
+    "explain_statements": """SELECT statement, joins, ranks, (SELECT count(*) FROM customer) AS songs
+        FROM (VALUES (4, true, false), (5, true, true)) AS t(statement, joins, ranks)""",
+    "sql_parts_by_month": """SELECT p_brand, date_trunc('month', l_shipdate) AS month, count(*) AS lines,
+            CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) AS quantity
+        FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity >= 10 GROUP BY ALL""",
+    "over_range_null_time": _over(
+        "RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW",
+        ", min(event_id) OVER w AS lowest, max(event_id) OVER w AS highest",
+        "(SELECT * REPLACE (CASE WHEN event_type <> 'error' THEN ts END AS ts) FROM events)",
+    ),
     "debug_stream_rows": f"SELECT '+I' AS op, * FROM ({_PLAYS}) WHERE duration >= 30",
 }

@@ -299,10 +299,13 @@ def explain_statements(spark, sf_dir):
     """Plans of the two statements by number: the four tables come first."""
     pipeline = _pipeline(sf_dir, [Query(ENRICH_SQL), Query(CHART_SQL)], explain_ids=[4, 5])
     plans = pipeline.explain(spark)
-    rows = [(i, "Join" in text, "Window" in text) for i, text in sorted(plans.items())]
+    rows = [
+        F.struct(F.lit(i).alias("statement"), F.lit("Join" in text).alias("joins"), F.lit("Window" in text).alias("ranks"))
+        for i, text in sorted(plans.items())
+    ]
     # The plans read the given tables; how many songs those hold is in the result.
     songs = S.songs(spark, sf_dir).agg(F.count("*").alias("songs"))
-    return spark.createDataFrame(rows, "statement int, joins boolean, ranks boolean").join(songs)
+    return songs.select("songs", F.inline(F.array(*rows)))
 
 
 @query

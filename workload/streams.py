@@ -19,7 +19,7 @@ WINDOW = "1 day"
 TOP = 3
 
 #: How much a live scan takes into one micro-batch, so that a stored table is many batches.
-LIVE_RATE = {"maxBytesPerTrigger": "100g"}
+LIVE_RATE = {"maxBytesPerTrigger": str(100 << 30)}
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 CUSTOMER = "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
