@@ -191,7 +191,7 @@ ORACLES: dict[str, str] = {
     "stream_distinct_users": f"""SELECT * FROM (SELECT {_DAILY}, count(DISTINCT user_id) AS users
         FROM events GROUP BY ALL) WHERE window_end <= {_PLAYED_UNTIL}""",
     "processing_time": "SELECT c_custkey AS id, true AS set_in_time FROM customer",
-    "scan_with_options": "SELECT event_id, event_type FROM events",
+    "scan_with_options": "SELECT event_id, event_type, CAST(NULL AS VARCHAR) AS the_kafka_key FROM events",
     "explain_statements": """SELECT statement, joins, ranks, (SELECT count(*) FROM customer) AS songs
         FROM (VALUES (4, true, false), (5, true, true)) AS t(statement, joins, ranks)""",
     "sql_parts_by_month": """SELECT p_brand, date_trunc('month', l_shipdate) AS month, count(*) AS lines,
