@@ -24,6 +24,8 @@ UNDETERMINED = "und"
 SAMPLE_DOCS = 1200
 #: Longer texts are not taken into the training sample (they are scored whole like all others).
 SAMPLE_CHARS = 20_000
+#: Characters whose n-grams are held before they are added to the counts.
+COUNTED_AT_ONCE = 200_000
 _MULTIPLIER = 0x9E3779B97F4A7C15
 
 
@@ -94,23 +96,42 @@ class Keys:
         return place, self.hashes[place] == wanted
 
 
+def _added(table: dict[str, np.ndarray] | None, parts: list[tuple[np.ndarray, ...]]) -> dict[str, np.ndarray]:
+    """The distinct n-grams of ``table`` and ``parts`` (grams, contexts, tails), with their counts."""
+    gram, context, tail = (np.concatenate(x) for x in zip(*parts, strict=True))
+    count = np.ones(len(gram), dtype=np.int64)
+    if table is not None:
+        gram, context = np.append(table["gram"], gram), np.append(table["context"], context)
+        tail, count = np.append(table["tail"], tail), np.append(table["count"], count)
+    order = np.argsort(gram, kind="stable")
+    gram = gram[order]
+    first = np.flatnonzero(np.append(True, gram[1:] != gram[:-1]))
+    place = order[first]
+    count = np.add.reduceat(count[order], first)
+    return {"gram": gram[first], "context": context[place], "tail": tail[place], "count": count}
+
+
 def _count(texts: list[str], order: int) -> list[dict[str, np.ndarray]]:
-    """Distinct n-grams per order, with counts, their contexts and their shorter grams."""
+    """Distinct n-grams per order, with counts, their contexts and their shorter grams.
+
+    Orders that no text is long enough for are left out. Counts are put together every
+    ``COUNTED_AT_ONCE`` characters, so memory follows the distinct n-grams.
+    """
+    tables: list[dict[str, np.ndarray] | None] = [None] * order
     parts: list[list[tuple]] = [[] for _ in range(order)]
-    for text in texts:
-        points = code_points(text)
-        grams = _hashes(points, order)
+    waiting = 0
+    for i, text in enumerate(texts):
+        grams = _hashes(code_points(text), order)
         contexts = _contexts(grams)
+        waiting += len(grams[0])
         for n in range(1, order + 1):
             if len(grams[n - 1]):
                 tail = grams[n - 2][1:] if n > 1 else np.zeros(len(grams[0]), dtype=np.uint64)
                 parts[n - 1].append((grams[n - 1], contexts[n - 1][-len(grams[n - 1]) :], tail))
-    counted = []
-    for own in parts:
-        grams, contexts, tails = (np.concatenate(x) for x in zip(*own, strict=True))
-        gram, first, count = np.unique(grams, return_index=True, return_counts=True)
-        counted.append({"gram": gram, "context": contexts[first], "tail": tails[first], "count": count})
-    return counted
+        if waiting >= COUNTED_AT_ONCE or i == len(texts) - 1:
+            tables = [_added(t, own) if own else t for t, own in zip(tables, parts, strict=True)]
+            parts, waiting = [[] for _ in range(order)], 0
+    return [t for t in tables if t is not None]
 
 
 def _discount(counts: np.ndarray) -> float:
@@ -219,6 +240,8 @@ def build(samples: dict[str, list[str]], order: int = ORDER) -> Models:
         return Models([], [], [], [], [], 0.0)
     train = {k: [t for i, t in enumerate(v) if i % 6 or len(v) < 12] for k, v in samples.items()}
     seen = {k: _count(v, order) for k, v in train.items()}
+    order = min(map(len, seen.values()))  # texts of a single letter have no long n-grams
+    seen = {k: c[:order] for k, c in seen.items()}
     alphabet = 1 + len(np.unique(np.concatenate([c[0]["gram"] for c in seen.values()])))
     own = {k: _kneser_ney(c, alphabet) for k, c in seen.items()}
     models = Models(list(samples), [], [], [], [], float(np.log(1.0 / (alphabet + 1000))))

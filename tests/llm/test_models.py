@@ -105,3 +105,16 @@ def test_held_out_quality(spark):
     held = op3_quality(spark, sf_dir).filter("held_out").join(labels, "doc_id").toPandas()
     good, bad = held[held.quality == 1].score, held[held.quality == 0].score
     assert np.mean([g > b for g in good for b in bad]) > 0.8
+
+
+def test_counting_in_parts_changes_nothing(monkeypatch):
+    texts = {"a": ["the cat sat on the mat " * 3, "a dog and a cat"] * 9, "b": ["le chat est sur le tapis", "un chien"] * 9}
+    whole = language_id.build(texts)
+    monkeypatch.setattr(language_id, "COUNTED_AT_ONCE", 10)
+    parts = language_id.build(texts)
+    assert all((x == y).all() for x, y in zip(whole.log_p, parts.log_p, strict=True))
+    assert whole.limits == parts.limits and whole.predict("the dog") == parts.predict("the dog")
+
+
+def test_training_texts_of_one_letter():
+    assert language_id.build({"a": ["a"], "b": ["b"]}).predict("a")[0] == "a"
