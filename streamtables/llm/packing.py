@@ -7,12 +7,14 @@ whose sequences need no padding and never cross documents.
 
 from __future__ import annotations
 
-import re
+import os
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,19 +23,20 @@ from streamtables.llm.common import whole_text
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long"
 
 #: Entries a worker remembers: pieces of text between spaces, with their ids.
-REMEMBERED = 300_000
-
-
-#: A space that does not begin a word.
-SPACE_RUN = re.compile(r" (?=\s|$)")
+REMEMBERED = 400_000
+#: Bytes of the texts that are encoded at once (a longer text is encoded alone).
+ENCODED_AT_ONCE = 8_000_000
+#: Pieces of text that the tokenizer gets as one text.
+_JOINED = 1000
 
 
 class TokenIds:
     """Ids of texts as little-endian unsigned 32-bit numbers.
 
-    A space before a character that is not white space always begins a new pre-token, so a text
-    can be encoded part by part, and parts that were seen before are looked up. ``spaced`` tells that
-    the tokenizer works this way; otherwise whole texts are encoded.
+    A space before a character that is not white space always begins a new pre-token. So texts
+    are split at spaces, the distinct pieces of many texts are encoded once, and those seen
+    before are looked up. ``spaced`` tells that the tokenizer works this way; otherwise, and for
+    texts with a space that does not begin a word, whole texts are encoded.
     """
 
     def __init__(self, path: str, spaced: bool = True, remembered: int = REMEMBERED):
@@ -42,35 +45,116 @@ class TokenIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.spaced, self.remembered = spaced, remembered
-        self.known: dict[str, bytes] = {}
+        self.known = pa.array([], pa.large_string())
+        self.known_ids: tuple[np.ndarray, np.ndarray] = (np.zeros(0, "<u4"), np.zeros(0, np.int64))
 
-    def _encode(self, parts: list[str]) -> list[bytes]:
+    def _encode(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all parts one after the other, and how many each part has."""
         found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        ids = [np.array(e.ids, dtype="<u4") for e in found]
+        return np.concatenate([np.zeros(0, "<u4"), *ids]), np.array([len(x) for x in ids], dtype=np.int64)
+
+    def _encode_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words with a space before each, of which none begins with white space.
+
+        Many are encoded as one text. An id that begins with the mark of a space begins a word.
+        """
+        listed = words.to_pylist()
+        texts = [" " + " ".join(listed[i : i + _JOINED]) for i in range(0, len(listed), _JOINED)]
+        ids, _ = self._encode(texts)
+        begins = np.flatnonzero(self._begins_word()[ids])
+        if len(begins) != len(listed):  # a tokenizer with other marks
+            return self._encode([" " + w for w in listed])
+        return ids, np.diff(np.append(begins, len(ids)))
+
+    def _begins_word(self) -> np.ndarray:
+        if not hasattr(self, "_marked"):
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+            self._marked = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+            self._marked[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True
+        return self._marked
+
+    def _words(self, words: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, from memory where it has them. Words seen twice are remembered."""
+        if not len(words):
+            return self._encode([])
+        place = pc.index_in(words, value_set=self.known)
+        new = pc.is_null(place).to_numpy(zero_copy_only=False)
+        fresh = words.filter(pa.array(new))
+        fresh_ids, fresh_sizes = self._encode_words(fresh)
+        ids, sizes = np.concatenate([self.known_ids[0], fresh_ids]), np.concatenate([self.known_ids[1], fresh_sizes])
+        at = place.fill_null(0).to_numpy().astype(np.int64)
+        at[new] = len(self.known) + np.arange(len(fresh))
+        again = counts[new] > 1
+        if len(self.known) + again.sum() > self.remembered:  # begin anew, with what is in use
+            keep = np.flatnonzero(counts > 1)[: self.remembered]
+            self.known, self.known_ids = words.take(pa.array(keep)), _gather(ids, sizes, at[keep])
+        elif again.any():
+            added = _gather(fresh_ids, fresh_sizes, np.flatnonzero(again))
+            self.known = pa.concat_arrays([self.known, fresh.filter(pa.array(again))])
+            self.known_ids = tuple(np.concatenate(x) for x in zip(self.known_ids, added, strict=True))
+        return _gather(ids, sizes, at)
+
+    def batch(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text."""
+        texts = texts.cast(pa.large_string())
+        if not self.spaced:
+            return [self._encode([t])[0].tobytes() for t in texts.to_pylist()]
+        parts = pc.split_pattern(texts, " ")
+        values, offsets = parts.flatten(), parts.offsets.to_numpy() - parts.offsets[0].as_py()
+        coded = values.dictionary_encode()
+        words, codes = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        begins_so = np.array([not w or w[0].isspace() for w in words.to_pylist()], dtype=bool)
+        first = np.zeros(len(codes), dtype=bool)
+        first[offsets[:-1]] = True
+        runs = np.add.reduceat(begins_so[codes] & ~first, offsets[:-1]) > 0 if len(codes) else np.zeros(0, dtype=bool)
+        usual = ~first & ~np.repeat(runs, np.diff(offsets))
+        counts = np.bincount(codes[usual], minlength=len(words))
+        used = np.flatnonzero(counts)
+        number = np.zeros(len(words), dtype=np.int64)
+        number[used] = np.arange(len(used))
+        ids, sizes = self._words(words.take(pa.array(used)), counts[used])
+        # Texts with other spaces as a whole, and the first words of the others.
+        alone = [t if whole else t.split(" ", 1)[0] for t, whole in zip(texts.to_pylist(), runs.tolist(), strict=True)]
+        alone_ids, alone_sizes = self._encode(alone)
+        ids, sizes = np.concatenate([ids, alone_ids]), np.concatenate([sizes, alone_sizes])
+        wanted = number[codes]
+        wanted[first] = len(used) + np.arange(len(alone))
+        text = np.repeat(np.arange(len(alone)), np.diff(offsets))
+        taken = first | usual
+        out, lengths = _gather(ids, sizes, wanted[taken])
+        ends = np.cumsum(np.bincount(text[taken], weights=lengths, minlength=len(alone)).astype(np.int64)) * 4
+        raw = memoryview(out.tobytes())
+        return [bytes(raw[a:b]) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False)]
 
     def __call__(self, text: str) -> bytes:
-        if not self.spaced:
-            return self._encode([text])[0]
-        first, *rest = text.split(" ")
-        if SPACE_RUN.search(text):
-            parts = [first]
-            for part in rest:
-                if part and not part[0].isspace():
-                    parts.append(" " + part)
-                else:
-                    parts[-1] += " " + part
-        else:
-            parts = [first, *[" " + part for part in rest]]
-        known = self.known
-        ids = [known.get(part) for part in parts]
-        if None in ids:
-            new = list({part for part, i in zip(parts, ids, strict=True) if i is None})
-            if len(known) > self.remembered:
-                known.clear()
-            fresh = dict(zip(new, self._encode(new), strict=True))
-            known.update({k: v for k, v in fresh.items() if len(k) < 40})
-            ids = [i if i is not None else fresh[part] for part, i in zip(parts, ids, strict=True)]
-        return b"".join(ids)
+        return self.batch(pa.array([text], pa.large_string()))[0]
+
+
+def _gather(ids: np.ndarray, sizes: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``wanted`` of ``ids`` one after the other, and their sizes."""
+    length = sizes[wanted]
+    begin = (np.cumsum(sizes) - sizes)[wanted]
+    ahead = np.cumsum(length) - length
+    return ids[np.repeat(begin - ahead, length) + np.arange(length.sum())], length
+
+
+@cache
+def _encoder(path: str, spaced: bool) -> TokenIds:
+    """One for a worker, so that it is kept from task to task. Spark's tasks are the parallel work."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    return TokenIds(path, spaced)
+
+
+def slices(batch: pa.RecordBatch, column: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Rows of the batch in turn, with ``most`` bytes of text together, or a single row."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy().astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        until = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(at, until - at)
+        at = until
 
 
 def power_of_two_pieces(tokens: int, longest: int) -> list[tuple[int, int]]:
@@ -104,13 +188,12 @@ def pack(docs: DataFrame, tokenizer_path: str, longest: int = 1024, end_id: int
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = TokenIds(tokenizer_path, spaced)
+        encode = _encoder(tokenizer_path, spaced)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):  # a batch of ids is several times its texts
-                part = batch.slice(at, 1000)
+            for part in slices(batch, 1, ENCODED_AT_ONCE):  # ids are several times their texts
                 columns: tuple[list, ...] = ([], [], [], [], [])
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    ids = encode(text) + closing
+                for doc_id, found in zip(part.column(0).to_pylist(), encode.batch(part.column(1)), strict=True):
+                    ids = found + closing
                     for start, length in power_of_two_pieces(len(ids) // 4, longest):
                         row = (doc_id, start, length, ids[4 * start : 4 * (start + length)], len(ids) // 4)
                         for column, value in zip(columns, row, strict=True):
