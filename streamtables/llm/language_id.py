@@ -300,11 +300,19 @@ def _calibrate(models: Models, held: dict[str, list[str]]) -> None:
 
 
 def sample(
-    labelled: DataFrame, label: str, per_label: int, max_chars: int, seed: int = 11, labels: list | None = None
+    labelled: DataFrame,
+    label: str,
+    per_label: int,
+    max_chars: int,
+    seed: int = 11,
+    labels: list | None = None,
+    docs: DataFrame | None = None,
 ) -> dict:
     """Texts of each label, at most ``per_label`` and none longer than ``max_chars``.
 
-    The rows with the smallest seeded hash, so the sample does not depend on partitions.
+    The rows with the smallest seeded hash, so the sample does not depend on partitions. Only
+    hashes are sorted and joined; the texts of those chosen are read in a second pass. Texts are
+    in ``labelled``, or in ``docs``, with ``doc_id`` in both.
     Labels are few; beyond 1,000 an error is raised.
     """
     if labels is None:
@@ -312,11 +320,16 @@ def sample(
         if len(found) > 1000:
             raise ValueError("more than 1,000 labels")
         labels = sorted(r[0] for r in found if r[0] is not None)
-    usable = labelled.filter(F.length("text") <= max_chars).withColumn("_place", F.xxhash64(F.lit(seed), "text"))
+    source = labelled if docs is None else docs
+    usable = source.filter(F.length("text") <= max_chars).withColumn("_place", F.xxhash64(F.lit(seed), "text"))
+    places = usable if docs is None else usable.select("doc_id", "_place").join(labelled, "doc_id")
     texts = {}
     for value in labels:
-        rows = usable.filter(F.col(label) == value).select("text", "_place").distinct()
-        texts[value] = [r["text"] for r in rows.orderBy("_place", "text").limit(per_label).collect()]
+        found = places.filter(F.col(label) == value).select("_place").distinct().orderBy("_place").limit(per_label)
+        # At most per_label numbers.
+        chosen = labelled.sparkSession.createDataFrame(found.collect(), "_place long")
+        rows = usable.select("text", "_place").join(F.broadcast(chosen), "_place").distinct()
+        texts[value] = [r["text"] for r in sorted(rows.collect(), key=lambda r: (r["_place"], r["text"]))]
     return texts
 
 

@@ -103,18 +103,25 @@ def fit(good: list[str], bad: list[str], dictionary_bytes: int = DICTIONARY_BYTE
     return model
 
 
-def train(labelled: DataFrame, label: str = "quality", per_label: int = SAMPLE_DOCS) -> QualityModel:
+def train(
+    labelled: DataFrame, label: str = "quality", per_label: int = SAMPLE_DOCS, docs: DataFrame | None = None
+) -> QualityModel:
     """A model from a bounded sample of rows with ``text`` and a label of 0 or 1.
 
+    With ``docs`` (``doc_id``, ``text``), ``labelled`` has ``doc_id`` and the label, and is joined
+    without the texts.
+
     The rarer label is sampled in full up to the bound, the other in proportion to its share of
     the labels, so that the curve gives probabilities for all texts.
     """
+    if docs is not None:
+        labelled = labelled.select("doc_id", label).join(docs.select("doc_id"), "doc_id")
     counts = {r[0]: r[1] for r in labelled.filter(F.col(label).isin(0, 1)).groupBy(label).count().collect()}
     most = max(counts.values(), default=0)
     texts = {v: [] for v in (0, 1)}
     for value, n in counts.items():
         bound = min(per_label, max(2, round(per_label * n / most)))
-        texts |= sample(labelled, label, bound if most > per_label else per_label, SAMPLE_CHARS, labels=[value])
+        texts |= sample(labelled, label, bound if most > per_label else per_label, SAMPLE_CHARS, labels=[value], docs=docs)
     return fit(texts[1], texts[0])
 
 

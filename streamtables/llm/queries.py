@@ -63,7 +63,7 @@ def op2_exact_dedup(spark, sf_dir):
 def op3_quality(spark, sf_dir):
     docs = documents(spark, sf_dir)
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    model = quality.train(docs.filter(~held_out(5, 0)).join(labels, "doc_id"))
+    model = quality.train(labels, docs=docs.filter(~held_out(5, 0)))
     scored = quality.score(docs, model)
     return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", "predicted")
 
