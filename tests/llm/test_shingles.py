@@ -1,0 +1,86 @@
+from __future__ import annotations
+
+import random
+
+from corpus_pipeline import one_per_component
+from streamtables.llm import shingle_dedup, simhash_dedup
+from tests.llm.fixtures import SCHEMA, no_docs, odd_docs, odd_rows, prose
+
+
+def _shingles(text):
+    words = [w.lower() for w in (text or "").encode().split()]
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def _components(sets):
+    """Root (smallest position) of each set by comparing all."""
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                a_root, b_root = find(i), find(j)
+                parent[max(a_root, b_root)] = min(a_root, b_root)
+    return [find(i) for i in range(len(sets))]
+
+
+def _edited(text, edits, rng):
+    words = text.split()
+    for at in rng.sample(range(len(words)), edits):
+        words[at] = f"e{rng.random()}"
+    return " ".join(words)
+
+
+def _near_rows():
+    """Copies with 1 to 14 of 300 words changed (similarity 0.97 to 0.6), chains of edits, and a large group."""
+    rng = random.Random(5)
+    texts = []
+    for seed in range(40):
+        base = prose(100 + seed, 300, 5000)
+        texts += [base, _edited(base, 1 + seed % 14, rng)]
+    chain = prose(7, 200, 5000)
+    for _ in range(8):
+        chain = _edited(chain, 3, rng)
+        texts.append(chain)
+    base = prose(8, 120, 5000)
+    texts += [_edited(base, rng.randrange(1, 6), rng) for _ in range(60)]
+    rng.shuffle(texts)
+    return [(i, t, "en", "a", len(t), "x", None, "kept", i) for i, t in enumerate(texts)]
+
+
+def _expected(rows):
+    roots = _components([_shingles(r[1]) for r in rows])
+    ids = [-(2**63) if r[0] is None else r[0] for r in rows]
+    least = {root: min(i for i, o in zip(ids, roots, strict=True) if o == root) for root in roots}
+    return sorted((i, least[root]) for i, root in zip(ids, roots, strict=True))
+
+
+def _number(value):
+    return -(2**63) if value is None else value
+
+
+def test_near_copies_against_brute_force(spark):
+    for rows, docs in ((odd_rows(), odd_docs(spark)), (_near_rows(), spark.createDataFrame(_near_rows(), SCHEMA))):
+        got = shingle_dedup.near_copies(docs.select("doc_id", "text")).collect()
+        assert sorted((_number(r.doc_id), _number(r.component_id)) for r in got) == _expected(rows)
+
+
+def test_stage_drops_copies_that_simhash_misses(spark, sf_dir):
+    rows = _near_rows()
+    prints = [simhash_dedup.simhash(r[1]) for r in rows]
+    sets = [_shingles(r[1]) for r in rows]
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    assert any((prints[i] ^ prints[j]).bit_count() > 5 for i, j in near)
+    left = one_per_component(spark, spark.createDataFrame(rows, SCHEMA), sf_dir)
+    assert sorted(r.doc_id for r in left.collect()) == [i for i, least in _expected(rows) if i == least]
+
+
+def test_long_texts_and_empty_table(spark):
+    text = prose(9, 30_000, 20_000)
+    assert shingle_dedup.band_keys(shingle_dedup.shingles(text)).shape == (shingle_dedup.BANDS,)
+    assert shingle_dedup.near_copies(no_docs(spark).select("doc_id", "text")).count() == 0
