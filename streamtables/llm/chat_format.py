@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from streamtables.llm.common import boxed, unboxed
 
@@ -55,22 +56,55 @@ def field_paths(record: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column
     return F.array_compact(F.array(*present))
 
 
+def _typed_paths(record: Column, kind: T.StructType, layouts: tuple[Layout, ...]) -> Column:
+    """``field_paths`` of a struct column, without a variant, which ends at 128 MiB."""
+    present = []
+    for path in sorted({path for layout in layouts for path in layout.paths()}):
+        name, _, inner = path[2:].partition("[0].")
+        if name not in kind.names:
+            continue
+        at = record.isNotNull()
+        if inner:
+            listed = kind[name].dataType
+            element = listed.elementType if isinstance(listed, T.ArrayType) else None
+            if not isinstance(element, T.StructType) or inner not in element.names:
+                continue
+            at = F.get(record[name], 0).isNotNull()
+        present.append(F.when(at, F.lit(path)))
+    return F.array_compact(F.array(*present)) if present else F.array().cast("array<string>")
+
+
 def fingerprint(paths: Column) -> Column:
     return F.xxhash64(F.array_join(F.array_sort(paths), "\n"))
 
 
-def _turns(record: Column, layout: Layout) -> Column:
+def _turns(record: Column, layout: Layout, typed: T.StructType | None = None) -> Column | None:
+    """Turns of a variant, or of a struct of type ``typed``; None if its type has no such fields."""
+    if typed is not None:
+        names = [field for _, field in layout.fields] + ([layout.messages] if layout.messages else [])
+        if not set(names) <= set(typed.names):
+            return None
+        if layout.messages is not None:
+            listed = typed[layout.messages].dataType
+            if not isinstance(listed, T.ArrayType) or not isinstance(listed.elementType, T.StructType):
+                return None
+            if not {layout.role, layout.text} <= set(listed.elementType.names):
+                return None
+
     def text(path: str) -> Column:
-        return F.coalesce(F.try_variant_get(record, path, "string"), F.lit(""))
+        value = record[path[2:]].cast("string") if typed is not None else F.try_variant_get(record, path, "string")
+        return F.coalesce(value, F.lit(""))
 
     single = [F.struct(F.lit(role).alias("role"), text(f"$.{field}").alias("text")) for role, field in layout.fields]
     if layout.messages is None:
         return F.array(*single)
     kind = f"array<struct<`{layout.role}` string, `{layout.text}` string>>"
+    messages = F.try_variant_get(record, f"$.{layout.messages}", kind) if typed is None else record[layout.messages]
     listed = F.transform(
-        F.try_variant_get(record, f"$.{layout.messages}", kind),
+        messages,
         lambda m: F.struct(
-            F.coalesce(m[layout.role], F.lit("")).alias("role"), F.coalesce(m[layout.text], F.lit("")).alias("text")
+            F.coalesce(m[layout.role].cast("string"), F.lit("")).alias("role"),
+            F.coalesce(m[layout.text].cast("string"), F.lit("")).alias("text"),
         ),
     )
     return F.concat(F.array(*single), listed) if single else listed
@@ -84,19 +118,25 @@ def canonical_turns(
 ) -> DataFrame:
     """Add ``schema_hash``, ``layout`` and ``turns`` (array of role and text) to ``records``.
 
-    ``record`` names a variant column or one of JSON text; text that is no JSON gives a null
+    ``record`` names a variant column, a struct column or one of JSON text; text that is no JSON gives a null
     layout and null turns, as does a layout that no mapping describes. Null fields, roles and
     texts are empty; an empty list of messages gives no turns. The three columns replace columns
     of ``records`` with these names.
     """
     names = ROLE_NAMES if role_names is None else role_names
-    kind = records.schema[record].dataType.simpleString()
-    value = F.col(record) if kind == "variant" else F.try_parse_json(F.col(record).cast("string"))
+    kind = records.schema[record].dataType
+    typed = kind if isinstance(kind, T.StructType) else None
+    plain = typed is not None or kind.simpleString() == "variant"
+    value = F.col(record) if plain else F.try_parse_json(F.col(record).cast("string"))
     own = [c for c in records.columns if c not in ("schema_hash", "layout", "turns")]
     hashed = records.select(boxed(own), value.alias("_v"))
-    hashed = hashed.withColumn("schema_hash", fingerprint(field_paths(F.col("_v"), layouts)))
+    paths_of = field_paths(F.col("_v"), layouts) if typed is None else _typed_paths(F.col("_v"), typed, layouts)
+    hashed = hashed.withColumn("schema_hash", fingerprint(paths_of))
     layout_of, turns_of = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role string, text string>>")
     for layout in reversed(layouts):
+        turns = _turns(F.col("_v"), layout, typed)
+        if turns is None:
+            continue
         variants = [layout.paths()]
         if layout.messages is not None:
             lists = f"$.{layout.messages}["
@@ -105,7 +145,7 @@ def canonical_turns(
         for paths in variants:
             hit = hit | (F.col("schema_hash") == fingerprint(F.array(*[F.lit(p) for p in paths])))
         layout_of = F.when(hit, F.lit(layout.name)).otherwise(layout_of)
-        turns_of = F.when(hit, _turns(F.col("_v"), layout)).otherwise(turns_of)
+        turns_of = F.when(hit, turns).otherwise(turns_of)
     renamed = F.transform(
         turns_of,
         lambda t: F.struct(_other_name(t["role"], names).alias("role"), t["text"].alias("text")),
@@ -191,7 +231,8 @@ def message_records(rows: DataFrame, conv: str = "conv_id") -> DataFrame:
     """Rows of single messages (``turn``, ``role``, ``text``) as one ``record`` per conversation.
 
     Messages are ordered by turn, then role and text, nulls first; a null conversation is one
-    conversation. A conversation becomes one text, so it has to fit one row.
+    conversation. Records are structs, not variants, which end at 128 MiB. A conversation becomes
+    one text, so it has to fit one row.
     """
     message = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     listed = F.transform(
@@ -199,4 +240,4 @@ def message_records(rows: DataFrame, conv: str = "conv_id") -> DataFrame:
         lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content")),
     )
     grouped = rows.groupBy(conv).agg(listed.alias("messages"))
-    return grouped.select(conv, F.to_variant_object(F.struct("messages")).alias("record"))
+    return grouped.select(conv, F.struct("messages").alias("record"))

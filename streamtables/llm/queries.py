@@ -124,7 +124,8 @@ def op10_format_chat(spark, sf_dir):
     records = chat_format.message_records(conversations)
     pair = F.struct(F.lit(CHECK_TEXT).alias("prompt"), F.lit(CHECK_TEXT).alias("response"))
     extra = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.to_variant_object(pair).alias("record"))
-    turns = chat_format.canonical_turns(records.unionByName(extra), "record")
+    both = [chat_format.canonical_turns(r, "record").select("conv_id", "turns") for r in (records, extra)]
+    turns = both[0].unionByName(both[1])
     written = turns.select(
         "conv_id", chat_format.format_turns(F.col("turns")).alias("formatted"), chat_format.loss_runs(F.col("turns")).alias("runs")
     )

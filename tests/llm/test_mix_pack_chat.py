@@ -257,3 +257,14 @@ def test_round_trip_and_loss(spark):
 def test_no_conversations(spark):
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat_format.canonical_turns(chat_format.message_records(none), "record").count() == 0
+
+
+def test_records_of_messages_are_no_variants(spark):
+    """A variant ends at 128 MiB, so that one long conversation would fail the query."""
+    rows = spark.range(150).select(
+        F.lit(1).alias("conv_id"), F.col("id").cast("int").alias("turn"), F.lit("user").alias("role"),
+        F.repeat(F.lit("x"), F.lit(1_000_000)).alias("text"),
+    )
+    turns = chat_format.canonical_turns(chat_format.message_records(rows), "record")
+    got = turns.select("layout", F.size("turns").alias("n"), F.length(F.element_at("turns", -1)["text"]).alias("c")).first()
+    assert tuple(got) == ("messages", 150, 1_000_000)
