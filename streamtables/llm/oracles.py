@@ -48,3 +48,47 @@ SELECT conv_id, count(*) AS n_turns,
        sum(length(role) + escaped + 15)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """
+
+_CRC32 = """xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split({}::VARCHAR, ''), lambda ch: ascii(ch)::BIGINT)),
+    lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda x, y: xor(x >> 1, (x & 1) * 3988292384))))"""
+
+ORACLES["op11_prefix_trie"] = f"""
+WITH said AS (SELECT conv_id, turn, coalesce(text, '') AS text,
+    md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS d FROM conversations),
+t AS (SELECT conv_id, d, strlen(text) AS bytes,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, d) AS p FROM said),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {_CRC32.format("conv_id")} % 9 AS h
+    FROM (SELECT DISTINCT conv_id FROM conversations)),
+g AS (SELECT c.*, least(h, (SELECT count(*) FROM t WHERE t.conv_id = c.base)) AS got FROM c),
+r AS (SELECT g.conv_id, t.p, d, bytes FROM g JOIN t ON t.conv_id = g.base AND t.p <= g.h
+    UNION ALL SELECT g.conv_id, t.p - h + got, d, bytes FROM g JOIN t ON t.conv_id = g.conv_id AND t.p > h),
+m AS (SELECT conv_id, p, bytes, string_agg(d, '') OVER (PARTITION BY conv_id ORDER BY p) AS path FROM r
+    UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+n AS (SELECT p AS depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, max(bytes) AS bytes FROM m GROUP BY p, path),
+f AS (SELECT n.*, u.conv_id AS parent FROM n LEFT JOIN n u
+    ON u.depth = n.depth - 1 AND u.path = substr(n.path, 1, 32 * (n.depth - 1))),
+k AS (SELECT parent AS conv_id, depth - 1 AS depth, count(*) AS n_children FROM f WHERE depth > 0 GROUP BY ALL),
+w AS (SELECT f.*, coalesce(n_children, 0) AS n_children FROM f LEFT JOIN k USING (conv_id, depth)),
+s AS (SELECT m.p AS depth, m.path, count(*) FILTER (w.n_children = 0) AS n_leaves, sum((w.n_convs - 1) * w.bytes) AS saved
+    FROM w JOIN m ON m.conv_id = w.conv_id AND m.p <= w.depth GROUP BY ALL),
+l AS (SELECT conv_id, max(p) AS depth FROM m GROUP BY conv_id),
+e AS (SELECT m.p AS depth, m.path, string_agg(CAST(l.conv_id AS VARCHAR), ',' ORDER BY l.conv_id) AS ids
+    FROM l JOIN m ON m.conv_id = l.conv_id AND m.p = l.depth GROUP BY ALL)
+SELECT w.conv_id, w.depth, w.parent AS parent_conv_id, w.n_convs, w.n_children, s.n_leaves,
+    CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM w JOIN s ON s.depth = w.depth AND s.path = w.path LEFT JOIN e ON e.depth = w.depth AND e.path = w.path
+"""
+
+ORACLES["op13_minmax_dedup"] = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 2], ' ') AS x
+    FROM (SELECT doc_id, ws, unnest(range(1, greatest(2, len(ws) - 1))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n u ON u.doc_id = a JOIN n v ON v.doc_id = b WHERE 100 * shared >= 85 * (u.n + v.n - shared)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b),
+c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT c.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, c.doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
+"""

@@ -15,8 +15,10 @@ from streamtables.llm import (
     chat_format,
     language_id,
     line_dedup,
+    minmax_dedup,
     mixing,
     packing,
+    prefix_trie,
     quality,
     simhash_dedup,
     substring_dedup,
@@ -144,3 +146,17 @@ def op10_format_chat(spark, sf_dir):
         F.sha2("loss", 256).alias("loss_sha256"),
         "formatted_chars",
     )
+
+
+@query
+def op11_prefix_trie(spark, sf_dir):
+    turns = prefix_trie.numbered_turns(table(spark, sf_dir, "conversations"))
+    conv = F.col("_conv")
+    borrowed = F.crc32(conv.cast("string").cast("binary")) % 9
+    rebuilt, everyone = prefix_trie.borrowed_starts(turns, conv - conv % 5, borrowed, 8)
+    return prefix_trie.prefix_nodes(rebuilt, everyone)
+
+
+@query
+def op13_minmax_dedup(spark, sf_dir):
+    return minmax_dedup.dedup_similar(documents(spark, sf_dir))
