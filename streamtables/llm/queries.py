@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from streamtables.llm import (
     block_names,
     chat_format,
+    hard_negatives,
     language_id,
     line_dedup,
     minmax_dedup,
@@ -157,6 +158,15 @@ def op11_prefix_trie(spark, sf_dir):
     return prefix_trie.prefix_nodes(rebuilt, everyone)
 
 
+@query
+def op12_hard_negatives(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("vector"))
+    vectors = hard_negatives.integer_vectors(rows, "vector", 256)
+    moved = F.coalesce(F.col("vec_id") % 7 == 0, F.lit(False))
+    vectors = vectors.withColumn("label", F.when(moved, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
+
+
 @query
 def op13_minmax_dedup(spark, sf_dir):
     return minmax_dedup.dedup_similar(documents(spark, sf_dir))
