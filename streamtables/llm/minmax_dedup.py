@@ -246,10 +246,11 @@ def links(docs: DataFrame, nodes: DataFrame, shingle: int, percent: int, groups:
 def similar_groups(
     docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, values: int = 8, groups: DataFrame | None = None
 ) -> DataFrame:
-    """(``_id``, ``_text``, ``_n``, ``_component``) of every row of ``docs`` (``doc_id``, ``text``).
+    """(``_id``, ``_text``, ``_n``, ``_group``, ``_component``) of every row of ``docs`` (``doc_id``, ``text``).
 
-    ``groups`` (``doc_id``, ``text``, ``component_id``) names further candidates: rows of one component are
-    compared too.
+    ``_text`` is the XXHASH64 of the text, ``_group`` a number of the component (null without
+    shingles), ``_component`` its smallest id. ``groups`` (``doc_id``, ``text_hash``,
+    ``component_id``) names further candidates: rows of one component are compared too.
     """
     bands = Bands(percent, values)
     marked = settle(_marked(docs.select("doc_id", "text"), shingle, bands), "min-max")
@@ -262,7 +263,7 @@ def similar_groups(
     own = marked.select("_id", "_text", "_n", "_hi", "_lo").join(nodes.select("_hi", "_lo", "_node"), ["_hi", "_lo"], "left")
     further = None
     if groups is not None:
-        grouped = groups.select(id_key().alias("_id"), F.xxhash64("text").alias("_text"), id_key("component_id").alias("_group"))
+        grouped = groups.select(id_key().alias("_id"), F.col("text_hash").alias("_text"), id_key("component_id").alias("_group"))
         grouped = own.filter("_node is not null").join(grouped, ["_id", "_text"]).select("_node", "_group").distinct()
         sizes = grouped.groupBy("_group").agg(F.count("*").alias("_size")).filter("_size > 1")
         # Their keys are hashes, so as not to be those of bands.
@@ -271,8 +272,21 @@ def similar_groups(
     rooted = settle(components(edges), "roots")
     placed = nodes.select("_node", "_id").join(rooted, "_node", "left").withColumn("_root", F.coalesce("_root", "_node"))
     classes = placed.join(placed.groupBy("_root").agg(F.min("_id").alias("_component")), "_root")
-    result = own.join(classes.select("_node", "_component"), "_node", "left")
-    return result.select("_id", "_text", "_n", F.coalesce("_component", "_id").alias("_component"))
+    result = own.join(classes.select("_node", F.col("_root").alias("_group"), "_component"), "_node", "left")
+    return result.select("_id", "_text", "_n", "_group", F.coalesce("_component", "_id").alias("_component"))
+
+
+def one_per_group(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without near copies: of each group of ``similar_groups`` the row with the smallest ``doc_id``.
+
+    Of rows that share this id one text stays, too; a row that repeats id and text is the same
+    document. Rows without shingles stay.
+    """
+    least = found.filter("_n > 0").groupBy("_group").agg(F.min(F.struct("_id", "_text")).alias("_first")).select("_first.*")
+    kept = least.unionByName(found.filter("_n = 0").select("_id", "_text")).distinct().alias("kept")
+    own = docs.alias("docs")
+    same = (id_key("docs.doc_id") == F.col("kept._id")) & (F.xxhash64("docs.text") == F.col("kept._text"))
+    return own.join(kept, same, "left_semi").select(*[F.col(f"docs.`{c}`") for c in docs.columns])
 
 
 def dedup_similar(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, values: int = 8) -> DataFrame:

@@ -19,6 +19,7 @@ from streamtables.llm.common import NULL_ID, boxed, by_batches, id_key, settle,
 from streamtables.llm.golay import near_codewords
 
 BITS = 64
+SHINGLE = 3
 #: Differing bits of linked fingerprints; the keys find up to two.
 ERRORS = 2
 #: Lowest bit and number of bits of the segments.
@@ -27,7 +28,7 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 LARGEST_BUCKET = 64
 
 
-def simhash(text: str | None, shingle: int = 3) -> int:
+def simhash(text: str | None, shingle: int = SHINGLE) -> int:
     """Bit i is 1 if it is set in more than half of the shingles' hashes (XXH64, seed 42)."""
     words = [w.lower() for w in words_of(text)]  # bytes.lower changes A-Z only
     if not words:
@@ -41,9 +42,12 @@ def simhash(text: str | None, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(grams), bitorder="little").tobytes(), "little")
 
 
-@F.pandas_udf(T.LongType())
-def _fingerprint(text: pd.Series) -> pd.Series:
-    return pd.Series(np.array([simhash(t) for t in text], dtype=np.uint64).view(np.int64))
+def _fingerprint(text: str, shingle: int) -> Column:
+    @F.pandas_udf(T.LongType())
+    def fingerprint(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([simhash(t, shingle) for t in texts], dtype=np.uint64).view(np.int64))
+
+    return fingerprint(text)
 
 
 def fuzzy_keys(fingerprints: np.ndarray) -> np.ndarray:
@@ -143,17 +147,17 @@ def components(edges: DataFrame) -> DataFrame:
     return leaves.unionByName(roots)
 
 
-def dedup_near(docs: DataFrame, largest_bucket: int = LARGEST_BUCKET) -> DataFrame:
-    """Fingerprint and component of every document.
+def dedup_near(docs: DataFrame, largest_bucket: int = LARGEST_BUCKET, shingle: int = SHINGLE) -> DataFrame:
+    """Fingerprint and component of every document, by shingles of ``shingle`` words.
 
     Returns the columns of ``docs`` but ``text``, with ``fingerprint`` (16 hex digits) and
     ``component_id``, the smallest ``doc_id`` that links reach; columns of ``docs`` with these
     names are replaced. A text without words has fingerprint zero, linked like any other; one of
-    fewer than three words is one shingle. A null ``doc_id`` is the smallest. Rows that repeat a
+    fewer words than a shingle is one shingle. A null ``doc_id`` is the smallest. Rows that repeat a
     ``doc_id`` are rows of their own with their own fingerprints.
     """
     own = [c for c in docs.columns if c not in ("text", "fingerprint", "component_id")]
-    marked = docs.select(boxed(own), _fingerprint("text").alias("_fp"), id_key().alias("_id"))
+    marked = docs.select(boxed(own), _fingerprint("text", shingle).alias("_fp"), id_key().alias("_id"))
     marked = settle(marked, "fingerprints")
     distinct = settle(marked.groupBy("_fp").agg(F.min("_id").alias("_least")), "distinct-fingerprints")
     rooted = settle(components(links(distinct, largest_bucket)), "roots")
