@@ -17,13 +17,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from streamtables.llm.common import boxed, mix64, unboxed
+from streamtables.operators.ranking import top_k
 
 ORDER = 4
 UNDETERMINED = "und"
 #: Training texts of each language; fewer if there are not as many. A sixth calibrates.
 SAMPLE_DOCS = 1200
-#: Longer texts are not taken into the training sample (they are scored whole like all others).
+#: Of a longer text the training sample has a slice of so many characters, at a place that its hash gives (it is scored whole like all others).
 SAMPLE_CHARS = 20_000
+#: Parts in which the smallest hashes of a label are found before they meet.
+SAMPLE_PARTS = 64
+#: Labels a sample may have.
+MOST_LABELS = 1000
 #: Characters whose n-grams are held before they are added to the counts.
 COUNTED_AT_ONCE = 200_000
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -300,42 +305,40 @@ def _calibrate(models: Models, held: dict[str, list[str]]) -> None:
 
 
 def sample(
-    labelled: DataFrame,
-    label: str,
-    per_label: int,
-    max_chars: int,
-    seed: int = 11,
-    labels: list | None = None,
-    docs: DataFrame | None = None,
+    labelled: DataFrame, label: str, per_label: int, max_chars: int, seed: int = 11, docs: DataFrame | None = None
 ) -> dict:
-    """Texts of each label, at most ``per_label`` and none longer than ``max_chars``.
+    """Texts of each label, at most ``per_label``; of one longer than ``max_chars`` a slice of that length.
 
-    The rows with the smallest seeded hash, so the sample does not depend on partitions. Only
-    hashes are sorted and joined; the texts of those chosen are read in a second pass. Texts are
-    in ``labelled``, or in ``docs``, with ``doc_id`` in both.
-    Labels are few; beyond 1,000 an error is raised.
+    The rows with the smallest seeded hashes, so the sample does not depend on partitions. One
+    pass finds the hashes for all labels, a second one reads the texts of those chosen. Texts are
+    in ``labelled``, or in ``docs``, with ``doc_id`` in both. Null labels don't count. A text has the
+    labels of all its rows. Beyond ``MOST_LABELS`` labels an error is raised.
     """
-    if labels is None:
-        found = labelled.select(label).distinct().limit(1001).collect()
-        if len(found) > 1000:
-            raise ValueError("more than 1,000 labels")
-        labels = sorted(r[0] for r in found if r[0] is not None)
+    place = F.xxhash64(F.lit(seed), "text")
     source = labelled if docs is None else docs
-    usable = source.filter(F.length("text") <= max_chars).withColumn("_place", F.xxhash64(F.lit(seed), "text"))
+    usable = source.filter(F.col("text").isNotNull()).withColumn("_place", place)
     places = usable if docs is None else usable.select("doc_id", "_place").join(labelled, "doc_id")
-    texts = {}
-    for value in labels:
-        found = places.filter(F.col(label) == value).select("_place").distinct().orderBy("_place").limit(per_label)
-        # At most per_label numbers.
-        chosen = labelled.sparkSession.createDataFrame(found.collect(), "_place long")
-        rows = usable.select("text", "_place").join(F.broadcast(chosen), "_place").distinct()
-        texts[value] = [r["text"] for r in sorted(rows.collect(), key=lambda r: (r["_place"], r["text"]))]
+    places = places.select(F.col(label).alias("_label"), "_place").filter("_label is not null").distinct()
+    parts = places.withColumn("_part", F.pmod(F.shiftright("_place", 8), F.lit(SAMPLE_PARTS)))
+    order = [F.col("_place").asc()]
+    best = top_k(parts, ["_label", "_part"], order, per_label, "_n").drop("_n")
+    best = top_k(best, ["_label"], order, per_label, "_n").select("_label", "_place")
+    if len(best.select("_label").distinct().limit(MOST_LABELS + 1).collect()) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS:,} labels")
+    # At most per_label numbers for each label.
+    chosen = labelled.sparkSession.createDataFrame(best.collect(), best.schema)
+    surplus = F.greatest(F.length("text") - max_chars, F.lit(0))
+    slice_ = F.substring("text", (F.pmod("_place", surplus + 1) + 1).cast("int"), F.lit(max_chars)).alias("text")
+    rows = usable.join(F.broadcast(chosen), "_place").select("_label", "_place", slice_).distinct().collect()
+    texts: dict = {}
+    for r in sorted(rows, key=lambda r: (r["_label"], r["_place"], r["text"])):
+        texts.setdefault(r["_label"], []).append(r["text"])
     return texts
 
 
 def train(labelled: DataFrame, label: str = "lang", per_label: int = SAMPLE_DOCS, order: int = ORDER) -> Models:
     """Models from a bounded sample of rows with ``text`` and a label; null labels don't count."""
-    return build(sample(labelled.filter(F.col(label).isNotNull()), label, per_label, SAMPLE_CHARS), order)
+    return build(sample(labelled, label, per_label, SAMPLE_CHARS), order)
 
 
 def identify(docs: DataFrame, models: Models) -> DataFrame:

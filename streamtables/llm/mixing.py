@@ -148,6 +148,7 @@ def mix(
     if len(found) > MAX_PATTERNS:
         raise ValueError(f"more than {MAX_PATTERNS} membership patterns; merge small sources first")
     capacity = {tuple(json.loads(r["_pattern"])): r["size"] for r in found}
+    written = {tuple(json.loads(r["_pattern"])): r["_pattern"] for r in found}
     sizes: dict[str | None, int] = defaultdict(int)
     for pattern, size in capacity.items():
         for source in pattern:
@@ -164,7 +165,7 @@ def mix(
             at = 0
             for source in pattern:
                 if amount := flow.get((pattern, k, source), 0):
-                    stretches.append((json.dumps(pattern, ensure_ascii=False, separators=(",", ":")), k, source, at, at + amount))
+                    stretches.append((written[pattern], k, source, at, at + amount))
                     at += amount
     plan = _ranges(narrow, spark.createDataFrame(stretches, "_pattern string, _k int, _source string, _lo long, _hi long"))
     # At most MAX_PATTERNS rows, so every task can hold them and no text has to move.

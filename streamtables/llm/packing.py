@@ -36,14 +36,15 @@ class TokenIds:
     A space before a character that is not white space always begins a new pre-token. So texts
     are split at spaces, the distinct pieces of many texts are encoded once, and those seen
     before are looked up. ``spaced`` tells that the tokenizer works this way; otherwise, and for
-    texts with a space that does not begin a word, whole texts are encoded.
+    texts with a space that does not begin a word or with the string of an added token (which the
+    tokenizer finds anywhere in a text), whole texts are encoded.
     """
 
     def __init__(self, path: str, spaced: bool = True, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.spaced, self.remembered = spaced, remembered
         self.known = pa.array([], pa.large_string())
         self.known_ids: tuple[np.ndarray, np.ndarray] = (np.zeros(0, "<u4"), np.zeros(0, np.int64))
@@ -108,6 +109,8 @@ class TokenIds:
         first = np.zeros(len(codes), dtype=bool)
         first[offsets[:-1]] = True
         runs = np.add.reduceat(begins_so[codes] & ~first, offsets[:-1]) > 0 if len(codes) else np.zeros(0, dtype=bool)
+        for token in self.added:
+            runs = runs | pc.match_substring(texts, token).fill_null(False).to_numpy(zero_copy_only=False)
         usual = ~first & ~np.repeat(runs, np.diff(offsets))
         counts = np.bincount(codes[usual], minlength=len(words))
         used = np.flatnonzero(counts)

@@ -15,11 +15,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from streamtables.llm.common import boxed, unboxed
 from streamtables.llm.language_id import sample
 
 #: Training texts of each label; half of them build the dictionaries, half calibrate.
 SAMPLE_DOCS = 3000
-#: Longer texts are not taken into the training sample (they are scored whole like all others).
+#: Of a longer text the training sample has a slice (it is scored whole like all others).
 SAMPLE_CHARS = 20_000
 DICTIONARY_BYTES = 256 * 1024
 LEVEL = 3
@@ -82,11 +83,23 @@ def _dictionary(texts: list[str], size: int) -> bytes:
     return b"\n".join(parts)[-size:]
 
 
-def fit(good: list[str], bad: list[str], dictionary_bytes: int = DICTIONARY_BYTES, level: int = LEVEL) -> QualityModel:
-    """Dictionaries from the even texts of each list, the curve from the odd ones."""
+def fit(
+    good: list[str],
+    bad: list[str],
+    dictionary_bytes: int = DICTIONARY_BYTES,
+    level: int = LEVEL,
+    share: float | None = None,
+) -> QualityModel:
+    """Dictionaries from the even texts of each list, the curve from the odd ones.
+
+    ``share`` is the part of good texts among all that the lists are samples of (None: as in the
+    lists); the curve's texts are weighted by it.
+    """
     count = len(good) + len(bad)
+    if share is None:
+        share = len(good) / count if count else 0.5
     if len(good) < 2 or len(bad) < 2:
-        return QualityModel(b"", b"", prior=len(good) / count if count else 0.5)
+        return QualityModel(b"", b"", prior=share)
     model = QualityModel(
         _dictionary(good[::2], dictionary_bytes), _dictionary(bad[::2], dictionary_bytes), level=level
     )
@@ -94,12 +107,13 @@ def fit(good: list[str], bad: list[str], dictionary_bytes: int = DICTIONARY_BYTE
     y = np.array([1.0] * len(good[1::2]) + [0.0] * len(bad[1::2]))
     model.centre, model.spread = x.mean(axis=0).tolist(), (x.std(axis=0) + 1e-6).tolist()
     a = np.hstack([np.ones((len(x), 1)), np.clip((x - model.centre) / model.spread, -6, 6)])
+    weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     w = np.zeros(a.shape[1])
     for _ in range(50):  # Newton's method with a little shrinkage
         p = 1.0 / (1.0 + np.exp(-np.clip(a @ w, -30, 30)))
-        h = (a * (p * (1 - p))[:, None]).T @ a + 0.1 * np.eye(len(w))
-        w = w + np.linalg.solve(h, a.T @ (y - p) - 0.1 * w)
-    model.weights, model.prior = w.tolist(), float(y.mean())
+        h = (a * (weight * p * (1 - p))[:, None]).T @ a + 0.1 * np.eye(len(w))
+        w = w + np.linalg.solve(h, a.T @ (weight * (y - p)) - 0.1 * w)
+    model.weights, model.prior = w.tolist(), share
     return model
 
 
@@ -111,18 +125,16 @@ def train(
     With ``docs`` (``doc_id``, ``text``), ``labelled`` has ``doc_id`` and the label, and is joined
     without the texts.
 
-    The rarer label is sampled in full up to the bound, the other in proportion to its share of
-    the labels, so that the curve gives probabilities for all texts.
+    Each label is sampled up to the bound, the rarer one in full if it has no more texts; the
+    curve weighs them by the labels' true shares, so that it gives probabilities for all texts.
     """
+    labelled = labelled.filter(F.col(label).isin(0, 1))
     if docs is not None:
         labelled = labelled.select("doc_id", label).join(docs.select("doc_id"), "doc_id")
-    counts = {r[0]: r[1] for r in labelled.filter(F.col(label).isin(0, 1)).groupBy(label).count().collect()}
-    most = max(counts.values(), default=0)
-    texts = {v: [] for v in (0, 1)}
-    for value, n in counts.items():
-        bound = min(per_label, max(2, round(per_label * n / most)))
-        texts |= sample(labelled, label, bound if most > per_label else per_label, SAMPLE_CHARS, labels=[value], docs=docs)
-    return fit(texts[1], texts[0])
+    counts = {int(r[0]): r[1] for r in labelled.groupBy(label).count().collect()}
+    texts = {int(k): v for k, v in sample(labelled, label, per_label, SAMPLE_CHARS, docs=docs).items()}
+    share = counts.get(1, 0) / sum(counts.values()) if counts else None
+    return fit(texts.get(1, []), texts.get(0, []), share=share)
 
 
 def score(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
@@ -140,5 +152,5 @@ def score(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) ->
 
         return pd.Series([shared.value.score(t) for t in text], dtype=float)
 
-    scored = docs.select(*own, judge("text").alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    scored = docs.select(boxed(own), judge("text").alias("_score"))
+    return scored.select(*unboxed(own), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))

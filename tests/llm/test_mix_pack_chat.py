@@ -125,6 +125,14 @@ def test_mix_of_odd_rows(spark):
     assert none.count() == 0 and sizes == targets == {}
 
 
+def test_sources_with_control_characters_are_mixed(spark):
+    names = ["x\x1fy", "x\x0by", 'q"\\', "ünï\u2028", "plain", None]
+    rows = [(i, "word " * 10, names[i % 6]) for i in range(300)]
+    mixed, _, targets = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), F.array("source"))
+    taken = {r.source: r.words for r in mixed.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("words")).collect()}
+    assert set(taken) == set(names) and all(abs(taken[s] - targets[s]) <= 10 for s in names), (taken, targets)
+
+
 # -- packing ------------------------------------------------------------------------------
 
 
@@ -142,7 +150,6 @@ def _whole_ids(texts):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(default_tokenizer())
-    tokenizer.encode_special_tokens = True
     return [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 

@@ -118,3 +118,45 @@ def test_counting_in_parts_changes_nothing(monkeypatch):
 
 def test_training_texts_of_one_letter():
     assert language_id.build({"a": ["a"], "b": ["b"]}).predict("a")[0] == "a"
+
+
+def _labelled(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, `a.b` int")
+
+
+def test_long_texts_are_learned_from(spark):
+    rng = random.Random(9)
+    rows = [(i, _text(rng, k, 6000), k, 0) for i, k in enumerate(["aa", "bb"] * 10)]
+    assert min(len(r[1]) for r in rows) > language_id.SAMPLE_CHARS
+    docs = _labelled(spark, rows)
+    models = language_id.train(docs)
+    named = language_id.identify(docs, models).collect()
+    assert all(r.lang_pred == r.lang for r in named)
+    texts = language_id.sample(docs, "lang", 4, 500)
+    whole = {k: [t for _, t, l, _ in rows if l == k] for k in ("aa", "bb")}
+    assert {k: len(v) for k, v in texts.items()} == {"aa": 4, "bb": 4}
+    assert all(len(t) == 500 and any(t in w for w in whole[k]) for k, v in texts.items() for t in v)
+    scored = quality.score(docs, quality.fit(["good text"] * 4, ["bad"] * 4))
+    assert scored.columns == ["doc_id", "text", "lang", "a.b", "score", "predicted"] and scored.count() == 20
+
+
+def test_sample_is_the_smallest_hashes_of_each_label(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"text {i % 90}", ["x", "y", None][i % 3], 0) for i in range(270)]
+    docs = _labelled(spark, rows).repartition(5)
+    texts = language_id.sample(docs, "lang", 7, 100)
+    hashed = docs.withColumn("h", F.xxhash64(F.lit(11), "text")).collect()
+    for label in ("x", "y"):
+        expected = [t for _, t in sorted({(r.h, r.text) for r in hashed if r.lang == label})][:7]
+        assert texts[label] == expected
+    assert set(texts) == {"x", "y"}
+
+
+def test_rare_quality_label_is_sampled_in_full(spark):
+    rng = random.Random(3)
+    rows = [(i, _text(rng, "aa", 20), 1) for i in range(900)] + [(1000 + i, _text(rng, "bb", 20), 0) for i in range(30)]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = quality.train(labelled, per_label=100)
+    assert model.prior == pytest.approx(900 / 930)
+    assert np.mean([model.score(t) for _, t, q in rows if q == 0]) < 0.5 < np.mean([model.score(t) for _, t, q in rows if q == 1])
