@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _any_missing(required: list[str]) -> Column:
+def any_missing(required: list[str]) -> Column:
+    """Whether a row lacks one of the columns."""
     return reduce(lambda a, b: a | b, [F.col(f"`{c}`").isNull() for c in required], F.lit(False))
 
 
 def split_required(df: DataFrame, required: list[str]) -> tuple[DataFrame, DataFrame]:
     """(accepted rows, quarantined rows): quarantined rows lack a required column."""
-    missing = _any_missing(required)
+    missing = any_missing(required)
     return df.filter(~missing), df.filter(missing)
 
 

@@ -32,7 +32,7 @@ from streamtables.sources.scan import (
     with_time_attributes,
 )
 from streamtables.sources.stream import Catalog, Stream, StreamError
-from streamtables.streaming.files import committed, exists, make_folder
+from streamtables.streaming.files import committed, exists, make_folder, write_numbered
 from streamtables.streaming.run import BatchFolder, append_files, debug_rows, each_batch, finish, insert_by_position
 from streamtables.streaming.upsert import DELETED, UpsertSink
 
@@ -133,6 +133,7 @@ class Pipeline:
                     "list it in static to read its image as a table"
                 )
             if self._keeps_image(stream):
+                # A live run reads the image anew for each batch, see _start_with_images.
                 return self._upsert_sink(stream, []).image(spark)
             return scan_image(spark, stream, self.binding(name))
         return scan(spark, stream, self.binding(name), streaming=live and name not in self.static)
@@ -283,6 +284,10 @@ class Pipeline:
         """One streaming query for all inserts into a target."""
         queries = [self.queries[i] for i in numbers]
         target = self.catalog.get(queries[0].target_name())
+        if any(self._is_kept_image(n) for q in queries for n in q.input_names()):
+            if len(queries) > 1:
+                raise StreamError(f"a join with an image must be the only insert into {target.name!r}")
+            return self._start_with_images(spark, queries[0], target, f"query-{numbers[0]}", checkpoint, every)
         selected = []
         for query in queries:
             inputs = {n: self._input(spark, n, live=True) for n in query.input_names()}
@@ -326,6 +331,52 @@ class Pipeline:
             write = lambda batch, number: self._save(to_stored(batch), target.name)
         return each_batch(rows, write, checkpoint, every, mode)
 
+    def _is_kept_image(self, name: str) -> bool:
+        return name not in self.tables and name in self.static and self._keeps_image(self.catalog.get(name))
+
+    def _start_with_images(
+        self, spark: SparkSession, query: Query, target: Stream, reader: str, checkpoint: str, every: str | None
+    ) -> StreamingQuery:
+        """A statement that joins a stream with images of upsert streams, which change while it runs.
+
+        The statement runs batch by batch, each over the images as they are when the batch
+        begins. Nothing is carried from batch to batch, so it must not aggregate.
+        """
+        names = query.input_names()
+        images = [n for n in names if self._is_kept_image(n)]
+        moving = [n for n in names if n not in self.static]
+        if len(moving) != 1:
+            raise StreamError(f"a join with an image needs one stream that is not static, not {moving}")
+        sinks = {n: self._upsert_sink(self.catalog.get(n), []) for n in images}
+        # What the statement says is judged on its plan over empty inputs.
+        empty = {n: spark.createDataFrame([], self.catalog.get(n).schema) for n in names}
+        plan = self._select(query, empty, spark, live=True)._jdf.queryExecution().analyzed().toString()
+        if re.search(r"\b(Aggregate|Window|Distinct|Deduplicate)\b", plan):
+            raise StreamError("a statement over a changing image runs batch by batch and cannot aggregate, rank or deduplicate")
+
+        def rows_of(batch: DataFrame, number: int) -> DataFrame:
+            session = batch.sparkSession
+            inputs = {n: self._input(session, n, live=False) for n in names if n not in images and n not in moving}
+            inputs |= {n: sink.pinned_image(session, reader, number) for n, sink in sinks.items()}
+            rows = self._select(query, {**inputs, moving[0]: batch}, session, live=True)
+            return insert_by_position(query.apply_closed(rows), target.writable_schema)
+
+        source, binding = self._input(spark, moving[0], live=True), self.binding(target.name)
+        if self._keeps_image(target):
+            sink = self._upsert_sink(target, query.order)
+            self._refuse_old_batches(spark, f"{sink.path}/changes", checkpoint)
+            write = lambda batch, number: sink.write(rows_of(batch, number), number)
+        elif binding.format in FILE_FORMATS:
+            self._refuse_old_batches(spark, binding.path, checkpoint)
+            write = lambda batch, number: write_numbered(
+                self._stored_form(rows_of(batch, number), target, query.order), binding.path, number, binding.format
+            )
+        else:
+            write = lambda batch, number: self._save(
+                self._stored_form(rows_of(batch, number), target, query.order), target.name
+            )
+        return each_batch(source, write, checkpoint, every)
+
     @staticmethod
     def _refuse_old_batches(spark: SparkSession, path: str, checkpoint: str) -> None:
         """A new checkpoint counts batches from 0, so folders of an older run would be overwritten."""

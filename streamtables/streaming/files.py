@@ -25,6 +25,12 @@ def committed(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(m.getPath().getParent().getName().removeprefix("b=")) for m in marks)
 
 
+def folder_names(spark: SparkSession, pattern: str) -> list[str]:
+    """Names of what matches a path pattern."""
+    fs, target = _folder(spark, pattern)
+    return sorted(found.getPath().getName() for found in fs.globStatus(target) or [])
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, target = _folder(spark, path)
     return fs.exists(target)
@@ -35,11 +41,13 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(target, True)
 
 
-def write_numbered(df: DataFrame, path: str, number: int, format: str = "parquet") -> None:
-    """Write one numbered folder. Writing the same number again replaces it."""
+def write_numbered(df: DataFrame, path: str, number: int, format: str = "parquet", by: str | None = None) -> None:
+    """Write one numbered folder, with a sub-folder for each value of ``by``. Writing the same number again replaces it."""
     writer = df.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true")
-    writer.format(format).save(f"{path}/b={number}")
+    (writer.partitionBy(by) if by else writer).format(format).save(f"{path}/b={number}")
 
 
-def read_numbered(spark: SparkSession, path: str, numbers: list[int]) -> DataFrame:
-    return spark.read.parquet(*[f"{path}/b={n}" for n in numbers])
+def read_numbered(spark: SparkSession, path: str, numbers: list[int], base: str | None = None) -> DataFrame:
+    """The rows of numbered folders; with their common folder as ``base`` also their number ``b``."""
+    reader = spark.read.option("basePath", base) if base else spark.read
+    return reader.parquet(*[f"{path}/b={n}" for n in numbers])

@@ -57,6 +57,20 @@ _INTERVAL = """SELECT c.event_id AS click_id, c.user_id AS click_user, c.ts AS c
     WHERE c.event_type = 'click' AND b.event_type = 'purchase'"""
 
 
+# What a watermark of eight days has passed when all events were read.
+_PASSED = "(SELECT date_trunc('millisecond', max(ts)) - INTERVAL 8 DAY FROM events)"
+
+
+
+def _passed_both(one: str, other: str) -> str:
+    """The same for two streams of one type of event each; the slower one decides."""
+    latest = "(SELECT date_trunc('millisecond', max(ts)) FROM events WHERE event_type = '{}')"
+    return f"(least({latest.format(one)}, {latest.format(other)}) - INTERVAL 8 DAY)"
+
+
+_SLOTTED = "SELECT *, floor(epoch(ts) / 691200) AS slot FROM events"
+
+
 def _as_of(how: str) -> str:
     return f"""SELECT b.user_id, b.event_id, b.ts, b.value, v.event_id AS version_id, v.ts AS valid_from, v.props AS version
         FROM (SELECT * FROM events WHERE event_type = 'purchase') b
@@ -202,5 +216,32 @@ ORACLES: dict[str, str] = {
         ", min(event_id) OVER w AS lowest, max(event_id) OVER w AS highest",
         "(SELECT * REPLACE (CASE WHEN event_type <> 'error' THEN ts END AS ts) FROM events)",
     ),
+    "stream_changelog": _IMAGE,
+    "stream_retracted_counts": f"SELECT event_type, count(*) AS users FROM ({_IMAGE}) GROUP BY event_type",
+    "stream_current_image_join": f"""SELECT c.event_id, c.user_id, arg_max(u.event_type, (u.ts, u.event_id)) AS last_type,
+            arg_max(u.event_id, (u.ts, u.event_id)) AS last_event
+        FROM ({_SLOTTED}) c LEFT JOIN ({_SLOTTED}) u ON u.user_id = c.user_id AND u.slot <= c.slot
+        WHERE c.event_type = 'click' GROUP BY c.event_id, c.user_id""",
+    "stream_late_rows": """WITH parts AS (SELECT event_id, ts, floor((event_id - lo) * 4 / (hi - lo + 1)) AS part
+            FROM events, (SELECT min(event_id) AS lo, max(event_id) AS hi FROM events))
+        SELECT event_id, coalesce(ts <= (SELECT date_trunc('millisecond', max(b.ts)) - INTERVAL 20 DAY
+                FROM parts b WHERE b.part < p.part), false) AS late
+        FROM parts p""",
+    "stream_required_check": f"""SELECT 'event_id' AS column_name, count(*) FILTER (event_id IS NULL) AS missing,
+            count(*) AS total FROM events
+        UNION ALL SELECT 'kind', count(*) FILTER (kind IS NULL), count(*) FROM ({_MISSING_TYPE})
+        UNION ALL SELECT 'value', count(*) FILTER (value IS NULL), count(*) FROM events""",
+    "stream_as_of_join": f"SELECT * FROM ({_as_of('INNER')}) WHERE ts <= {_passed_both('purchase', 'signup')}",
+    "stream_join_within": f"""SELECT c.user_id AS click_user, c.event_id AS click_id, c.ts AS click_ts, b.event_id AS buy_id,
+            b.ts AS buy_ts
+        FROM events c JOIN events b ON c.user_id = b.user_id AND b.ts BETWEEN c.ts - INTERVAL 6 HOUR AND c.ts + INTERVAL 6 HOUR
+        WHERE c.event_type = 'click' AND b.event_type = 'purchase' AND greatest(c.ts, b.ts) <= {_passed_both('click', 'purchase')}""",
+    "stream_over_range": "SELECT * FROM ("
+    + _over(
+        "RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW",
+        ", min(event_id) OVER w AS lowest, max(event_id) OVER w AS highest",
+    )
+    + f") WHERE ts <= {_PASSED}",
+    "stream_over_rows": f"SELECT * FROM ({_over('ROWS BETWEEN 2 PRECEDING AND CURRENT ROW')}) WHERE ts <= {_PASSED}",
     "debug_stream_rows": f"SELECT '+I' AS op, * FROM ({_PLAYS}) WHERE duration >= 30",
 }

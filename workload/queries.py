@@ -21,8 +21,11 @@ from streamtables.session import apply_recommended, run_dir
 from streamtables.sources.scan import Binding, conform, encode, scan
 from streamtables.sources.stream import Catalog, Stream
 from streamtables.streaming import operators as live_ops
+from streamtables.streaming import timed
 from streamtables.streaming import topk as live_topk
+from streamtables.streaming.changelog import ChangelogSink, fold, retracting_count
 from streamtables.streaming.run import BatchFolder, append_files, debug_rows, each_batch, finish, insert_by_position
+from streamtables.streaming.split import CheckedRows, LateRows
 from streamtables.streaming.upsert import UpsertSink
 from workload import streams as S
 
@@ -436,6 +439,111 @@ def stream_running_count(spark, sf_dir):
     return sink.image(spark)
 
 
+def _feed(spark, sf_dir, label):
+    """All events as files in order of time, and a folder for results."""
+    folder = run_dir(spark, label)
+    feed = S.EventFeed(spark, sf_dir, f"{folder}/in")
+    feed.push_all()
+    return feed, folder
+
+
+def _user_images(folder):
+    """Users by their last event; an error removes the user."""
+    return UpsertSink(f"{folder}/users", ["user_id"], ["ts", "event_id"], F.col("event_type") == "error", by_order=True)
+
+
+def _changelog(spark, sf_dir):
+    feed, folder = _feed(spark, sf_dir, "changelog")
+    sink = ChangelogSink(_user_images(folder))
+    finish(each_batch(feed.live(), sink.write, f"{folder}/checkpoint"))
+    return sink, folder
+
+
+@query
+def stream_changelog(spark, sf_dir):
+    """The changes of each batch with their row kinds, added up to the image."""
+    sink, _ = _changelog(spark, sf_dir)
+    return fold(sink.read(spark))
+
+
+@query
+def stream_retracted_counts(spark, sf_dir):
+    """Users by the type of their last event, kept by a stream of changes that can take rows away."""
+    sink, folder = _changelog(spark, sf_dir)
+    counts = UpsertSink(f"{folder}/counts", ["event_type"], [], F.col("users") == 0)
+    changed = retracting_count(sink.live(spark, S.events(spark, sf_dir).schema), ["event_type"], "users")
+    finish(each_batch(changed, counts.write, f"{folder}/count-checkpoint", mode="update"))
+    return counts.image(spark)
+
+
+ACTIVITY = Stream.declare(
+    "activity",
+    sql="CREATE TABLE Activity (`event_id` BIGINT, `ts` TIMESTAMP(3), `user_id` BIGINT, `event_type` STRING, `value` DOUBLE, `props` STRING)",
+)
+USERS = Stream.declare(
+    "users",
+    sql="CREATE TABLE Users (`user_id` BIGINT NOT NULL, `event_type` STRING, `event_id` BIGINT, `ts` TIMESTAMP(3))",
+    primary_key=["user_id"],
+    options={"ddl.connector": "upsert-kafka", "ddl.value.format": "json"},
+)
+LAST_SEEN = Stream.declare(
+    "lastseen", sql="CREATE TABLE LastSeen (`event_id` BIGINT, `user_id` BIGINT, `last_type` STRING, `last_event` BIGINT)"
+)
+LAST_SEEN_SQL = """INSERT INTO [[STREAM:lastseen]]
+    SELECT a.event_id, a.user_id, u.event_type, u.event_id
+    FROM [[STREAM:activity]] a LEFT JOIN [[STREAM:users]] u ON a.user_id = u.user_id WHERE a.event_type = 'click'"""
+
+
+@query
+def stream_current_image_join(spark, sf_dir):
+    """Clicks with their user's last event so far; the image changes before every batch of clicks."""
+    folder = run_dir(spark, "image-join")
+    feed = S.EventFeed(spark, sf_dir, f"{folder}/in")
+    pipeline = Pipeline(
+        Catalog(ACTIVITY, USERS, LAST_SEEN),
+        [Query(LAST_SEEN_SQL)],
+        bindings={
+            "activity": Binding(path=f"{folder}/in/slot*", schema=S.events(spark, sf_dir).schema),
+            "users": Binding(path=f"{folder}/users"),
+            "lastseen": Binding(path=f"{folder}/joined"),
+        },
+        static={"users"},
+    )
+    users = UpsertSink(f"{folder}/users", ["user_id"], ["ts", "event_id"], compact_every=2)
+    for number, slot in enumerate(feed.slots):
+        feed.push(slot)
+        rows = feed.rows.filter(F.col("_slot") == slot).select("user_id", "event_type", "event_id", F.col("ts").cast("timestamp"))
+        users.write(rows, number)
+        pipeline.replay(spark, f"{folder}/checkpoints")
+    return BatchFolder(f"{folder}/joined").read(spark)
+
+
+@query
+def stream_late_rows(spark, sf_dir):
+    """Events in order of their ids, hence not of time, parted in those on time and those behind the watermark."""
+    folder = run_dir(spark, "late")
+    rows = S.events(spark, sf_dir)
+    low, high = rows.agg(F.min("event_id"), F.max("event_id")).first()
+    target = LateRows(f"{folder}/target", "ts", DAY * 20)
+    part = F.floor((F.col("event_id") - low) * 4 / (high - low + 1))
+    for number in range(4):
+        rows.filter(part == number).write.parquet(f"{folder}/in/part{number}")
+        live = spark.readStream.schema(rows.schema).parquet(f"{folder}/in/part*")
+        finish(each_batch(live, target.write, f"{folder}/checkpoint"))
+    late = target.late(spark).select("event_id", F.lit(True).alias("late"))
+    return late.unionByName(target.on_time(spark).select("event_id", F.lit(False).alias("late")))
+
+
+@query
+def stream_required_check(spark, sf_dir):
+    """Missing values per required column, counted while rows are split and written."""
+    feed, folder = _feed(spark, sf_dir, "checked")
+    rows = feed.live().withColumn("kind", F.nullif("event_type", F.lit("error")))
+    target = CheckedRows(f"{folder}/target", ["event_id", "kind", "value"])
+    finish(each_batch(rows, target.write, f"{folder}/checkpoint"))
+    return target.report(spark)
+
+
 # -- message functions --------------------------------------------------------------------
 
 
@@ -612,6 +720,38 @@ def as_of_join_chunked(spark, sf_dir):
     return _as_of(spark, sf_dir, slot_seconds=DAY // 24)
 
 
+def _timed(spark, sf_dir, label, build):
+    """Run a live operator over the events in order of time, a slot at a time."""
+    feed, folder = _feed(spark, sf_dir, label)
+    result = build(feed)
+    finish(append_files(result, f"{folder}/out", f"{folder}/checkpoint"))
+    return spark.read.schema(result.schema).parquet(f"{folder}/out")
+
+
+@query
+def stream_as_of_join(spark, sf_dir):
+    def build(feed):
+        bought = feed.live().filter("event_type = 'purchase'").select("user_id", "event_id", "ts", "value")
+        signed = feed.live().filter("event_type = 'signup'").select(
+            "user_id", F.col("event_id").alias("version_id"), F.col("ts").alias("valid_from"), F.col("props").alias("version")
+        )
+        return timed.as_of_join_live(bought, signed, ["user_id"], "ts", "valid_from", ["event_id"], ["version_id"])
+
+    return _timed(spark, sf_dir, "live-as-of", build)
+
+
+@query
+def stream_join_within(spark, sf_dir):
+    """Clicks and purchases of a user within six hours, whichever comes first."""
+
+    def build(feed):
+        clicks, buys = (_typed(feed.live(), kind, prefix) for kind, prefix in (("click", "click"), ("purchase", "buy")))
+        buys = buys.withColumnRenamed("buy_user", "click_user")
+        return timed.join_within(clicks, buys, ["click_user"], "click_ts", "buy_ts", DAY // 4)
+
+    return _timed(spark, sf_dir, "join-within", build)
+
+
 def _big_spenders(spark, sf_dir):
     """Customers and the events of high value."""
     rows = S.events(spark, sf_dir).filter(F.col("value") >= 100).select("event_id", "user_id", "value")
@@ -694,6 +834,25 @@ def over_range_frame(spark, sf_dir):
     return _as_double(frames.over_range(_frame_rows(spark, sf_dir), ["user_id"], "ts", DAY, RANGE_AGGREGATES))
 
 
+@query
+def stream_over_range(spark, sf_dir):
+    def build(feed):
+        rows = feed.live().select("event_id", "user_id", "ts", F.col("value").cast(MONEY).alias("value"))
+        return timed.over_range_live(rows, ["user_id"], "ts", DAY, RANGE_AGGREGATES)
+
+    return _as_double(_timed(spark, sf_dir, "live-range", build))
+
+
+@query
+def stream_over_rows(spark, sf_dir):
+    def build(feed):
+        rows = feed.live().select("event_id", "user_id", "ts", F.col("value").cast(MONEY).alias("value"))
+        aggregates = {"total": ("sum", "value"), "frame_rows": ("count", "event_id")}
+        return timed.over_rows_live(rows, ["user_id"], "ts", ["event_id"], 2, aggregates)
+
+    return _as_double(_timed(spark, sf_dir, "live-rows", build))
+
+
 @query
 def over_range_null_time(spark, sf_dir):
     """Errors have no time; they are one frame per user."""

@@ -142,6 +142,39 @@ def events(spark: SparkSession, sf_dir: str, live: bool = False, delay: str = "3
     return df.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay) if live else df
 
 
+#: Days of events in a slot of a feed; a feed's rows are out of order by less.
+SLOT_DAYS = 8
+
+
+class EventFeed:
+    """The events as files that arrive in order of time, a folder for each slot of days.
+
+    Inside a slot rows are in no order, so a watermark that is a slot behind leaves none of them late.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str, folder: str):
+        self.spark, self.folder = spark, folder
+        slot = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / (SLOT_DAYS * 86_400))
+        self.rows = events(spark, sf_dir).withColumn("_slot", slot)
+        # One number per week or so, however many events there are.
+        self.slots = sorted(r[0] for r in self.rows.select("_slot").distinct().collect())
+
+    def push(self, slot: int) -> None:
+        """The next files arrive."""
+        self.rows.filter(F.col("_slot") == slot).drop("_slot").write.parquet(f"{self.folder}/slot{slot}")
+
+    def push_all(self) -> None:
+        for slot in self.slots:
+            self.push(slot)
+
+    def live(self, delay: str = f"{SLOT_DAYS} days") -> DataFrame:
+        """A live scan that takes the files of a slot at a time."""
+        files = max(1, self.rows.rdd.getNumPartitions())
+        reader = self.spark.readStream.schema(_ddl(EVENTS)).option("maxFilesPerTrigger", files)
+        rows = reader.parquet(f"{self.folder}/slot*")
+        return rows.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+
+
 def customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(_ddl(CUSTOMER)).parquet(table_path(sf_dir, "customer"))
 
