@@ -122,3 +122,71 @@ def grouping_sets(df: DataFrame, kind: str, by: list[str], *aggregates: Column)
     if kind not in ("rollup", "cube"):
         raise ValueError("kind must be rollup or cube")
     return getattr(df, kind)(*by).agg(*aggregates)
+
+
+#: Logarithm of the number of registers of a distinct sketch; the standard error is 1.04 / sqrt(2**12), 1.6 %.
+SKETCH_BITS = 12
+
+
+def distinct_panes(df: DataFrame, time: str, pane_seconds: int, by: list[str], value: str, bits: int = SKETCH_BITS) -> DataFrame:
+    """A mergeable sketch of the distinct values of each pane and group (``window``, ``by``, ``sketch``).
+
+    Sketches have a fixed size and unite into that of a longer window, so distinct values need
+    not be kept, nor sent more than once. Values that are null don't count.
+    """
+    window = F.window(time, f"{pane_seconds} seconds").alias("window")
+    return df.groupBy(window, *by).agg(F.hll_sketch_agg(value, bits).alias("sketch"))
+
+
+def hop_distinct(
+    df: DataFrame, time: str, size_seconds: int, slide_seconds: int, by: list[str], value: str, name: str, bits: int = SKETCH_BITS
+) -> DataFrame:
+    """About how many distinct values each hopping window and group has; works on a stream too.
+
+    Each row is sketched once, in its pane as long as the slide; windows unite their panes.
+    """
+    if size_seconds % slide_seconds:
+        raise ValueError("the window size must be a multiple of the slide")
+    panes = distinct_panes(df, time, slide_seconds, by, value, bits)
+    window = F.window(F.window_time("window"), f"{size_seconds} seconds", f"{slide_seconds} seconds").alias("_hop")
+    united = panes.groupBy(window, *by).agg(F.hll_union_agg("sketch").alias("_sketch"))
+    estimate = F.hll_sketch_estimate("_sketch").alias(name)
+    return united.select(F.col("_hop.start").alias("window_start"), F.col("_hop.end").alias("window_end"), *by, estimate)
+
+
+def cumulate_distinct(
+    df: DataFrame, time: str, max_seconds: int, step_seconds: int, by: list[str], value: str, name: str, bits: int = SKETCH_BITS
+) -> DataFrame:
+    """About how many distinct values each cumulating window and group has, from sketches of its steps."""
+    if max_seconds % step_seconds:
+        raise ValueError("the maximum size must be a multiple of the step")
+    steps = distinct_panes(df, time, step_seconds, by, value, bits)
+    outer = F.window(F.col("window.start"), f"{max_seconds} seconds")
+    passed = F.unix_seconds(F.col("window.end").cast("timestamp")) - F.unix_seconds(F.col("_outer.start").cast("timestamp"))
+    lengths = F.sequence((passed / step_seconds).cast("int"), F.lit(max_seconds // step_seconds))
+    grown = steps.withColumn("_outer", outer).withColumn("_length", F.explode(lengths))
+    end = F.col("_outer.start") + F.make_dt_interval(secs=F.col("_length") * F.lit(step_seconds))
+    placed = grown.select(F.col("_outer.start").alias("window_start"), end.alias("window_end"), *by, "sketch")
+    united = placed.groupBy("window_start", "window_end", *by).agg(F.hll_union_agg("sketch").alias("_sketch"))
+    return united.select("window_start", "window_end", *by, F.hll_sketch_estimate("_sketch").alias(name))
+
+
+def window_sets(df: DataFrame, time: str, size: str, by: list[str], sets: list[list[str]], *aggregates: Column) -> DataFrame:
+    """Aggregates per tumbling window for several sets of grouping columns at once; works on a stream too.
+
+    ``by`` lists all grouping columns and each of ``sets`` some of them; columns outside a set are
+    null in its rows. ``grouping_id`` tells sets apart, with a bit for each column that is outside,
+    the first column's highest, as in SQL. Rows are multiplied by the sets before the
+    aggregation, which combines them again in the map tasks.
+    """
+    ids = [sum(1 << i for i, c in enumerate(reversed(by)) if c not in s) for s in sets]
+    if len(set(ids)) < len(ids) or any(c not in by for s in sets for c in s):
+        raise ValueError("the sets must be different parts of the grouping columns")
+    spread = df.withColumn("grouping_id", F.explode(F.array(*[F.lit(i) for i in ids])))
+    inside = {c: F.col("grouping_id").bitwiseAND(1 << i) == 0 for i, c in enumerate(reversed(by))}
+    # The columns may be read by aggregates, so those to group by have names of their own.
+    spread = spread.withColumns({f"_by_{c}": F.when(inside[c], F.col(c)) for c in by})
+    window = F.window(time, size).alias("window")
+    grouped = spread.groupBy(window, *[F.col(f"_by_{c}").alias(f"_by_{c}") for c in by], "grouping_id").agg(*aggregates)
+    named = grouped.withColumnsRenamed({f"_by_{c}": c for c in by})
+    return flatten_window(named)

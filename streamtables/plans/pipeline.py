@@ -19,7 +19,7 @@ from streamtables.functions.messages import map_messages
 from streamtables.operators.checks import duplicate_keys, required_report
 from streamtables.operators.ordered import settle
 from streamtables.operators.versions import keep_last
-from streamtables.plans.references import expand_windows, referenced_streams, resolve, split_insert
+from streamtables.plans.references import expand_windows, referenced_streams, resolve, split_insert, split_ranking
 from streamtables.sources.scan import (
     Binding,
     as_stored,
@@ -73,6 +73,16 @@ class Query:
             return referenced_streams(split_insert(self.sql)[1])
         return self.inputs
 
+    def for_live(self) -> Query:
+        """The statement as a stream can run it: a ranking over counts of windows in two parts."""
+        if self.live_sql or self.closed is not None or not self.sql:
+            return self
+        target, select = split_insert(self.sql)
+        if not (parts := split_ranking(select)):
+            return self
+        counts, closed = parts
+        return replace(self, live_sql=f"INSERT INTO {target} {counts}" if target else counts, closed=closed)
+
     def apply_closed(self, rows: DataFrame, live: bool = True) -> DataFrame:
         if self.closed is None or (self.live_sql and not live):
             return rows
@@ -253,11 +263,12 @@ class Pipeline:
     def _check_live(self) -> None:
         """What a stream cannot do is said before anything starts."""
         self.check()
-        for query in self.queries:
+        for query in map(Query.for_live, self.queries):
             text = query.live_sql or query.sql or ""
             if re.search(r"\bROW_NUMBER\s*\(", text, re.I):
                 raise StreamError(
-                    "ROW_NUMBER cannot run on a stream; give live_sql that counts per window and rank in closed: "
+                    "ROW_NUMBER cannot run on a stream unless it ranks a sub-query that counts per window; "
+                    "give live_sql that does and rank in closed: "
                     + " ".join(text.split())[:80]
                 )
 
@@ -282,7 +293,7 @@ class Pipeline:
 
     def _start_target(self, spark: SparkSession, numbers: list[int], checkpoint: str, every: str | None) -> StreamingQuery:
         """One streaming query for all inserts into a target."""
-        queries = [self.queries[i] for i in numbers]
+        queries = [self.queries[i].for_live() for i in numbers]
         target = self.catalog.get(queries[0].target_name())
         if any(self._is_kept_image(n) for q in queries for n in q.input_names()):
             if len(queries) > 1:

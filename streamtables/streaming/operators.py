@@ -47,3 +47,13 @@ def count_distinct_closed(df: DataFrame, time: str, size: str, by: list[str], va
 def running_aggregate(df: DataFrame, by: list[str], *aggregates: Column) -> DataFrame:
     """Unwindowed aggregate; start it in ``update`` mode into an upsert sink."""
     return df.groupBy(*by).agg(*aggregates)
+
+
+def last_seen(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """Last row per key so far, by ``order``; start it in ``update`` mode into an upsert sink.
+
+    State holds one row for each key. A row that is not later than the one known changes nothing.
+    """
+    rest = [c for c in df.columns if c not in key]
+    kept = df.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_row"))
+    return kept.select(*key, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*df.columns)

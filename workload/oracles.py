@@ -32,6 +32,11 @@ _HOPS = """SELECT w AS window_start, w + INTERVAL 1 DAY AS window_end, event_typ
     FROM (SELECT event_type, unnest([time_bucket(INTERVAL 6 HOUR, ts) - INTERVAL 6 HOUR * i FOR i IN range(4)]) AS w
           FROM events) GROUP BY ALL"""
 
+# A sketch of few hundred values holds them all, so its estimate is exact.
+_HOP_USERS = _HOPS.replace("SELECT event_type, unnest", "SELECT event_type, user_id, unnest").replace(
+    "count(*) AS play_count", "count(DISTINCT user_id) AS users"
+)
+
 _CUMULATED = """SELECT date_trunc('day', ts) AS window_start, e AS window_end, event_type, count(*) AS play_count
     FROM (SELECT ts, event_type, unnest(
             [x FOR x IN [date_trunc('day', ts) + INTERVAL 6 HOUR * i FOR i IN range(1, 5)] IF x > ts]) AS e FROM events)
@@ -216,6 +221,21 @@ ORACLES: dict[str, str] = {
         ", min(event_id) OVER w AS lowest, max(event_id) OVER w AS highest",
         "(SELECT * REPLACE (CASE WHEN event_type <> 'error' THEN ts END AS ts) FROM events)",
     ),
+    "staged_pipeline_as_stated": f"SELECT * FROM ({_NAMED_CHART}) WHERE window_end <= {_JOINED_UNTIL}",
+    "stream_keep_last": _one_per_key("DESC"),
+    "stream_running_topk": """SELECT event_type, user_id, events, row_number() OVER (
+            PARTITION BY event_type ORDER BY events DESC, user_id) AS row_num
+        FROM (SELECT event_type, user_id, count(*) AS events FROM events GROUP BY ALL) QUALIFY row_num <= 3""",
+    "hop_distinct_users": _HOP_USERS,
+    "cumulate_distinct_users": _CUMULATED.replace("SELECT ts, event_type, unnest", "SELECT ts, event_type, user_id, unnest").replace(
+        "count(*) AS play_count", "count(DISTINCT user_id) AS users"
+    ),
+    "stream_hop_distinct": f"SELECT * FROM ({_HOP_USERS}) WHERE window_end <= {_PASSED}",
+    "stream_grouping_sets": f"""SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end,
+            event_type, large, CAST(grouping(event_type, large) AS INTEGER) AS grouping_id, count(*) AS events
+        FROM (SELECT *, value >= 100 AS large FROM events)
+        GROUP BY GROUPING SETS ((date_trunc('day', ts), event_type, large), (date_trunc('day', ts), large), (date_trunc('day', ts)))
+        HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= {_PASSED}""",
     "stream_changelog": _IMAGE,
     "stream_retracted_counts": f"SELECT event_type, count(*) AS users FROM ({_IMAGE}) GROUP BY event_type",
     "stream_current_image_join": f"""SELECT c.event_id, c.user_id, arg_max(u.event_type, (u.ts, u.event_id)) AS last_type,

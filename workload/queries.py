@@ -242,6 +242,15 @@ def staged_pipeline_topk(spark, sf_dir):
     return UpsertSink(f"{folder}/topsongs", list(S.TOP_SONGS.primary_key), ["song_play_count"]).image(spark)
 
 
+@query
+def staged_pipeline_as_stated(spark, sf_dir):
+    """Both statements as they stand; the second ranks in place and is parted for the live run."""
+    folder = run_dir(spark, "as-stated")
+    steps = [Query(ENRICH_SQL), Query(CHART_SQL, order=["song_play_count"])]
+    _pipeline(sf_dir, steps, folder).replay(spark, f"{folder}/checkpoints")
+    return UpsertSink(f"{folder}/topsongs", list(S.TOP_SONGS.primary_key), ["song_play_count"]).image(spark)
+
+
 EVENT_COPIES = Stream.declare(
     "eventcopies",
     sql="CREATE TABLE EventCopies (`event_id` BIGINT NOT NULL, `user_id` BIGINT NOT NULL, `event_type` STRING)",
@@ -518,6 +527,27 @@ def stream_current_image_join(spark, sf_dir):
     return BatchFolder(f"{folder}/joined").read(spark)
 
 
+@query
+def stream_keep_last(spark, sf_dir):
+    feed, folder = _feed(spark, sf_dir, "keep-last")
+    sink = UpsertSink(f"{folder}/image", ["user_id", "event_type"], [])
+    last = live_ops.last_seen(feed.live(), ["user_id", "event_type"], ["ts", "event_id"])
+    finish(each_batch(last, sink.write, f"{folder}/checkpoint", mode="update"))
+    return sink.image(spark)
+
+
+@query
+def stream_running_topk(spark, sf_dir):
+    """The three users with most events of each type, kept after every batch."""
+    feed, folder = _feed(spark, sf_dir, "running-topk")
+    counts = live_ops.running_aggregate(feed.live(), ["event_type", "user_id"], F.count("*").alias("events"))
+    order = [F.col("events").desc(), F.col("user_id").asc()]
+    values = UpsertSink(f"{folder}/counts", ["event_type", "user_id"], [])
+    chart = live_topk.RunningTopK(values, f"{folder}/chart", ["event_type"], order, 3)
+    finish(each_batch(counts, chart.write, f"{folder}/checkpoint", mode="update"))
+    return chart.read(spark)
+
+
 @query
 def stream_late_rows(spark, sf_dir):
     """Events in order of their ids, hence not of time, parted in those on time and those behind the watermark."""
@@ -642,6 +672,35 @@ def _daily(spark, sf_dir):
     return windows.tumble(S.events(spark, sf_dir), "ts", S.WINDOW)
 
 
+@query
+def hop_distinct_users(spark, sf_dir):
+    """About how many users each hopping day and type of event has; exact for up to some hundred."""
+    return windows.hop_distinct(S.events(spark, sf_dir), "ts", DAY, DAY // 4, ["event_type"], "user_id", "users")
+
+
+@query
+def cumulate_distinct_users(spark, sf_dir):
+    return windows.cumulate_distinct(S.events(spark, sf_dir), "ts", DAY, DAY // 4, ["event_type"], "user_id", "users")
+
+
+@query
+def stream_hop_distinct(spark, sf_dir):
+    feed, folder = _feed(spark, sf_dir, "hop-distinct")
+    counts = windows.hop_distinct(feed.live(), "ts", DAY, DAY // 4, ["event_type"], "user_id", "users")
+    finish(append_files(counts, f"{folder}/out", f"{folder}/checkpoint"))
+    return spark.read.schema(counts.schema).parquet(f"{folder}/out")
+
+
+@query
+def stream_grouping_sets(spark, sf_dir):
+    feed, folder = _feed(spark, sf_dir, "grouping-sets")
+    rows = feed.live().withColumn("large", F.col("value") >= 100)
+    sets = [["event_type", "large"], ["large"], []]
+    counts = windows.window_sets(rows, "ts", "1 day", ["event_type", "large"], sets, F.count("*").alias("events"))
+    finish(append_files(counts, f"{folder}/out", f"{folder}/checkpoint"))
+    return spark.read.schema(counts.schema).parquet(f"{folder}/out")
+
+
 @query
 def window_rollup(spark, sf_dir):
     count = F.count("*").alias("events")
