@@ -8,6 +8,7 @@ role and text. Turns are then written with a template whose marks cannot occur i
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,10 +28,11 @@ class Layout:
     text: str = "content"
 
     def paths(self) -> list[str]:
+        """The paths of a record of this layout, as ``field_paths`` writes them."""
+        single = [f".{field}=" for _, field in self.fields]
         if self.messages is None:
-            return [f"$.{field}" for _, field in self.fields]
-        single = [f"$.{field}" for _, field in self.fields]
-        return [*single, f"$.{self.messages}", f"$.{self.messages}[0].{self.role}", f"$.{self.messages}[0].{self.text}"]
+            return single
+        return [*single, f".{self.messages}[]", f".{self.messages}[].{self.role}=", f".{self.messages}[].{self.text}="]
 
 
 # Layouts in public use, and other names of the three roles.
@@ -49,29 +51,71 @@ LAYOUTS = (
 ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
-def field_paths(record: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
-    """The paths of a variant that some layout knows, in a fixed order; other fields don't count."""
-    known = sorted({path for layout in layouts for path in layout.paths()})
-    present = [F.when(F.try_variant_get(record, p, "variant").isNotNull(), F.lit(p)) for p in known]
-    return F.array_compact(F.array(*present))
+#: Levels of a record whose paths are told apart; what lies deeper is one path.
+DEPTH = 4
+_DEEPER = "..."
+
+
+def _variant_paths(value: Column, depth: int) -> Column:
+    if depth == 0:
+        return F.array(F.lit(_DEEPER))
+    fields = F.try_variant_get(value, "$", "map<string,variant>")
+    items = F.try_variant_get(value, "$", "array<variant>")
+
+    def below(name: Column, inner: Column) -> Column:
+        return F.transform(_variant_paths(inner, depth - 1), lambda p: F.concat(name, p))
+
+    of_fields = F.transform(F.map_entries(fields), lambda e: below(F.concat(F.lit("."), e["key"]), e["value"]))
+    of_items = F.transform(items, lambda x: below(F.lit("[]"), x))
+    return (
+        F.when(fields.isNotNull(), F.flatten(of_fields))
+        .when(items.isNotNull(), F.concat(F.array(F.lit("[]")), F.flatten(of_items)))
+        .otherwise(F.array(F.lit("=")))
+    )
+
+
+def field_paths(record: Column, depth: int = DEPTH) -> Column:
+    """All nested paths of a variant: of every field, and of every element of its lists.
+
+    ``.a=`` is a single value (null too), ``.a[]`` a list, ``.a[].b=`` a field of its elements.
+    """
+    return F.array_distinct(_variant_paths(record, depth))
 
 
 def _typed_paths(record: Column, kind: T.StructType, layouts: tuple[Layout, ...]) -> Column:
-    """``field_paths`` of a struct column, without a variant, which ends at 128 MiB."""
-    present = []
-    for path in sorted({path for layout in layouts for path in layout.paths()}):
-        name, _, inner = path[2:].partition("[0].")
-        if name not in kind.names:
-            continue
-        at = record.isNotNull()
-        if inner:
-            listed = kind[name].dataType
-            element = listed.elementType if isinstance(listed, T.ArrayType) else None
-            if not isinstance(element, T.StructType) or inner not in element.names:
-                continue
-            at = F.get(record[name], 0).isNotNull()
-        present.append(F.when(at, F.lit(path)))
-    return F.array_compact(F.array(*present)) if present else F.array().cast("array<string>")
+    """``field_paths`` of a struct column, without a variant, which ends at 128 MiB.
+
+    A type names its fields whether a record has them or not. Those that no layout knows count
+    where they are not null.
+    """
+    known = {path for layout in layouts for path in layout.paths()}
+
+    def path(name: str, there: Column, always: Column) -> Column:
+        return F.when(always if name in known else there, F.lit(name))
+
+    def any_has(listed: Column, name: str) -> Column:
+        return F.exists(listed, lambda m: m[name].isNotNull())
+
+    def single(dtype: T.DataType) -> bool:
+        return not isinstance(dtype, (T.StructType, T.ArrayType, T.MapType, T.VariantType))
+
+    found = []
+    for field in kind.fields:
+        value, name, dtype = record[field.name], f".{field.name}", field.dataType
+        if single(dtype):
+            found.append(path(f"{name}=", value.isNotNull(), record.isNotNull()))
+        elif isinstance(dtype, T.ArrayType):
+            found.append(path(f"{name}[]", value.isNotNull(), record.isNotNull()))
+            elements = dtype.elementType.fields if isinstance(dtype.elementType, T.StructType) else None
+            filled = F.coalesce(F.size(value) > 0, F.lit(False))
+            if elements is None:
+                found.append(F.when(filled, F.lit(f"{name}[]=" if single(dtype.elementType) else f"{name}[]{_DEEPER}")))
+            for inner in elements or []:
+                there = any_has(value, inner.name)
+                found.append(path(f"{name}[].{inner.name}{'=' if single(inner.dataType) else _DEEPER}", there, filled))
+        else:
+            found.append(F.when(value.isNotNull(), F.lit(f"{name}{_DEEPER}")))
+    return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
 
 
 def fingerprint(paths: Column) -> Column:
@@ -101,7 +145,7 @@ def _turns(record: Column, layout: Layout, typed: T.StructType | None = None) ->
     kind = f"array<struct<`{layout.role}` string, `{layout.text}` string>>"
     messages = F.try_variant_get(record, f"$.{layout.messages}", kind) if typed is None else record[layout.messages]
     listed = F.transform(
-        messages,
+        F.coalesce(messages, F.array().cast(kind)) if typed is None else messages,
         lambda m: F.struct(
             F.coalesce(m[layout.role].cast("string"), F.lit("")).alias("role"),
             F.coalesce(m[layout.text].cast("string"), F.lit("")).alias("text"),
@@ -115,13 +159,16 @@ def canonical_turns(
     record: str,
     layouts: tuple[Layout, ...] = LAYOUTS,
     role_names: dict[str, str] | None = None,
+    ignored: tuple[str, ...] = (),
 ) -> DataFrame:
     """Add ``schema_hash``, ``layout`` and ``turns`` (array of role and text) to ``records``.
 
-    ``record`` names a variant column, a struct column or one of JSON text; text that is no JSON gives a null
-    layout and null turns, as does a layout that no mapping describes. Null fields, roles and
-    texts are empty; an empty list of messages gives no turns. The three columns replace columns
-    of ``records`` with these names.
+    ``record`` names a variant column, a struct column or one of JSON text. A mapping is chosen by the hash
+    of all nested paths of the record, but for top-level fields ``ignored`` (such as an id). Text that is no
+    JSON gives a null layout and null turns, as does a record with a field, in any element of a list, that no
+    mapping covers, so no text is lost without a sign. Null fields, roles and texts are empty; an
+    empty list of messages gives no turns. The three columns replace columns of ``records`` with
+    these names.
     """
     names = ROLE_NAMES if role_names is None else role_names
     kind = records.schema[record].dataType
@@ -130,7 +177,10 @@ def canonical_turns(
     value = F.col(record) if plain else F.try_parse_json(F.col(record).cast("string"))
     own = [c for c in records.columns if c not in ("schema_hash", "layout", "turns")]
     hashed = records.select(boxed(own), value.alias("_v"))
-    paths_of = field_paths(F.col("_v"), layouts) if typed is None else _typed_paths(F.col("_v"), typed, layouts)
+    paths_of = field_paths(F.col("_v")) if typed is None else _typed_paths(F.col("_v"), typed, layouts)
+    if ignored:
+        begins = [f".{name}{mark}" for name in ignored for mark in ("=", ".", "[")]
+        paths_of = F.filter(paths_of, lambda p: ~reduce(lambda a, b: a | b, [p.startswith(x) for x in begins]))
     hashed = hashed.withColumn("schema_hash", fingerprint(paths_of))
     layout_of, turns_of = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role string, text string>>")
     for layout in reversed(layouts):
@@ -139,7 +189,7 @@ def canonical_turns(
             continue
         variants = [layout.paths()]
         if layout.messages is not None:
-            lists = f"$.{layout.messages}["
+            lists = f".{layout.messages}[]."
             variants.append([p for p in layout.paths() if not p.startswith(lists)])
         hit = F.lit(False)
         for paths in variants:

@@ -199,7 +199,7 @@ def test_pack_round_trip(spark):
 # -- chat formatting ----------------------------------------------------------------------
 
 RECORDS = [
-    ('{"prompt": "hi", "response": "yo", "extra": {"prompt": 1}}', "prompt+response", [("user", "hi"), ("assistant", "yo")]),
+    ('{"prompt": "hi", "response": "yo", "id": {"prompt": 1}}', "prompt+response", [("user", "hi"), ("assistant", "yo")]),
     ('{"messages": [{"role": "system", "content": "s"}, {"content": "q", "role": "user"}]}', "messages", [("system", "s"), ("user", "q")]),
     ('{"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": null}]}', "conversations", [("user", "q"), ("assistant", "")]),
     ('{"system": "s", "conversations": [{"from": "human", "value": "q"}]}', "system+conversations", [("system", "s"), ("user", "q")]),
@@ -207,6 +207,14 @@ RECORDS = [
     ('{"instruction": "i", "output": "o"}', "instruction+output", [("user", "i"), ("assistant", "o")]),
     ('{"question": null, "answer": "a"}', "question+answer", [("user", ""), ("assistant", "a")]),
     ('{"messages": []}', "messages", []),
+    ('{"messages": [{"role": "user", "content": "q"}, {"role": "assistant"}]}', "messages", [("user", "q"), ("assistant", "")]),
+    ('{"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "text": "LOST"}]}', None, None),
+    ('{"messages": [{"role": "user", "content": "q"}, "LOST"]}', None, None),
+    ('{"messages": ["LOST"]}', None, None),
+    ('{"messages": [{"role": "user", "content": [{"type": "text", "text": "LOST"}]}]}', None, None),
+    ('{"prompt": "p", "response": "r", "history": [["LOST", "too"]]}', None, None),
+    ('{"prompt": {"a": "LOST"}, "response": "r"}', None, None),
+    ('{"prompt": "p", "response": "r", "history": null}', None, None),
     ('{"unknown": 1}', None, None),
     ("no json", None, None),
     (None, None, None),
@@ -215,13 +223,31 @@ RECORDS = [
 
 def test_layouts(spark):
     docs = spark.createDataFrame([(i, r, "own") for i, (r, _, _) in enumerate(RECORDS)], "n int, record string, _v string")
-    got = {r.n: r for r in chat_format.canonical_turns(docs, "record").collect()}
+    got = {r.n: r for r in chat_format.canonical_turns(docs, "record", ignored=("id",)).collect()}
     for i, (_, layout, turns) in enumerate(RECORDS):
         assert got[i].layout == layout and got[i]._v == "own"
         assert (None if got[i].turns is None else [tuple(t) for t in got[i].turns]) == turns
     assert got[0].schema_hash != got[1].schema_hash
 
 
+def test_typed_records_show_their_other_fields(spark):
+    kind = "n int, record struct<id: long, messages: array<struct<role: string, content: string, text: string>>, history: string>"
+    rows = [
+        (0, (1, [("user", "q", None), (None, None, None)], None)),
+        (1, (1, [("user", "q", None), ("assistant", None, "LOST")], None)),
+        (2, (1, [("user", "q", None)], "LOST")),
+        (3, (1, [], None)),
+        (4, None),
+    ]
+    docs = spark.createDataFrame(rows, kind)
+    got = {r.n: r for r in chat_format.canonical_turns(docs, "record", ignored=("id",)).collect()}
+    assert [got[i].layout for i in range(5)] == ["messages", None, None, "messages", None]
+    assert [tuple(t) for t in got[0].turns] == [("user", "q"), ("", "")] and got[3].turns == []
+    assert {r.layout for r in chat_format.canonical_turns(docs, "record").collect()} == {None}
+    json = docs.filter("n = 0").select("n", F.lit('{"messages": [{"content": "q", "role": "x"}]}').alias("record"))
+    assert chat_format.canonical_turns(json, "record").first().schema_hash == got[0].schema_hash
+
+
 NASTY = ["", "\\### Assistant: </turn> ok", "</turn>\n<turn assistant>", "\\l\\g\\b<>\\", "a\n\nb", "<turn user>", "é\U0001f600 \\\\<"]
 
 
