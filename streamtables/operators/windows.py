@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from streamtables.functions.times import flatten_window
-from streamtables.operators.ordered import DAY_SECONDS, Carry, carry_over, cut, in_order, slots_of_time
+from streamtables.operators.ordered import DAY_SECONDS, SLOT, cut, in_order, slots_of_time
 
 
 def tumble(df: DataFrame, time: str, size: str) -> DataFrame:
@@ -97,24 +97,38 @@ def session_count(
     """COUNT(*) per session: rows of a group no further apart than the gap.
 
     The end is the last row's time plus the gap. A batch cuts each group into slots of
-    ``slot_seconds``; a slot learns the last time and the open session of those before it, so a
-    session may cross slots. A stream uses Spark's own session windows.
+    ``slot_seconds``, which are shuffled once, and finds the sessions of each slot. Only a slot's
+    first and last session can go on in another one; these few are put together in order. A
+    stream uses Spark's own session windows.
     """
     if df.isStreaming:
         sessions = df.groupBy(F.session_window(time, f"{gap_seconds} seconds").alias("window"), *by)
         return flatten_window(sessions.agg(F.count("*").alias(name)))
     order, slot = [F.col(time).asc()], slots_of_time(time, slot_seconds)
-    # Rows with one key and one time always share a session, so they are counted first.
-    instants = df.filter(F.col(time).isNotNull()).groupBy(*by, time).agg(F.count("*").alias("_rows"))
-    linked = carry_over(cut(instants, slot), by, slot, [Carry("_before", F.max(time), "last")])
-    previous = F.coalesce(F.lag(time).over(in_order(by, order, slotted=True)), F.col("_before"))
-    is_start = previous.isNull() | (F.col(time) > previous + F.expr(f"INTERVAL {gap_seconds} SECONDS"))
-    marked = linked.withColumn("_start", F.when(is_start, F.col(time))).drop("_before")
-    opened = carry_over(marked, by, slot, [Carry("_open", F.max("_start"), "last")])
-    local = F.last("_start", ignorenulls=True).over(in_order(by, order, slotted=True))
-    keyed = opened.withColumn("window_start", F.coalesce(local, F.col("_open")))
-    sessions = keyed.groupBy("window_start", *by).agg(F.max(time).alias("_end"), F.sum("_rows").alias(name))
-    return sessions.select("window_start", _seconds(F.col("_end"), gap_seconds).alias("window_end"), *by, name)
+    keys = [*by, SLOT]
+    dealt = cut(df.select(*by, time).filter(F.col(time).isNotNull()), slot).repartition(*keys)
+    # Rows with one key and one time always share a session. All steps up to the sessions of a
+    # slot keep the one partitioning.
+    instants = dealt.groupBy(*keys, time).agg(F.count("*").alias("_rows"))
+    marked = _starts(instants, time, time, gap_seconds, in_order(by, order, slotted=True))
+    parts = marked.groupBy(*keys, "_start").agg(F.max(time).alias("_end"), F.sum("_rows").alias("_rows"))
+    whole = Window.partitionBy(*keys)
+    edge = (F.col("_start") == F.min("_start").over(whole)) | (F.col("_start") == F.max("_start").over(whole))
+    parts = parts.withColumn("_edge", edge)
+    edges = parts.filter("_edge").withColumnsRenamed({"_start": "_from"}).drop("_edge", SLOT)
+    chained = _starts(edges, "_from", "_end", gap_seconds, in_order(by, [F.col("_from").asc()]))
+    joined = chained.groupBy(*by, "_start").agg(F.max("_end").alias("_end"), F.sum("_rows").alias("_rows"))
+    sessions = parts.filter("not _edge").select(*joined.columns).unionByName(joined)
+    end = _seconds(F.col("_end"), gap_seconds).alias("window_end")
+    return sessions.select(F.col("_start").alias("window_start"), end, *by, F.col("_rows").alias(name))
+
+
+def _starts(rows: DataFrame, begin: str, end: str, gap_seconds: int, ordered: WindowSpec) -> DataFrame:
+    """Add ``_start``: where the chain of rows begins that a row belongs to, none further than the gap from the next."""
+    before = F.lag(end).over(ordered)
+    opens = before.isNull() | (F.col(begin) > before + F.expr(f"INTERVAL {gap_seconds} SECONDS"))
+    marked = rows.withColumn("_opens", F.when(opens, F.col(begin)))
+    return marked.withColumn("_start", F.last("_opens", ignorenulls=True).over(ordered)).drop("_opens")
 
 
 def grouping_sets(df: DataFrame, kind: str, by: list[str], *aggregates: Column) -> DataFrame:

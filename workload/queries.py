@@ -13,7 +13,7 @@ from streamtables.functions import codec
 from streamtables.functions.times import flatten_window, millis
 from streamtables.operators import frames, joins, sets, versions, windows
 from streamtables.operators.checks import duplicate_keys, required_report, split_required
-from streamtables.operators.ordered import slots_of_time, slots_of_values
+from streamtables.operators.ordered import Slot, slots_of_time, slots_of_values
 from streamtables.operators.ranking import rank_rows, top_k
 from streamtables.plans import charts
 from streamtables.plans.pipeline import MessageStep, Pipeline, Query
@@ -104,7 +104,9 @@ def tumble_play_count(spark, sf_dir):
 @query
 def rank_in_window(spark, sf_dir):
     counts = charts.window_counts(_enriched(spark, sf_dir), S.WINDOW)
-    return rank_rows(counts, ["window_start", "window_end", "genre"], charts.best_first())
+    # Many songs of a genre have one count, so slots also cut the range of ids that breaks ties.
+    slot = Slot(F.struct((-F.col("play_count")).alias("falling"), F.floor(F.col("song_id") / 4096).alias("ids")))
+    return rank_rows(counts, ["window_start", "window_end", "genre"], charts.best_first(), slot=slot)
 
 
 @query
@@ -864,15 +866,15 @@ def _as_double(df):
     return df.withColumn("value", F.col("value").cast("double")).withColumn("total", F.col("total").cast("double"))
 
 
-def _over_rows(spark, sf_dir, slot):
+def _over_rows(spark, sf_dir, slot, block_rows=16):
     aggregates = {"total": F.sum("value"), "frame_rows": F.count("*")}
     order = [F.col("ts").asc(), F.col("event_id").asc()]
-    return _as_double(frames.over_rows(_frame_rows(spark, sf_dir), ["user_id"], order, 2, aggregates, slot, 16))
+    return _as_double(frames.over_rows(_frame_rows(spark, sf_dir), ["user_id"], order, 2, aggregates, slot, block_rows))
 
 
 @query
 def over_rows_frame(spark, sf_dir):
-    return _over_rows(spark, sf_dir, None)
+    return _over_rows(spark, sf_dir, slots_of_time("ts"), block_rows=100_000)
 
 
 @query
