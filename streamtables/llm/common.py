@@ -20,7 +20,19 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NULL_ID = -(2**63)
 
 
+#: Rows that a Python worker gets at once. Texts have no bound, so a worker should hold few of them.
+ROWS_AT_ONCE = 1000
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's rows per Arrow batch to ``ROWS_AT_ONCE`` if it has more."""
+    if not 0 < int(spark.conf.get(_BATCH_ROWS)) <= ROWS_AT_ONCE:
+        spark.conf.set(_BATCH_ROWS, str(ROWS_AT_ONCE))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -44,6 +56,7 @@ def unboxed(columns: list[str]) -> list[Column]:
 
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it from there, so that it is computed once."""
+    bound_batches(df.sparkSession)
     path = f"{run_dir(df.sparkSession, label)}/rows"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
