@@ -18,7 +18,7 @@ import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,10 +28,10 @@ WINDOW = 20
 _M = 0x9E3779B97F4A7C15
 _M_INVERSE = pow(_M, -1, 1 << 64)
 
-# Where a stretch stands is one number: the word at which its first window starts, 16 bits of
+# Where a stretch stands is one number: the word at which its first window starts, 20 bits of
 # the text's hash (to tell apart texts with the same doc_id), the places of anchor and last
 # window behind the first.
-_GEO_BITS, _TIE_BITS = 12, 16
+_GEO_BITS, _TIE_BITS = 12, 20
 _START_SHIFT = _GEO_BITS + _TIE_BITS
 
 
@@ -53,13 +53,22 @@ class _Powers:
 _POWERS = _Powers()
 
 
+def tie_of(raw: bytes) -> int:
+    """Tells texts of one id apart; ``_tie`` is the same in Spark."""
+    return xxhash.xxh64_intdigest(raw, 42) & ((1 << _TIE_BITS) - 1)
+
+
+def _tie() -> Column:
+    return F.xxhash64("_text").bitwiseAND((1 << _TIE_BITS) - 1)
+
+
 class Words:
     """The words of a text with hashes of any of its ranges in constant time."""
 
     def __init__(self, text: str | None):
         self.words = words_of(text)
         digest = xxhash.xxh64_intdigest
-        self.tie = digest((text or "").encode()) & ((1 << _TIE_BITS) - 1)
+        self.tie = tie_of((text or "").encode())
         self.n = len(self.words)
         _POWERS.upto(self.n + 1)
         hashes = np.array([digest(w) for w in self.words], dtype=np.uint64)
@@ -193,8 +202,9 @@ _CANDIDATES = "_id long, _place long, _left long, _right long, _windows binary"
 
 def _candidates(docs: DataFrame, going_on: DataFrame, window: int, base: int) -> DataFrame:
     """The next levels' hashes of the stretches that go on, from their texts."""
-    per_doc = going_on.groupBy("_id").agg(F.collect_list("_place").alias("_places"))
-    texts = _packed(docs).join(per_doc, "_id")
+    tie = F.shiftright("_place", _GEO_BITS).bitwiseAND((1 << _TIE_BITS) - 1).alias("_tie")
+    per_doc = going_on.groupBy("_id", tie).agg(F.collect_list("_place").alias("_places"))
+    texts = _packed(docs).join(per_doc, ["_id", "_tie"]).select("_id", "_packed", "_places")
 
     def step(batch: pa.RecordBatch):
         out: dict[str, list] = {k: [] for k in ("_id", "_place", "_left", "_right", "_windows")}
@@ -226,7 +236,7 @@ def _packed(docs: DataFrame) -> DataFrame:
         tool = zstandard.ZstdCompressor(level=3)
         return pd.Series([tool.compress(t.encode()) for t in text], dtype=object)
 
-    return docs.select("_id", pack("_text").alias("_packed"))
+    return docs.select("_id", _tie().alias("_tie"), pack("_text").alias("_packed"))
 
 
 def _repeated(rows: DataFrame, key: str) -> DataFrame:
@@ -311,10 +321,11 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     ``doc_id`` and text are one document given twice, and get the same result.
     """
     rows = docs.select("doc_id", id_key().alias("_id"), whole_text().alias("_text"))
-    ranges = repeated_ranges(rows, window).groupBy("_id").agg(
-        F.collect_list(F.struct("_tie", "_first", "_until")).alias("_ranges")
+    ranges = repeated_ranges(rows, window).groupBy("_id", "_tie").agg(
+        F.collect_list(F.struct("_first", "_until")).alias("_ranges")
     )
-    joined = _packed(rows).join(ranges, "_id", "left")
+    joined = _packed(rows).join(ranges, ["_id", "_tie"], "left")
+
     def step(batch: pa.RecordBatch):
         out: dict[str, list] = {k: [] for k in ("doc_id", "n_words", "n_removed", "kept_text")}
         unpack = zstandard.ZstdDecompressor()
@@ -323,9 +334,8 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             words, gone = raw.split(), 0
             kept = words
             if found.is_valid and words:
-                tie = xxhash.xxh64_intdigest(raw) & ((1 << _TIE_BITS) - 1)
-                ties, first, until = (x.to_numpy() for x in found.values.flatten())
-                fits = (ties == tie) & (until <= len(words))
+                first, until = (x.to_numpy() for x in found.values.flatten())
+                fits = until <= len(words)
                 edge = np.zeros(len(words) + 1, dtype=np.int64)
                 np.add.at(edge, first[fits], 1)
                 np.add.at(edge, until[fits], -1)
