@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from streamtables.llm import substring_dedup, syncmers
 from tests.llm.fixtures import no_docs, odd_docs, odd_rows, prose
@@ -86,9 +89,101 @@ def test_edited_texts_and_likeness(spark):
     assert next(r for r in got if r.doc_id == 9).near_next > 0.8
 
 
+def _xx(value, seed=42):
+    raw = value.encode() if isinstance(value, str) else (value & (1 << 64) - 1).to_bytes(8, "little")
+    return xxhash.xxh64_intdigest(raw, seed)
+
+
+def _signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _chained(values):
+    seed = 42
+    for v in values:
+        seed = _xx(v, seed)
+    return seed
+
+
+def _all_anchors(text, k=9, s=3):
+    """Closed syncmers by looking at every k-mer on its own."""
+    found = []
+    for i in range(len(text) - k + 1):
+        inner = [_signed(_chained(text[j : j + s])) for j in range(i, i + k - s + 1)]
+        if min(inner[0], inner[-1]) <= min(inner[1:-1]):
+            found.append((i, _chained([inner[j] for j in range(0, k - s + 1, s)]) & 0xFFFFFFFF))
+    return found
+
+
+def _divisor(n):
+    wanted = 32 * math.sqrt(max(1.0, n / 2048))
+    return 1 << int(max(0.0, math.floor(math.log2(max(1.0, n * 2 / 7 / wanted)))))
+
+
+def _print(text):
+    found = [(p, a) for p, a in _all_anchors(text) if a % _divisor(len(text)) == 0]
+    return found or ([(0, _xx(text) & 0xFFFFFFFF)] if text else [])
+
+
+def _alike(a, b, x, y):
+    coarse = max(_divisor(len(a)), _divisor(len(b)))
+
+    def keyed(found):
+        seen, keys = Counter(), {}
+        for p, h in found:
+            if h % coarse == 0:
+                seen[h] += 1
+                keys[h, seen[h]] = p
+        return keys
+
+    one, other = keyed(x), keyed(y)
+    if not one and not other:
+        return 1.0 if x == y else 0.0
+    last, n = -1, 0
+    for _, p in sorted((p, other[k]) for k, p in one.items() if k in other):
+        n, last = n + (p > last), p
+    return n / (len(one) + len(other) - n)
+
+
+def test_fingerprints_and_likeness_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(syncmers, "PART", 700)
+    passage = prose(5, 300)
+    words = passage.split()
+    texts = [passage, " ".join(words[150:] + words[:150]), passage + " " + passage, passage[:400], "short text", "abcdefgh", "é\U0001f600" * 40, "", "x" * 3000, prose(6, 2000), None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in syncmers.fingerprint_pairs(docs).collect()}
+    plain = [t or "" for t in texts]
+    for i, text in enumerate(plain):
+        following = plain[(i + 1) % len(plain)]
+        edited = text[: len(text) - len(text) // 2] + following[: len(text) // 2]
+        written = lambda t: " ".join(f"{a:08x}:{p}" for p, a in _print(t))
+        assert got[i].fingerprint == written(text) and got[i].edited_fingerprint == written(edited)
+        assert got[i].near_edited == pytest.approx(_alike(text, edited, _print(text), _print(edited)))
+        assert got[i].near_next == pytest.approx(_alike(text, following, _print(text), _print(following)))
+    assert got[0].near_next < 1, "the same passages in another order"
+    assert got[1].near_next < 0.6, "a passage and the same passage twice"
+
+
+def test_likeness_estimates_the_common_anchors(spark):
+    """Error of the likeness against all anchors of texts that share a beginning."""
+    errors = []
+    rows = [(n, prose(n, 400, 10**6)) for n in range(40)]
+    for r in syncmers.fingerprint_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        text = rows[r.doc_id][1]
+        one, other = ({a for _, a in _all_anchors(t)} for t in (text, r.edited_text))
+        errors.append(r.near_edited - len(one & other) / len(one | other))
+    assert abs(sum(errors) / len(errors)) < 0.03 and max(map(abs, errors)) < 0.2
+
+
+def test_a_long_text_fits_small_memory(spark):
+    rows = spark.range(2).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words of a long text, "), F.lit(40_000)).alias("text"))
+    first, _ = syncmers.fingerprint_pairs(rows).collect()
+    assert first.n_chars == 1_080_000 and first.near_next == 1.0
+
+
 def test_edited_fingerprint_is_that_of_the_edited_text(spark):
     got = syncmers.fingerprint_pairs(odd_docs(spark)).select("edited_text", "edited_fingerprint")
-    again = got.withColumn("_s", syncmers.sketch("edited_text")).withColumn("again", syncmers.as_text("_s"))
+    again = got.withColumn("_s", syncmers.fingerprint("edited_text")).withColumn("again", syncmers.as_text("_s"))
     assert again.filter("again <> edited_fingerprint").count() == 0
 
 
