@@ -160,3 +160,73 @@ def test_rare_quality_label_is_sampled_in_full(spark):
     model = quality.train(labelled, per_label=100)
     assert model.prior == pytest.approx(900 / 930)
     assert np.mean([model.score(t) for _, t, q in rows if q == 0]) < 0.5 < np.mean([model.score(t) for _, t, q in rows if q == 1])
+
+
+def test_entropy_equals_kneser_ney_by_counting():
+    """Interpolated Kneser-Ney worked out with dictionaries of strings."""
+    import math
+    from collections import Counter, defaultdict
+
+    order, texts = 3, ["abab ca", "abba bac", "baab", "aaba c b", "cab"]
+    models = language_id.build({"x": texts}, order=order)
+    shown = [f" {t} " for t in texts]
+    grams = {n: Counter(t[i : i + n] for t in shown for i in range(len(t) - n + 1)) for n in range(1, order + 1)}
+    alphabet = 1 + len(grams[1])
+    p, backoff = {0: {"": 1.0 / alphabet}}, {}
+    for n in range(1, order + 1):
+        if n == order:
+            count = dict(grams[n])
+        else:
+            before = Counter(g[1:] for g in grams[n + 1])
+            count = {g: before.get(g, 1) for g in grams[n]}
+        once, twice = (sum(c == k for c in count.values()) for k in (1, 2))
+        discount = min(0.9, max(0.1, once / (once + 2 * twice))) if once else 0.5
+        total, kinds = defaultdict(int), defaultdict(int)
+        for g, c in count.items():
+            total[g[:-1]] += c
+            kinds[g[:-1]] += 1
+        backoff[n] = {c: discount * kinds[c] / total[c] for c in total}
+        lower = (lambda g: 1.0 / alphabet) if n == 1 else (lambda g, n=n: p[n - 1][g[1:]])
+        p[n] = {g: max(c - discount, 0) / total[g[:-1]] + backoff[n][g[:-1]] * lower(g) for g, c in count.items()}
+
+    def log_p(gram):
+        n = len(gram)
+        if n == 0:
+            return math.log(1.0 / (alphabet + 1000))
+        if gram in p[n]:
+            return math.log(p[n][gram])
+        return log_p(gram[1:]) + math.log(backoff[n].get(gram[:-1], 1.0))
+
+    for text in [*texts, "cc bb aa", "abcabc", "zz a", "b"]:
+        shown_text = f" {text} "
+        scored = [log_p(shown_text[max(0, i - order + 1) : i + 1]) for i in range(1, len(shown_text))]
+        entropy, count = models.entropy(text)
+        assert count == len(scored) and entropy[0] == pytest.approx(-sum(scored) / len(scored), abs=1e-9), text
+
+
+def test_quality_fit_solves_its_equations():
+    """Sizes are those of plain zstandard; the weighted likelihood has no slope left."""
+    import zstandard
+
+    rng = random.Random(8)
+    good = [_text(rng, "aa", 40) for _ in range(30)]
+    bad = [_text(rng, "bb", 40) for _ in range(20)]
+    model = quality.fit(good, bad, share=0.9)
+    rows, labels = [], []
+    for text, label in [(t, 1) for t in good[1::2]] + [(t, 0) for t in bad[1::2]]:
+        sizes = []
+        for content in (model.good, model.bad):
+            held = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            tool = zstandard.ZstdCompressor(level=model.level, dict_data=held, write_content_size=False, write_dict_id=False)
+            sizes.append(len(tool.compress(text.encode())))
+        difference = sizes[1] - sizes[0]
+        rows.append([difference / len(text.encode()), difference / sum(sizes)])
+        labels.append(label)
+    x, y = np.array(rows), np.array(labels)
+    z = np.clip((x - x.mean(axis=0)) / (x.std(axis=0) + 1e-6), -6, 6)
+    a = np.hstack([np.ones((len(z), 1)), z])
+    w = np.array(model.weights)
+    p = 1 / (1 + np.exp(-(a @ w)))
+    weight = np.where(y == 1, 0.9 / y.mean(), 0.1 / (1 - y.mean()))
+    assert np.abs(a.T @ (weight * (y - p)) - 0.1 * w).max() < 1e-6
+    assert [model.score(t) for t in good[1::2]] == pytest.approx(p[: len(good[1::2])].tolist(), abs=1e-6)
