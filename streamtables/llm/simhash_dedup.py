@@ -9,7 +9,7 @@ segment. Fingerprints that share a key are compared; links become connected comp
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,9 +43,9 @@ def simhash(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def _fingerprint(text: str, shingle: int) -> Column:
-    @F.pandas_udf(T.LongType())
-    def fingerprint(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([simhash(t, shingle) for t in texts], dtype=np.uint64).view(np.int64))
+    @F.arrow_udf(T.LongType())
+    def fingerprint(texts: pa.Array) -> pa.Array:
+        return pa.array(np.array([simhash(t.as_py(), shingle) for t in texts], dtype=np.uint64).view(np.int64))
 
     return fingerprint(text)
 
