@@ -7,18 +7,19 @@ from pyspark.sql import functions as F
 
 from streamtables.functions.times import time_slot
 
-_SALT = "_salt"
+#: Column that numbers the parts of a spread key.
+SALT = "_salt"
 
 
-def _spread(left: DataFrame, right: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
+def spread(left: DataFrame, right: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
     """Give every left row one of ``parts`` numbers and every right row all of them.
 
     The number comes from the row and its input partition: a re-run task repeats it, and exact
     copies of a row in different partitions are spread too.
     """
     number = F.pmod(F.xxhash64(*left.columns, F.spark_partition_id()), F.lit(parts))
-    left = left.withColumn(_SALT, number.cast("int"))
-    right = right.withColumn(_SALT, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    left = left.withColumn(SALT, number.cast("int"))
+    right = right.withColumn(SALT, F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     return left, right
 
 
@@ -49,10 +50,10 @@ def enrich(
         return facts.join(dimension, condition, how)
     if how in ("right", "right_outer", "full", "full_outer"):
         raise ValueError("salting copies dimension rows, so it cannot preserve unmatched ones")
-    left, right = _spread(facts, dimension.withColumnRenamed(dimension_key, "_dim_key"), salt)
-    right = right.withColumnRenamed(_SALT, "_dim_salt")
-    joined = left.join(right, (F.col(fact_key) == F.col("_dim_key")) & (F.col(_SALT) == F.col("_dim_salt")), how)
-    joined = joined.drop(_SALT, "_dim_salt")
+    left, right = spread(facts, dimension.withColumnRenamed(dimension_key, "_dim_key"), salt)
+    right = right.withColumnRenamed(SALT, "_dim_salt")
+    joined = left.join(right, (F.col(fact_key) == F.col("_dim_key")) & (F.col(SALT) == F.col("_dim_salt")), how)
+    joined = joined.drop(SALT, "_dim_salt")
     if how in ("left_semi", "left_anti"):
         return joined
     return joined.withColumnRenamed("_dim_key", dimension_key)

@@ -7,7 +7,7 @@ that was worked on, since Spark drops it as late, so over closed time the result
 the batch operator. Rows whose time is too old to matter leave the carried state, by a timer if no
 further row of the key arrives, so state follows the rate of the stream and not its age.
 
-A key's rows are one task's. Times of the payload travel as numbers of microseconds.
+A key's open rows are one task's; joins can spread a hot key (``salt``). Times of the payload travel as numbers of microseconds.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor
 
+from streamtables.operators.joins import SALT, spread
+
 _MICROS = 1_000_000
 #: A row in state: time in microseconds, side, tie-break and payload follow each other.
 Entry = tuple
@@ -169,16 +171,22 @@ def as_of_join_live(
     fact_order: list[str],
     version_order: list[str] | None = None,
     how: str = "inner",
+    salt: int = 1,
 ) -> DataFrame:
     """Each fact with the version of its key that was valid at the fact's time, once the watermark has passed it.
 
     The live form of ``as_of_join``, with its columns. Both streams have a watermark on their time;
     the slower one decides. State holds the facts and versions the watermark has not passed and
-    one version for each key.
+    one version for each key. ``salt`` > 1 spreads the facts of a hot key over that many state
+    partitions, each of which gets all versions.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
     versions = versions.dropna(subset=by)  # a missing key equals nothing
+    if salt > 1:
+        facts, versions = spread(facts, versions, salt)
+        times = (fact_time, version_time)
+        return as_of_join_live(facts, versions, [*by, SALT], *times, fact_order, version_order, how).drop(SALT)
     line, state, ordered, one, other = _two_sides(
         facts, versions, by, (fact_time, version_time), (fact_order, version_order or []), right_first=True
     )
@@ -202,13 +210,17 @@ def as_of_join_live(
 
 
 def join_within(
-    left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, keep_seconds: float
+    left: DataFrame, right: DataFrame, by: list[str], left_time: str, right_time: str, keep_seconds: float, salt: int = 1
 ) -> DataFrame:
     """Pairs with equal ``by`` whose times are at most ``keep_seconds`` apart, in either direction.
 
     The bounded form of a join of two streams: a row leaves state ``keep_seconds`` after its time, by a timer.
-    The result is that of a batch join under the same bound; a null key equals nothing.
+    The result is that of a batch join under the same bound; a null key equals nothing. ``salt`` > 1
+    spreads the left rows of a hot key over that many state partitions, each with all right rows.
     """
+    if salt > 1:
+        left, right = spread(left, right, salt)
+        return join_within(left, right, [*by, SALT], left_time, right_time, keep_seconds).drop(SALT)
     keep = int(keep_seconds * _MICROS)
     left, right = left.dropna(subset=by), right.dropna(subset=by)
     line, state, ordered, one, other = _two_sides(left, right, by, (left_time, right_time), ([], []), right_first=False)

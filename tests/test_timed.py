@@ -77,8 +77,8 @@ def versions(rows):
 
 @pytest.mark.parametrize("how", ["left"])
 def test_as_of_join_equals_batch(spark, tmp_path, how):
-    join = lambda f, rows: f(facts(rows), versions(rows), ["k"], "at", "since", ["id"], ["version"], how)
-    steps = Steps(spark, tmp_path, lambda s: join(timed.as_of_join_live, s))
+    join = lambda f, rows, **extra: f(facts(rows), versions(rows), ["k"], "at", "since", ["id"], ["version"], how, **extra)
+    steps = Steps(spark, tmp_path, lambda s: join(timed.as_of_join_live, s, salt=2))
     theirs = closed(join(as_of_join, stored(spark).filter("at is not null")))
     assert theirs.count() > 50
     same(steps.out(), theirs)

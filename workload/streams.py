@@ -18,7 +18,8 @@ MIN_DURATION = 30.0
 WINDOW = "1 day"
 TOP = 3
 
-#: How much a live scan takes into one micro-batch, so that a stored table is many batches.
+#: How much a live scan takes into one micro-batch. A table's files are in no order of time, so up to this size
+#: it is one batch; ``EventFeed`` brings the events in several.
 LIVE_RATE = {"maxBytesPerTrigger": str(100 << 30)}
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
