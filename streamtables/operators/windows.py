@@ -71,9 +71,14 @@ def cumulate_count(
 
     Steps are counted once, then each step's count is added to the windows that contain it.
     """
+    return _cumulated(df, time, max_seconds, step_seconds, by, F.count("*"), name)
+
+
+def _cumulated(df: DataFrame, time: str, max_seconds: int, step_seconds: int, by: list[str], counted: Column, name: str) -> DataFrame:
+    """A count per cumulating window and group, added up from the counts of the steps."""
     if max_seconds % step_seconds:
         raise ValueError("the maximum size must be a multiple of the step")
-    steps = tumble_count(df, time, f"{step_seconds} seconds", by, "_step")
+    steps = tumble_aggregate(df, time, f"{step_seconds} seconds", by, counted.alias("_step"))
     n = max_seconds // step_seconds
     outer = F.window("window_start", f"{max_seconds} seconds")
     position = ((F.col("window_end").cast("timestamp").cast("long") - F.col("_outer.start").cast("timestamp").cast("long")) / step_seconds).cast("int")
@@ -138,6 +143,15 @@ def grouping_sets(df: DataFrame, kind: str, by: list[str], *aggregates: Column)
     return getattr(df, kind)(*by).agg(*aggregates)
 
 
+def cumulate_count_distinct(
+    df: DataFrame, time: str, max_seconds: int, step_seconds: int, by: list[str], value: str, name: str
+) -> DataFrame:
+    """COUNT(DISTINCT value) per cumulating window and group: a value counts from its first time in the longest window."""
+    longest = F.window(time, f"{max_seconds} seconds").alias("_longest")
+    first = df.groupBy(longest, *by, F.col(value).alias("_value")).agg(F.min(time).alias("_first"))
+    return _cumulated(first, "_first", max_seconds, step_seconds, by, F.count("_value"), name)
+
+
 #: Logarithm of the number of registers of a distinct sketch; the standard error is 1.04 / sqrt(2**12), 1.6 %.
 SKETCH_BITS = 12
 

@@ -142,3 +142,44 @@ def test_a_ranking_over_window_counts_is_parted():
     assert query.live_sql.startswith("INSERT INTO [[STREAM:x]] SELECT window_start") and query.closed == rest
     by_hand = Query(f"INSERT INTO [[STREAM:x]] {RANKED}", closed="SELECT 1")
     assert by_hand.for_live() is by_hand
+
+
+def users_by_window(rows, spans):
+    """Sets of users (null is none) of every window (start, end) that has a row, by brute force."""
+    found = {}
+    for at, k, user in rows:
+        for span in spans(at):
+            found.setdefault((*span, k), set()).update(set() if user is None else {user})
+    return sorted(repr((*span, len(users))) for span, users in found.items())
+
+
+#: More users than a sketch holds one by one, some of them missing, one group without any.
+MANY = [[(at, k, None if u % 40 == 0 else u * 1000 + n) for at, k, u in rows_of(b, 1500) for n in range(2)] for b in range(4)]
+MANY[1] += [(T0 + dt.timedelta(seconds=700), "nobody", None)]
+
+
+def steps(at):
+    start = T0 + dt.timedelta(seconds=(at - T0).total_seconds() // 600 * 600)
+    ends = [start + dt.timedelta(seconds=200 * i) for i in range(1, 4)]
+    return [(start, e) for e in ends if e > at]
+
+
+def test_distinct_counts_of_cumulating_windows_are_exact(spark):
+    rows = [r for b in MANY for r in b]
+    ours = windows.cumulate_count_distinct(spark.createDataFrame(rows, SCHEMA).repartition(5), "at", 600, 200, ["k"], "user", "n")
+    assert sorted(repr(tuple(r)) for r in ours.collect()) == users_by_window(rows, steps)
+
+
+@pytest.mark.parametrize("name", ["cumulate_distinct_users"])
+def test_distinct_users_of_a_large_table_match_the_sql(spark, sf_dir, tmp_path, name):
+    """So many users a window that a sketch does not count them exactly."""
+    from __spark_entry__ import oracle_sql, queries
+    from tests.compare import connect, difference
+
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet")
+    copies = rows.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(300))))
+    shifted = {c: F.col(c) + F.col("_copy") * F.lit(1_000_000).cast("long") for c in ("event_id", "user_id")}
+    copies.withColumns(shifted).drop("_copy").write.parquet(f"{tmp_path}/events.parquet")
+    connection = connect(sf_dir)
+    connection.execute(f"CREATE OR REPLACE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert difference(queries()[name](spark, str(tmp_path)), connection, oracle_sql()[name]) is None
