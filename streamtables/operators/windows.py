@@ -143,6 +143,29 @@ def grouping_sets(df: DataFrame, kind: str, by: list[str], *aggregates: Column)
     return getattr(df, kind)(*by).agg(*aggregates)
 
 
+def hop_count_distinct(
+    df: DataFrame, time: str, size_seconds: int, slide_seconds: int, by: list[str], value: str, name: str
+) -> DataFrame:
+    """COUNT(DISTINCT value) per hopping window and group.
+
+    Values are made unique in each pane as long as the slide. A value counts where its pane opens
+    windows that the value's pane before is not in, so it is sent on at most once a pane and counted
+    in the map tasks.
+    """
+    if size_seconds % slide_seconds:
+        raise ValueError("the window size must be a multiple of the slide")
+    pane = F.window(time, f"{slide_seconds} seconds")["start"]
+    panes = df.select(pane.alias("_pane"), *by, F.col(value).alias("_value")).distinct()
+    before = F.lag("_pane").over(Window.partitionBy(*by, "_value").orderBy("_pane"))
+    starts = F.array(*[_seconds(F.col("_pane"), -slide_seconds * i) for i in range(size_seconds // slide_seconds)])
+    opened = panes.withColumn("_before", before).withColumn("_starts", starts)
+    opened = opened.withColumn(
+        "window_start", F.explode(F.filter("_starts", lambda s: F.col("_before").isNull() | (s > F.col("_before"))))
+    )
+    end = _seconds(F.col("window_start"), size_seconds).alias("window_end")
+    return opened.groupBy("window_start", end, *by).agg(F.count("_value").alias(name))
+
+
 def cumulate_count_distinct(
     df: DataFrame, time: str, max_seconds: int, step_seconds: int, by: list[str], value: str, name: str
 ) -> DataFrame:

@@ -158,6 +158,12 @@ MANY = [[(at, k, None if u % 40 == 0 else u * 1000 + n) for at, k, u in rows_of(
 MANY[1] += [(T0 + dt.timedelta(seconds=700), "nobody", None)]
 
 
+def hops(at):
+    first = T0 + dt.timedelta(seconds=(at - T0).total_seconds() // 200 * 200)
+    starts = [first - dt.timedelta(seconds=200 * i) for i in range(3)]
+    return [(s, s + dt.timedelta(seconds=600)) for s in starts]
+
+
 def steps(at):
     start = T0 + dt.timedelta(seconds=(at - T0).total_seconds() // 600 * 600)
     ends = [start + dt.timedelta(seconds=200 * i) for i in range(1, 4)]
@@ -170,7 +176,13 @@ def test_distinct_counts_of_cumulating_windows_are_exact(spark):
     assert sorted(repr(tuple(r)) for r in ours.collect()) == users_by_window(rows, steps)
 
 
-@pytest.mark.parametrize("name", ["cumulate_distinct_users"])
+def test_distinct_counts_of_hopping_windows_are_exact(spark):
+    rows = [r for b in MANY for r in b]
+    ours = windows.hop_count_distinct(spark.createDataFrame(rows, SCHEMA).repartition(5), "at", 600, 200, ["k"], "user", "n")
+    assert sorted(repr(tuple(r)) for r in ours.collect()) == users_by_window(rows, hops)
+
+
+@pytest.mark.parametrize("name", ["cumulate_distinct_users", "hop_distinct_users"])
 def test_distinct_users_of_a_large_table_match_the_sql(spark, sf_dir, tmp_path, name):
     """So many users a window that a sketch does not count them exactly."""
     from __spark_entry__ import oracle_sql, queries
