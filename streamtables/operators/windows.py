@@ -146,14 +146,19 @@ def grouping_sets(df: DataFrame, kind: str, by: list[str], *aggregates: Column)
 def hop_count_distinct(
     df: DataFrame, time: str, size_seconds: int, slide_seconds: int, by: list[str], value: str, name: str
 ) -> DataFrame:
-    """COUNT(DISTINCT value) per hopping window and group.
+    """COUNT(DISTINCT value) per hopping window and group; works on a stream too.
 
-    Values are made unique in each pane as long as the slide. A value counts where its pane opens
-    windows that the value's pane before is not in, so it is sent on at most once a pane and counted
-    in the map tasks.
+    A batch makes values unique in each pane as long as the slide. A value counts where its pane
+    opens windows that the value's pane before is not in, so it is sent on at most once a pane and
+    counted in the map tasks. A stream, in which nothing can be looked up behind, makes values unique in
+    each window and counts them by a second aggregation; state holds each value once a window.
     """
     if size_seconds % slide_seconds:
         raise ValueError("the window size must be a multiple of the slide")
+    if df.isStreaming:
+        window = F.window(time, f"{size_seconds} seconds", f"{slide_seconds} seconds").alias("window")
+        unique = df.groupBy(window, *by, F.col(value).alias("_value")).agg(F.lit(1).alias("_one"))
+        return flatten_window(unique.groupBy("window", *by).agg(F.count("_value").alias(name)))
     pane = F.window(time, f"{slide_seconds} seconds")["start"]
     panes = df.select(pane.alias("_pane"), *by, F.col(value).alias("_value")).distinct()
     before = F.lag("_pane").over(Window.partitionBy(*by, "_value").orderBy("_pane"))

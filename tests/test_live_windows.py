@@ -182,7 +182,15 @@ def test_distinct_counts_of_hopping_windows_are_exact(spark):
     assert sorted(repr(tuple(r)) for r in ours.collect()) == users_by_window(rows, hops)
 
 
-@pytest.mark.parametrize("name", ["cumulate_distinct_users", "hop_distinct_users"])
+def test_live_distinct_counts_of_hopping_windows_are_exact(spark, tmp_path):
+    rows = [r for b in MANY for r in b]
+    live = replayed(spark, tmp_path, lambda s: windows.hop_count_distinct(s, "at", 600, 200, ["k"], "user", "n"), MANY)
+    last = max(r[0] for r in rows) - dt.timedelta(seconds=600)
+    passed = lambda at: [w for w in hops(at) if w[1] <= last]
+    assert sorted(repr(tuple(r)) for r in live.collect()) == users_by_window(rows, passed) and live.count() > 20
+
+
+@pytest.mark.parametrize("name", ["cumulate_distinct_users", "hop_distinct_users", "stream_hop_distinct"])
 def test_distinct_users_of_a_large_table_match_the_sql(spark, sf_dir, tmp_path, name):
     """So many users a window that a sketch does not count them exactly."""
     from __spark_entry__ import oracle_sql, queries
