@@ -97,9 +97,10 @@ class ClosedRows:
             if before:
                 rows = rows.unionByName(read_numbered(spark, self._carried, before[-1:]))
             write_numbered(self.carry(rows), self._carried, number)
-        result = self.operator(rows)
-        new = result if passed is None else result.filter(_micros(self.result_time) > passed)
-        write_numbered(new, self._results, number)
+        result, of = self.operator(rows), _micros(self.result_time)
+        # A window may end in time that is not closed yet.
+        result = result.filter(of <= now) if now is not None else result.filter(F.lit(False))
+        write_numbered(result if passed is None else result.filter(of > passed), self._results, number)
         state = spark.createDataFrame([(latest, found["highest"])], "latest array<long>, highest long")
         write_numbered(state.coalesce(1), self._times, number)
         for n in old:

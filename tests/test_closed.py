@@ -6,7 +6,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from streamtables.operators import frames, versions
+from streamtables.operators import frames, versions, windows
 from streamtables.operators.ordered import slots_of_time
 from streamtables.operators.ranking import top_k
 from streamtables.session import run_dir
@@ -60,6 +60,15 @@ def test_closed_time_equals_batch(spark, tmp_path, operator, options):
     same(ours, theirs)
 
 
+def test_windows_come_once_they_are_closed(spark, tmp_path):
+    hop = lambda rows: windows.hop_count_distinct(rows, "at", 20, 5, ["k"], "id", "n")
+    target = ClosedRows(f"{tmp_path}/out", "at", DELAY, hop, F.col("window_end"), reach_seconds=20)
+    ours = replayed(spark, tmp_path, target, twice=1)
+    theirs = closed(hop(stored(spark).filter("at is not null")), "window_end")
+    assert theirs.count() > 50
+    same(ours, theirs)
+
+
 def test_the_slower_side_decides_and_late_rows_are_dropped(spark, tmp_path):
     row = lambda i, s, kind: (i, T0 + dt.timedelta(seconds=s), "k", kind, None)
     batches = [[row(1, 0, "f"), row(2, 500, "f")], [row(3, 100, "v")], [row(4, 40, "f"), row(5, 41, "f"), row(6, 300, "v")], []]
@@ -82,7 +91,7 @@ def test_rows_behind_the_reach_are_removed(spark, tmp_path):
     assert target.read(spark).count() == 7 * DELAY
 
 
-@pytest.mark.parametrize("name", ["stream_over_range", "stream_over_rows", "stream_join_within", "stream_as_of_join"])
+@pytest.mark.parametrize("name", ["stream_over_range", "stream_over_rows", "stream_join_within", "stream_as_of_join", "stream_hop_distinct"])
 def test_queries_hold_no_rows_in_python_state(spark, sf_dir, tmp_path, monkeypatch, name):
     """Rows one by one through Python took most of the time of these queries."""
     from workload import queries
