@@ -6,6 +6,10 @@ with zeros. Additions are exact, and as integers wrap at 64 bits the recursion c
 score that fits. Each tile keeps a few best rows for each anchor, and what tiles keep is merged: first
 the positives, which set a window of scores for each pair of anchor and positive, then the best
 negatives of each window.
+
+A task holds a group of candidate blocks and takes the anchor blocks one after the other. Blocks
+reach it by one shuffle, in which candidates travel once and anchors once for each group; no block
+is broadcast, so none passes through the driver.
 """
 
 from __future__ import annotations
@@ -25,6 +29,8 @@ from streamtables.operators.ranking import top_k
 
 #: Rows in a block of anchors and in one of candidates.
 ANCHORS, CANDIDATES = 512, 2048
+#: Blocks of candidates that a task holds: at least, where there are shuffle partitions to spare, and at most.
+LEAST, MOST = 4, 16
 #: Halves of no more rows or columns than this are multiplied directly.
 LEAF = 32
 _EXACT_DOUBLES, _LONGS = 1 << 53, 1 << 63
@@ -66,7 +72,17 @@ class Block:
 
     def __init__(self, n: int, width: int, ids: bytes, labels: bytes, values: bytes):
         self.ids, self.labels = np.frombuffer(ids, "<i8"), np.frombuffer(labels, "<i8")
-        self.values = np.frombuffer(values, "<i8").reshape(n, width)
+        self._values = np.frombuffer(values, f"<i{len(values) // (n * width) if n * width else 8}").reshape(n, width)
+
+    @property
+    def values(self) -> np.ndarray:
+        return self._values.astype(np.int64)
+
+
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """The same integers in as few bytes each as hold all of them."""
+    low, high = values.min(initial=0), values.max(initial=0)
+    return values.astype(next(t for t in ("<i1", "<i2", "<i4", "<i8") if np.iinfo(t).min <= low and high <= np.iinfo(t).max))
 
 
 def _packed(ids: list, labels: list, vectors: list) -> tuple:
@@ -76,14 +92,14 @@ def _packed(ids: list, labels: list, vectors: list) -> tuple:
         row[: len(vector)] = vector
     ids, labels = np.array(ids, dtype="<i8"), np.array(labels, dtype="<i8")
     order = np.lexsort((ids, labels))
-    return len(ids), width, ids[order].tobytes(), labels[order].tobytes(), values[order].tobytes()
+    return len(ids), width, ids[order].tobytes(), labels[order].tobytes(), _narrow(values[order]).tobytes()
 
 
-_BLOCK = "{p}block int, {p}n int, {p}width int, {p}ids binary, {p}labels binary, {p}values binary"
+_BLOCK = "block int, n int, width int, ids binary, labels binary, values binary"
 _FIELDS = ("n", "width", "ids", "labels", "values")
 
 
-def _blocks(rows: DataFrame, size: int, prefix: str, label: str) -> tuple[DataFrame, int]:
+def _blocks(rows: DataFrame, size: int, label: str) -> tuple[DataFrame, int]:
     """Rows (``vec_id``, ``label``, ``vector``) dealt evenly to blocks of ``size``, and how many there are."""
     n = max(1, math.ceil(rows.count() / size))
 
@@ -96,10 +112,9 @@ def _blocks(rows: DataFrame, size: int, prefix: str, label: str) -> tuple[DataFr
         if ids:
             row = (TaskContext.get().partitionId(), *_packed(ids, labels, vectors))
             types = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-            names = [f"{prefix}{c}" for c in ("block", *_FIELDS)]
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=["block", *_FIELDS])
 
-    return settle(rows.repartition(n).mapInArrow(run, _BLOCK.format(p=prefix)), label), n
+    return settle(rows.repartition(n).mapInArrow(run, _BLOCK), label), n
 
 
 def _scores(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,23 +151,40 @@ def _first(scores: np.ndarray, allowed: np.ndarray, ids: np.ndarray, most: int)
     return row[place < most], column[place < most]
 
 
-def _tiles(anchors: DataFrame, candidates: DataFrame, n: int, schema: str, step: Callable[..., list[tuple]], *extra: str) -> DataFrame:
-    """``step`` of every tile: each block of anchors with each of the ``n`` blocks of candidates."""
-    dealt = anchors.withColumn("c_block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+def _tiles(
+    anchors: DataFrame, candidates: DataFrame, n: int, schema: str, step: Callable[..., list[tuple]], most: int, *extra: str
+) -> DataFrame:
+    """``step`` of every tile: each block of anchors with each of the ``n`` blocks of candidates.
+
+    Of what the tiles of a block of anchors and a group of candidates find, the first ``most`` rows
+    for each pair of the first two columns of ``schema`` stay.
+    """
+    spare = int(anchors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = max(math.ceil(n / MOST), min(spare, math.ceil(n / LEAST)))
+    nothing = [F.lit(None).cast(anchors.schema[c].dataType).alias(c) for c in extra]
+    held = candidates.select((F.col("block") % groups).alias("group"), F.lit(False).alias("asks"), "block", *_FIELDS, *nothing)
+    asking = anchors.select(
+        F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.lit(True).alias("asks"), "block", *_FIELDS, *extra
+    )
+    # The candidates of a group come first.
+    dealt = held.unionByName(asking).repartitionById(groups, "group").sortWithinPartitions("group", "asks", "block")
     arrow = T.StructType.fromDDL(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, blocks = None, []
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
-                sides = [Block(*(row[f"{p}{c}"] for c in _FIELDS)) for p in ("a_", "c_")]
-                columns = step(row["a_block"], *sides, *(row[c] for c in extra))
+                block = Block(*(row[c] for c in _FIELDS))
+                if row["group"] != group:
+                    group, blocks = row["group"], []
+                if not row["asks"]:
+                    blocks.append(block)
+                    continue
+                columns = _merged([step(row["block"], block, c, *(row[c] for c in extra)) for c in blocks], most)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=arrow.names)
 
-    tile = dealt.join(candidates, "c_block").select(
-        "a_block", *[f"{p}{c}" for p in ("a_", "c_") for c in _FIELDS], *extra
-    )
-    return tile.mapInArrow(run, schema)
+    return dealt.mapInArrow(run, schema)
 
 
 def _joined(parts: list[tuple], width: int) -> list[np.ndarray]:
@@ -161,6 +193,17 @@ def _joined(parts: list[tuple], width: int) -> list[np.ndarray]:
     return [np.concatenate([np.asarray(x, dtype=np.int64) for x in column]) for column in zip(*parts, strict=True)]
 
 
+def _merged(parts: list[list[np.ndarray]], most: int) -> list[np.ndarray]:
+    """The ``most`` highest scores, of equal ones the smallest ids, for each pair of the first two of four columns; id and score are the others."""
+    first, second, ids, scores = _joined(parts, 4)
+    order = np.lexsort((ids, ~scores, second, first))
+    first, second = first[order], second[order]
+    opens = np.ones(len(order), dtype=bool)
+    opens[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+    kept = np.arange(len(order)) - np.flatnonzero(opens)[np.cumsum(opens) - 1] < most
+    return [first[kept], second[kept], ids[order][kept], scores[order][kept]]
+
+
 _ROW_BITS = 20
 
 
@@ -182,7 +225,7 @@ def positives(anchors: DataFrame, candidates: DataFrame, n: int, most: int) -> D
         return _joined(parts, 4)
 
     schema = "anchor long, anchor_id long, positive_id long, positive_score long"
-    found = _tiles(anchors, candidates, n, schema, step)
+    found = _tiles(anchors, candidates, n, schema, step, most)
     return top_k(found, ["anchor"], [F.col("positive_score").desc(), F.col("positive_id").asc()], most, "place")
 
 
@@ -190,9 +233,9 @@ def negatives(anchors: DataFrame, wanted: DataFrame, candidates: DataFrame, n: i
     """(``anchor``, ``place``, ``rank``, ``negative_id``, ``negative_score``): the first rows of other labels in each window."""
     low, high = window
     entry = F.struct(F.col("anchor").alias("a"), F.col("place").alias("p"), F.col("positive_score").alias("s"))
-    block = F.shiftright("anchor", _ROW_BITS).cast("int").alias("a_block")
-    # A block has no more pairs than anchors times positives.
-    asked = anchors.join(wanted.groupBy(block).agg(F.collect_list(entry).alias("pairs")), "a_block")
+    block = F.shiftright("anchor", _ROW_BITS).cast("int").alias("block")
+    # A block has no more pairs than anchors times positives. Blocks can be far larger than their files, so they are not to be broadcast.
+    asked = anchors.hint("merge").join(wanted.groupBy(block).agg(F.collect_list(entry).alias("pairs")), "block")
 
     def step(_: int, a: Block, c: Block, pairs: list[dict]) -> list[np.ndarray]:
         scores, fits = _scores(a.values, c.values)
@@ -211,7 +254,7 @@ def negatives(anchors: DataFrame, wanted: DataFrame, candidates: DataFrame, n: i
             parts.append((anchor[found], np.full(len(found), place), c.ids[column], own[found, column]))
         return _joined(parts, 4)
 
-    found = _tiles(asked, candidates, n, "anchor long, place long, negative_id long, negative_score long", step, "pairs")
+    found = _tiles(asked, candidates, n, "anchor long, place long, negative_id long, negative_score long", step, most, "pairs")
     return top_k(found, ["anchor", "place"], [F.col("negative_score").desc(), F.col("negative_id").asc()], most, "rank")
 
 
@@ -244,11 +287,11 @@ def mine(
     results of their own.
     """
     columns = [F.coalesce(F.col("vec_id").cast("long"), F.lit(NULL_ID)).alias("vec_id"), F.col("label").cast("long"), "vector"]
-    a_blocks, _ = _blocks(anchors.select(*columns), ANCHORS, "a_", "anchor-blocks")
-    c_blocks, n = _blocks(rows.select(*columns), CANDIDATES, "c_", "candidate-blocks")
+    a_blocks, _ = _blocks(anchors.select(*columns), ANCHORS, "anchor-blocks")
+    c_blocks, n = _blocks(rows.select(*columns), CANDIDATES, "candidate-blocks")
     pairs = settle(positives(a_blocks, c_blocks, n, n_positives), "positives")
     found = negatives(a_blocks, pairs, c_blocks, n, n_negatives, window)
-    return found.join(pairs, ["anchor", "place"]).select(
+    return found.join(pairs.hint("merge"), ["anchor", "place"]).select(
         F.nullif("anchor_id", F.lit(NULL_ID)).alias("anchor_id"),
         F.nullif("positive_id", F.lit(NULL_ID)).alias("positive_id"),
         F.col("rank").cast("int"),

@@ -61,6 +61,36 @@ def test_mining_equals_brute_force_over_many_blocks(spark, monkeypatch):
     assert sorted(map(tuple, few.collect())) == _expected(rows, [r for r in rows if r[0] == 20], 2, 1, 0, 60)
 
 
+def test_mining_equals_brute_force_over_many_groups(spark, monkeypatch):
+    for name, value in (("ANCHORS", 7), ("CANDIDATES", 20), ("LEAST", 1), ("MOST", 2)):
+        monkeypatch.setattr(H, name, value)
+    rows = _rows(4, 200)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    expected = _expected(rows, [r for r in rows if r[0] % 10 == 0])
+    assert len(expected) > 100 and sorted(map(tuple, H.mine(df, df.filter("vec_id % 10 = 0")).collect())) == expected
+
+
+def test_no_blocks_pass_through_the_driver(spark):
+    """Blocks are far larger than their compressed files, by which joins would choose to broadcast them."""
+    df = spark.createDataFrame(_rows(5, 60), SCHEMA)
+    plan = H.mine(df, df.filter("vec_id % 10 = 0"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and "Broadcast" not in plan
+
+
+def test_tiles_keep_the_first_of_a_group():
+    low = -(1 << 63)
+    parts = [[np.array(c) for c in ([1, 1, 1], [0, 0, 2], [9, 4, 3], [5, low, 7])], [np.array(c) for c in ([1, 1], [0, 0], [2, 1], [5, 6])]]
+    assert [c.tolist() for c in H._merged(parts, 2)] == [[1, 1, 1], [0, 0, 2], [1, 2, 3], [6, 5, 7]]
+    assert [len(c) for c in H._merged([], 2)] == [0] * 4
+
+
+@pytest.mark.parametrize("top", [0, 127, 128, 32768, 1 << 31, 1 << 62])
+def test_blocks_keep_every_integer(top):
+    packed = H._packed([2, 1], [0, 0], [np.array([top, -top]), np.array([-top - 1])])
+    block = H.Block(*packed)
+    assert block.ids.tolist() == [1, 2] and block.values.tolist() == [[-top - 1, 0], [top, -top]]
+
+
 def test_large_scores_are_exact(spark):
     rows = [(i, i % 2, [(1 << 30) + i, 3 - i]) for i in range(30)]
     df = spark.createDataFrame(rows, SCHEMA)
