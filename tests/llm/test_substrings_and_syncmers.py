@@ -9,6 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from streamtables.llm import substring_dedup, syncmers
+from streamtables.llm.queries import QUERIES
 from tests.llm.fixtures import no_docs, odd_docs, odd_rows, prose
 
 
@@ -164,6 +165,50 @@ def test_fingerprints_and_likeness_equal_brute_force(spark, monkeypatch):
     assert got[1].near_next < 0.6, "a passage and the same passage twice"
 
 
+def _alike_by_all(a, b):
+    def keyed(found):
+        seen, keys = Counter(), {}
+        for p, h in found:
+            seen[h] += 1
+            keys[h, seen[h]] = p
+        return keys
+
+    one, other = keyed(a), keyed(b)
+    last, n = -1, 0
+    for _, p in sorted((p, other[k]) for k, p in one.items() if k in other):
+        n, last = n + (p > last), p
+    return n / (len(one) + len(other) - n)
+
+
+def test_whole_fingerprints_have_every_anchor_and_exact_likeness(spark, tmp_path, monkeypatch):
+    """What op4 returns: all closed syncmers, not a share of them."""
+    monkeypatch.setattr(syncmers, "PART", 700)
+    passage = prose(5, 300)
+    words = passage.split()
+    texts = [passage, " ".join(words[150:] + words[:150]), f"{passage} {passage}", passage[:400], "short text", "abcdefgh", "é\U0001f600" * 40, "", "x" * 3000, "ab" * 900 + passage, prose(6, 900), None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in QUERIES["op4_syncmers"](spark, str(tmp_path)).collect()}
+    plain = [t or "" for t in texts]
+    whole = lambda t: _all_anchors(t) or ([(0, _xx(t) & 0xFFFFFFFF)] if t else [])
+    written = lambda t: " ".join(f"{a:08x}:{p}" for p, a in whole(t))
+    for i, text in enumerate(plain):
+        following = plain[(i + 1) % len(plain)]
+        edited = text[: len(text) - len(text) // 2] + following[: len(text) // 2]
+        assert got[i].fingerprint == written(text) and got[i].edited_fingerprint == written(edited)
+        if text or following:
+            assert got[i].near_edited == pytest.approx(_alike_by_all(whole(text), whole(edited)) if text else 1.0)
+            assert got[i].near_next == pytest.approx(_alike_by_all(whole(text), whole(following)))
+    assert len(got[0].fingerprint.split()) > 300
+
+
+def test_whole_fingerprints_of_long_texts(spark):
+    """One word over and over: 40,000 occurrences of an anchor are matched without comparing all pairs."""
+    rows = spark.range(2).select(F.col("id").alias("doc_id"), F.repeat(F.lit("some words of a long text, "), F.lit(40_000)).alias("text"))
+    first, _ = syncmers.fingerprint_pairs(rows, share=False).collect()
+    assert first.near_next == 1.0 and len(first.fingerprint.split()) > 200_000
+
+
 def test_likeness_estimates_the_common_anchors(spark):
     """Error of the likeness against all anchors of texts that share a beginning."""
     errors = []
